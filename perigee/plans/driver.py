@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from perigee.operators import catalogue as cat
 from perigee.operators.filters import FilterSpec
 from perigee.plans import oracle
+from perigee.plans.ingest_keys import INGEST_KEYS, INGEST_ORACLES
 from perigee.sources.binding import bind
 
 QUERY_YEAR = 1998
@@ -118,8 +119,8 @@ def catalogue_oracles() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalogue_queries()
+    return {**catalogue_queries(), **INGEST_KEYS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalogue_oracles()
+    return {**catalogue_oracles(), **INGEST_ORACLES}

@@ -58,7 +58,9 @@ OBJECT_STRUCT = T.StructType(
 
 FEED_SCHEMA = T.StructType(
     [
-        T.StructField("links", T.StructType([T.StructField("next", T.StringType())])),
+        T.StructField(
+            "links", T.StructType([T.StructField("self", T.StringType()), T.StructField("next", T.StringType())])
+        ),
         T.StructField("near_earth_objects", T.MapType(T.StringType(), T.ArrayType(OBJECT_STRUCT))),
     ]
 )
