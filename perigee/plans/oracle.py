@@ -17,9 +17,23 @@ C_COLS = "c.close_approach_date, c.relative_velocity_kmph, c.astronomical, c.mis
 JOIN = "asteroids a JOIN close_approach c ON a.id = c.neo_reference_id"
 
 
+# Set to False to run the oracle over real ``asteroids`` / ``close_approach`` tables
+# (unit fixtures) instead of the binding of the test tables.
+_BIND = {"on": True}
+
+
 def with_binding(body: str, extra_ctes: str = "") -> str:
-    ctes = ORACLE_BINDING + ("," + extra_ctes if extra_ctes else "")
-    return f"WITH {ctes}\n{body}"
+    parts = ([ORACLE_BINDING] if _BIND["on"] else []) + ([extra_ctes] if extra_ctes else [])
+    return f"WITH {', '.join(parts)}\n{body}" if parts else body
+
+
+def unbound_catalogue_sql(spec: FilterSpec | None = None, year: int = 1998) -> dict[str, str]:
+    """The catalogue oracle over tables named ``asteroids`` and ``close_approach``."""
+    _BIND["on"] = False
+    try:
+        return catalogue_sql(spec, year)
+    finally:
+        _BIND["on"] = True
 
 
 def _lit(v) -> str:

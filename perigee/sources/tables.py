@@ -4,13 +4,14 @@ Layout (Parquet):
 
 * ``<root>/asteroids``: one row per ``id``.  New batches append only ids not yet
   present (``left_anti``), so re-running a batch adds nothing.
-* ``<root>/close_approach``: partitioned by ``close_approach_date``.  A batch rewrites
-  only the days it touches: existing rows of those days (found by a semi-join on the
-  partition column, i.e. dynamic partition pruning) are merged with the batch, the
-  survivor per (object, day) is chosen by a total order, the result is checkpointed
-  to the shared checkpoint folder and written with dynamic partition overwrite.  The
-  outcome is the same whatever the batch boundaries and however often a batch is
-  replayed.  Date predicates on the table prune whole directories.
+* ``<root>/close_approach``: partitioned by ``approach_month`` (first day of the
+  month of ``close_approach_date``), files range-partitioned and sorted by
+  (day, object) so date predicates also skip row groups inside a month.  A batch
+  rewrites only the months it touches: stored rows of those months are merged with
+  the batch, the survivor per (object, day) is chosen by a total order, the result is
+  checkpointed to the shared checkpoint folder and written with dynamic partition
+  overwrite.  The outcome is the same whatever the batch boundaries and however often
+  a batch is replayed.
 * Publication writes both tables under ``<root>/runs/<run_id>`` and only then appends
   one manifest record naming the run; readers resolve the newest record, so they see
   both new tables or neither.
@@ -31,7 +32,7 @@ from perigee.operators.dedup import APPROACH_ORDER, ASTEROID_ORDER, dedup_by_key
 from perigee.schemas import APPROACH_COLUMNS, ASTEROID_COLUMNS, ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA
 from perigee.session import ensure_checkpoint_dir
 
-FACT_PARTITION = "close_approach_date"
+FACT_PARTITION = "approach_month"
 APPROACH_KEY = ("neo_reference_id", "close_approach_date")
 # Rows per output file; a hot day is split over several files and tasks.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -58,7 +59,7 @@ def create_tables(spark: SparkSession, database: str, location: str) -> tuple[st
     """Create the typed tables if absent (external, at ``location``)."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     a_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ASTEROIDS_SCHEMA.fields)
-    c_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CLOSE_APPROACH_SCHEMA.fields)
+    c_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _fact_schema().fields)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {database}.asteroids ({a_cols}) USING parquet LOCATION '{location}/asteroids'"
     )
@@ -73,7 +74,8 @@ def insert_tables(spark: SparkSession, names: tuple[str, str], asteroids: DataFr
     """Append to the catalog tables (columns matched by name, partition column last)."""
     a_name, c_name = names
     asteroids.select(*spark.table(a_name).columns).write.insertInto(a_name)
-    approaches.select(*spark.table(c_name).columns).write.insertInto(c_name)
+    with_month = approaches.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date")))
+    with_month.select(*spark.table(c_name).columns).write.insertInto(c_name)
 
 
 # --------------------------------------------------------------------------- storage helpers
@@ -84,11 +86,18 @@ def _exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame |
         return None
 
 
+def month_of(day: F.Column) -> F.Column:
+    return F.trunc(day, "MM").alias(FACT_PARTITION)
+
+
 def write_fact(approaches: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Range-partition by (day, object) so a hot day spreads over tasks, then one
-    directory per day."""
+    """Range-partition by (month, day, object) so a hot day spreads over several tasks,
+    sort each task's rows, and write one directory per month."""
+    order = [FACT_PARTITION, "close_approach_date", "neo_reference_id"]
     (
-        approaches.repartitionByRange(FACT_PARTITION, "neo_reference_id")
+        approaches.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date")))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
@@ -97,8 +106,13 @@ def write_fact(approaches: DataFrame, path: str, mode: str = "errorifexists") ->
     )
 
 
-def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLOSE_APPROACH_SCHEMA).parquet(path).select(*APPROACH_COLUMNS)
+def _fact_schema() -> T.StructType:
+    return T.StructType([*CLOSE_APPROACH_SCHEMA.fields, T.StructField(FACT_PARTITION, T.DateType())])
+
+
+def read_fact(spark: SparkSession, path: str, with_partition: bool = False) -> DataFrame:
+    df = spark.read.schema(_fact_schema()).parquet(path)
+    return df if with_partition else df.select(*APPROACH_COLUMNS)
 
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
@@ -111,13 +125,22 @@ def new_asteroids(current: DataFrame | None, rows: DataFrame) -> DataFrame:
     return rows if current is None else rows.join(current.select("id"), "id", "left_anti")
 
 
-def merged_days(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Final content of every day the batch touches: stored rows of those days plus the
-    batch, one survivor per (object, day)."""
+def touched_months(batch: DataFrame) -> list:
+    """Partition values a batch touches.  Collected on purpose: at most one value per
+    calendar month, and a literal list gives static partition pruning of the merge."""
+    return [r[0] for r in batch.select(month_of(F.col("close_approach_date"))).distinct().collect()]
+
+
+def merged_months(current: DataFrame | None, batch: DataFrame, months: list) -> DataFrame:
+    """Final content of every month the batch touches: stored rows of those months plus
+    the batch, one survivor per (object, day)."""
     rows = batch.select(*APPROACH_COLUMNS)
     if current is not None:
-        days = rows.select(FACT_PARTITION).distinct()
-        stored = current.join(days, current[FACT_PARTITION].eqNullSafe(days[FACT_PARTITION]), "left_semi")
+        known = [m for m in months if m is not None]
+        in_months = F.col(FACT_PARTITION).isin(known) if known else F.lit(False)
+        if None in months:
+            in_months = in_months | F.col(FACT_PARTITION).isNull()
+        stored = current.where(in_months).select(*APPROACH_COLUMNS)
         rows = stored.unionByName(rows)
     rows = rows.where(has_approach())
     return dedup_by_key(rows, list(APPROACH_KEY), APPROACH_ORDER)
@@ -130,8 +153,8 @@ def upsert(spark: SparkSession, root: str, flat_batch: DataFrame) -> None:
     current_a = _exists(spark, a_path, ASTEROIDS_SCHEMA)
     new_asteroids(current_a, load_asteroids(flat_batch)).write.mode("append").parquet(a_path)
 
-    current_c = _exists(spark, c_path, CLOSE_APPROACH_SCHEMA)
-    merged = merged_days(current_c, flat_batch)
+    current_c = _exists(spark, c_path, _fact_schema())
+    merged = merged_months(current_c, flat_batch, touched_months(flat_batch) if current_c is not None else [])
     if current_c is not None:
         # The merge reads the partitions it is about to replace: materialise it in the
         # shared checkpoint folder first, which also cuts the lineage.
