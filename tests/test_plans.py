@@ -1,0 +1,78 @@
+"""Plan shape: no Python in any plan, no pair-producing joins, top-k as
+TakeOrderedAndProject, pruned scans with pushed filters."""
+
+import contextlib
+import io
+import os
+
+import pytest
+from conftest import SF_SMALL
+from fixtures import frames
+
+import __spark_entry__ as entry
+from perigee.operators import catalogue as cat
+from perigee.operators.filters import FilterSpec
+from perigee.plans import driver
+from perigee.sources import tables
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas",
+                "MapInArrow", "FlatMapCoGroupsInPandas")
+PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def plan_text(df, mode="formatted") -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode)
+    return buf.getvalue()
+
+
+@pytest.mark.parametrize("key", sorted(driver.catalogue_queries()))
+def test_no_python_and_no_pairs(spark, key):
+    text = plan_text(entry.queries()[key](spark, SF_SMALL))
+    for node in PYTHON_NODES + PAIR_NODES:
+        assert node not in text, (key, node)
+
+
+@pytest.mark.parametrize("key", ["q03_top_fastest", "q03b_top_fastest_objects", "q06_fastest_ever",
+                                 "q12_brightest", "q05_busiest_month"])
+def test_top_k_is_take_ordered(spark, key):
+    assert "TakeOrderedAndProject" in plan_text(entry.queries()[key](spark, SF_SMALL))
+
+
+def test_scans_read_only_needed_columns(spark):
+    text = plan_text(entry.queries()["q16_name_prefix"](spark, SF_SMALL))
+    assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_type:string>" in text
+    text = plan_text(entry.queries()["q20_velocity_bands"](spark, SF_SMALL))
+    assert "ReadSchema: struct<l_partkey:bigint,l_extendedprice:double>" in text
+
+
+def test_filters_reach_the_parquet_scan(spark, scratch):
+    a, ca = frames(spark)
+    root = os.path.join(scratch, "stored")
+    a.write.parquet(f"{root}/asteroids")
+    tables.write_fact(ca, f"{root}/close_approach")
+    sa, sc = tables.read_tables(spark, root)
+    text = plan_text(cat.q16_name_prefix(sa, sc))
+    assert "StringStartsWith(name,6)" in text
+    spec = FilterSpec(hazardous=True, velocity=(20000.0, 50000.0), bodies=("Earth",))
+    text = plan_text(cat.q00_details(sa, sc, spec))
+    assert "EqualTo(is_potentially_hazardous_asteroid,true)" in text
+    assert "GreaterThanOrEqual(relative_velocity_kmph,20000.0)" in text
+    assert "EqualTo(orbiting_body,Earth)" in text or "In(orbiting_body, [Earth])" in text
+    text = plan_text(cat.q17_unique_in_year(sa, sc, year=2030))
+    assert "GreaterThanOrEqual(close_approach_date,2030-01-01)" in text
+    assert "LessThan(close_approach_date,2031-01-01)" in text
+
+
+def test_per_object_aggregation_happens_before_the_join(spark):
+    text = plan_text(entry.queries()["q19_first_last"](spark, SF_SMALL), "simple")
+    join_at = text.index("Join")
+    # a partial aggregate over the fact sits below the join
+    assert "partial_min" in text[join_at:] or "partial_count" in text[join_at:]
+
+
+def test_getting_nearer_uses_a_window_not_a_self_join(spark):
+    text = plan_text(entry.queries()["q08b_getting_nearer_objects"](spark, SF_SMALL), "simple")
+    assert "Window [lag(" in text
+    assert text.count("Scan parquet") == 2  # one fact scan, one dimension scan

@@ -4,6 +4,8 @@ import os
 from fixtures import APPROACHES, ASTEROIDS, frames, rows
 from pyspark.sql import functions as F
 
+from test_plans import plan_text
+
 from perigee.operators.dedup import APPROACH_ORDER, dedup_by_key
 from perigee.schemas import APPROACH_COLUMNS, CLOSE_APPROACH_SCHEMA
 from perigee.sources import tables
@@ -71,7 +73,7 @@ def test_fact_layout_is_monthly(spark, scratch):
     dirs = sorted(d for d in os.listdir(os.path.join(root, "close_approach")) if d.startswith("approach_month="))
     assert "approach_month=2030-01-01" in dirs and "approach_month=__HIVE_DEFAULT_PARTITION__" in dirs
     fact = tables.read_fact(spark, os.path.join(root, "close_approach"), with_partition=True)
-    plan = fact.where(F.col("approach_month") == F.lit(D(2030, 2, 1)))._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(fact.where(F.col("approach_month") == F.lit(D(2030, 2, 1))))
     assert "PartitionFilters: [isnotnull(approach_month" in plan
 
 
