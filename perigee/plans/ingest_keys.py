@@ -186,8 +186,8 @@ FLAT_SQL = (
 FLAT_ORDER = ", ".join(
     f"{c} ASC NULLS LAST"
     for c in (
-        "id neo_reference_id name absolute_magnitude_h estimated_diameter_min_km estimated_diameter_max_km "
-        "is_potentially_hazardous_asteroid close_approach_date relative_velocity_kmph astronomical "
+        "close_approach_date id neo_reference_id name absolute_magnitude_h estimated_diameter_min_km "
+        "estimated_diameter_max_km is_potentially_hazardous_asteroid relative_velocity_kmph astronomical "
         "miss_distance_km miss_distance_lunar orbiting_body"
     ).split()
 )

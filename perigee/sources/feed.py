@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigee.schemas import FEED_SCHEMA, FLAT_COLUMNS
@@ -260,9 +260,27 @@ def read_flat(spark: SparkSession, path: str, strict: bool = True, all_approache
 
 
 # --------------------------------------------------------------------------- I3, I14
+FEED_ORDER = ["close_approach_date"] + [c for c in FLAT_COLUMNS if c != "close_approach_date"]
+
+
 def limit_rows(flat: DataFrame, target: int) -> DataFrame:
-    """The first ``target`` records in a total order (the reference stops at a row count)."""
-    return flat.orderBy(*[F.asc_nulls_last(c) for c in FLAT_COLUMNS]).limit(target)
+    """The first ``target`` records in feed order (day, then every other column; NULLs last).
+
+    Only the days needed to reach ``target`` are kept before the top-n, found from a
+    running count over one row per calendar day, so the final merge sees about
+    ``target`` plus one day of rows instead of ``target`` rows from every task.
+    """
+    day = F.col("close_approach_date")
+    per_day = flat.groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per calendar day (bounded by the calendar): a single-partition window is fine.
+    running = Window.orderBy(F.asc_nulls_last("close_approach_date")).rowsBetween(Window.unboundedPreceding, 0)
+    needed = (
+        per_day.withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
+        .where(F.col("_before") < target)
+        .select(day.alias("_day"))
+    )
+    candidates = flat.join(F.broadcast(needed), day.eqNullSafe(F.col("_day")), "left_semi")
+    return candidates.orderBy(*[F.asc_nulls_last(c) for c in FEED_ORDER]).limit(target).select(*FLAT_COLUMNS)
 
 
 def audit(flat: DataFrame) -> DataFrame:

@@ -195,8 +195,9 @@ def test_pages_have_bounded_size_and_valid_links(spark, scratch):
 
 def test_limit_rows_total_order(spark, scratch):
     flat = feed.read_flat(spark, land(scratch, "l", PAGE_PLAIN, PAGE_NEXT))
-    got = [r["id"] for r in feed.limit_rows(flat, 3).collect()]
-    assert got == [101, 101, 102]
+    got = [(r["close_approach_date"], r["id"]) for r in feed.limit_rows(flat, 3).collect()]
+    assert got == [(D(2030, 1, 1), 101), (D(2030, 1, 1), 102), (D(2030, 1, 2), 103)]
+    assert feed.limit_rows(flat, 10).count() == 4
 
 
 def test_audit(spark, scratch):
