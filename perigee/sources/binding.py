@@ -19,8 +19,19 @@ OTHER_BODY = "Mars"
 SHARED_NAME_MODULUS = 1000
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table; its footer schema is inferred once per session and path (the given
+    tables are read-only), later reads pass it explicitly and skip the inference job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def asteroids_from_part(part: DataFrame) -> DataFrame:

@@ -193,3 +193,27 @@ def test_q20_band_edges(spark):
 
 def test_fixture_size():
     assert len(ASTEROIDS) == 13 and len(APPROACHES) == 27
+
+
+def _hot_tables(seed):
+    """One object holds a third of all approaches, one day a third, one name many ids."""
+    rnd = random.Random(seed)
+    dim = [(i, "hot name" if i % 3 == 0 else f"n{i % 7}", 10.0 + i % 5, 0.1, 0.2 + i % 3, i % 2 == 0)
+           for i in range(1, 40)]
+    fact = []
+    for j in range(600):
+        hot = j % 3 == 0
+        day = dt.date(2030, 3, 3) if j % 3 == 1 else dt.date(2030, 1 + j % 12, 1 + j % 27)
+        au = round(rnd.random(), 3)
+        fact.append((1 if hot else rnd.randint(1, 45), day, float(rnd.randint(1000, 99999)), au, au * 10,
+                     au * 389.17, rnd.choice(["Earth", "Mars", "Venus"])))
+    return dim, fact
+
+
+def test_skewed_tables_match_independent_sql(spark):
+    dim, fact = _hot_tables(7)
+    a = spark.createDataFrame(dim, ASTEROIDS_SCHEMA)
+    ca = spark.createDataFrame(fact, CLOSE_APPROACH_SCHEMA).repartition(8)
+    con = duck_fixture(dim, fact)
+    for key in cat.CATALOGUE:
+        same_as_oracle(spark, con, a, ca, key)

@@ -76,3 +76,24 @@ def test_getting_nearer_uses_a_window_not_a_self_join(spark):
     text = plan_text(entry.queries()["q08b_getting_nearer_objects"](spark, SF_SMALL), "simple")
     assert "Window [lag(" in text
     assert text.count("Scan parquet") == 2  # one fact scan, one dimension scan
+
+
+def test_fact_is_shuffled_once_when_the_dimension_is_not_broadcast(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        text = plan_text(entry.queries()["q19_first_last"](spark, SF_SMALL), "simple")
+        assert "SortMergeJoin" in text
+        # fact aggregate by id, dimension by id, per-name aggregate: the join reuses the first
+        assert text.count("Exchange hashpartitioning") == 3
+        text = plan_text(entry.queries()["q08b_getting_nearer_objects"](spark, SF_SMALL), "simple")
+        # (object, day) aggregate, then one exchange by object reused by window, join and distinct
+        assert text.count("Exchange hashpartitioning") == 3
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
