@@ -141,10 +141,11 @@ def k_stream_ingest(spark, sf_dir):
 
 def k_stream_window_counts(spark, sf_dir):
     out = new_run_dir(spark, "window-counts")
-    q = windows.run_window_counts(
-        spark, f"{sf_dir.rstrip('/')}/events.parquet", out, new_run_dir(spark, "window-ckpt")
-    )
-    q.awaitTermination()
+    with windows.session_time_zone(spark, "UTC"):
+        q = windows.run_window_counts(
+            spark, f"{sf_dir.rstrip('/')}/events.parquet", out, new_run_dir(spark, "window-ckpt")
+        )
+        q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
     return windows.read_latest(spark, out)

@@ -8,6 +8,8 @@ its end, evicts its state and drops rows that arrive later than the watermark.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -77,6 +79,22 @@ def run_window_counts(
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def session_time_zone(spark: SparkSession, tz: str = "UTC"):
+    """Run with ``spark.sql.session.timeZone`` set to ``tz``, restoring it afterwards.
+
+    ``timestamp_ntz`` event times become instants in the session zone; pinning UTC makes
+    the windows align to UTC wall-clock days, as the stored event times are written.
+    """
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, tz)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
     """The newest complete result written by ``run_window_counts(mode='complete')``."""
     batches = spark.read.parquet(out)

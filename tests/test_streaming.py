@@ -117,3 +117,19 @@ def test_append_mode_drops_late_rows(spark, scratch):
     assert dropped >= 1
     got = rows(spark.read.parquet(out).select("window_start", "n_events"))
     assert got == [(t(2024, 1, 1), 1)]  # closed window only, without the late row
+
+
+def test_window_key_independent_of_session_time_zone(spark):
+    from oracle_compare import compare, duck
+
+    import __spark_entry__ as entry
+
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "America/Los_Angeles")
+    try:
+        r = compare(spark, duck(SF_SMALL), "stream_window_counts", entry.queries()["stream_window_counts"],
+                    entry.oracle_sql()["stream_window_counts"], SF_SMALL)
+    finally:
+        spark.conf.set(key, old)
+    assert r["status"] == "ok", r
