@@ -293,3 +293,17 @@ def audit(flat: DataFrame) -> DataFrame:
         F.count_if(F.col("astronomical").isNull()).alias("null_au"),
         F.count_if(F.col("orbiting_body").isNull()).alias("null_body"),
     )
+
+
+def audit_pages(objects: DataFrame) -> DataFrame:
+    """Per landed page: records, distinct objects and how many fields did not parse."""
+    flat = flatten(objects, strict=False, keep_page=True)
+    bad = rejects(objects).groupBy("page").agg(F.count(F.lit(1)).alias("rejected"))
+    per_page = flat.groupBy("page").agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.countDistinct("id").alias("n_objects"),
+        F.count_if(F.col("close_approach_date").isNull()).alias("null_date"),
+        F.count_if(F.col("relative_velocity_kmph").isNull()).alias("null_velocity"),
+        F.count_if(F.col("astronomical").isNull()).alias("null_au"),
+    )
+    return per_page.join(bad, "page", "left").fillna(0, subset=["rejected"])

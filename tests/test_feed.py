@@ -206,3 +206,12 @@ def test_audit(spark, scratch):
     assert got[D(2029, 12, 31)]["n_records"] == 3
     assert got[D(2029, 12, 31)]["n_objects"] == 3 and got[D(2029, 12, 31)]["n_days"] == 2
     assert got[D(2030, 4, 29)]["null_au"] == 1
+
+
+def test_audit_pages(spark, scratch):
+    p1 = dict(PAGE_PLAIN, links={"self": "p1", "next": "p2"})
+    p2 = dict(PAGE_BAD_NUMBER, links={"self": "p2", "next": None})
+    objs = objects(spark, land(scratch, "ap", p1, p2), strict=False)
+    got = {r["page"]: r for r in feed.audit_pages(objs).collect()}
+    assert got["p1"]["n_records"] == 3 and got["p1"]["rejected"] == 0 and got["p1"]["n_objects"] == 3
+    assert got["p2"]["rejected"] == 1 and got["p2"]["null_velocity"] == 1
