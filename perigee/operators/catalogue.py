@@ -151,7 +151,11 @@ def q03b_top_fastest_objects(
     best = F.min(
         F.when(
             F.col("relative_velocity_kmph").isNotNull(),
-            F.struct((-F.col("relative_velocity_kmph")).alias("neg_v"), F.col("close_approach_date").isNull().alias("no_date"), F.col("close_approach_date").alias("day")),
+            F.struct(
+                (-F.col("relative_velocity_kmph")).alias("neg_v"),
+                F.col("close_approach_date").isNull().alias("no_date"),
+                F.col("close_approach_date").alias("day"),
+            ),
         )
     )
     per_id = _per_object(ca, best.alias("_b")).where(F.col("_b").isNotNull())
@@ -239,7 +243,9 @@ def getting_nearer_ids(ca: DataFrame) -> DataFrame:
     however many approaches a hot object has.
     """
     daily = (
-        ca.where(F.col(C_KEY).isNotNull() & F.col("close_approach_date").isNotNull() & F.col("astronomical").isNotNull())
+        ca.where(
+            F.col(C_KEY).isNotNull() & F.col("close_approach_date").isNotNull() & F.col("astronomical").isNotNull()
+        )
         .groupBy(C_KEY, F.col("close_approach_date"))
         .agg(F.min(F.col("astronomical")).alias("_lo"), F.max(F.col("astronomical")).alias("_hi"))
     )
@@ -282,7 +288,11 @@ def q09_closest_approach(a: DataFrame, ca: DataFrame, filters: FilterSpec | None
     concatenating every date of the group.
     """
     a, ca = _sides(a, ca, filters)
-    per_id = _per_object(ca, F.min(F.col("astronomical")).alias("_m"), F.min(closest_key(F.col("astronomical"), F.col("close_approach_date"))).alias("_k"))
+    per_id = _per_object(
+        ca,
+        F.min("astronomical").alias("_m"),
+        F.min(closest_key(F.col("astronomical"), F.col("close_approach_date"))).alias("_k"),
+    )
     return (
         _join(a, per_id)
         .groupBy(F.col("name"))
@@ -322,7 +332,8 @@ def q12_brightest(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None
 # --------------------------------------------------------------------------- q13
 def q13_hazard_split(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None) -> DataFrame:
     a = filter_asteroids(a, filters)
-    return a.groupBy(hazard_label(F.col("is_potentially_hazardous_asteroid")).alias("hazard_status")).agg(F.count(A_KEY).alias("asteroid_count"))
+    label = hazard_label(F.col("is_potentially_hazardous_asteroid")).alias("hazard_status")
+    return a.groupBy(label).agg(F.count(A_KEY).alias("asteroid_count"))
 
 
 # --------------------------------------------------------------------------- q14
@@ -357,7 +368,9 @@ def q15_within_au(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None
 def q16_name_prefix(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, prefix: str = "6") -> DataFrame:
     """Names starting with ``prefix`` (a literal prefix; reaches Parquet as StringStartsWith)."""
     a = filter_asteroids(a, filters)
-    return a.where(F.col("name").startswith(prefix)).select(F.col("name").alias("asteroid_name"), "is_potentially_hazardous_asteroid")
+    return a.where(F.col("name").startswith(prefix)).select(
+        F.col("name").alias("asteroid_name"), "is_potentially_hazardous_asteroid"
+    )
 
 
 # --------------------------------------------------------------------------- q17
@@ -376,7 +389,10 @@ def q18_safe_but_close(
 ) -> DataFrame:
     a, ca = _sides(a, ca, filters)
     return (
-        _join(a.where(F.col("is_potentially_hazardous_asteroid") == F.lit(False)), ca.where(F.col("astronomical") < F.lit(float(max_au))))
+        _join(
+            a.where(F.col("is_potentially_hazardous_asteroid") == F.lit(False)),
+            ca.where(F.col("astronomical") < F.lit(float(max_au))),
+        )
         .select(
             F.col("name").alias("asteroid_name"),
             "close_approach_date",
@@ -392,7 +408,10 @@ def q18_safe_but_close(
 def q19_first_last(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None) -> DataFrame:
     a, ca = _sides(a, ca, filters)
     per_id = _per_object(
-        ca, F.min(F.col("close_approach_date")).alias("_first"), F.max(F.col("close_approach_date")).alias("_last"), F.count(F.lit(1)).alias("_n")
+        ca,
+        F.min("close_approach_date").alias("_first"),
+        F.max("close_approach_date").alias("_last"),
+        F.count(F.lit(1)).alias("_n"),
     )
     return (
         _join(a, per_id)
@@ -402,7 +421,12 @@ def q19_first_last(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = Non
             F.max("_last").alias("latest_approach_date"),
             F.sum("_n").alias("total_approaches"),
         )
-        .select(F.col("name").alias("asteroid_name"), "earliest_approach_date", "latest_approach_date", "total_approaches")
+        .select(
+            F.col("name").alias("asteroid_name"),
+            "earliest_approach_date",
+            "latest_approach_date",
+            "total_approaches",
+        )
         .orderBy("asteroid_name")
     )
 

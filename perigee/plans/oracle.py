@@ -12,8 +12,14 @@ import datetime as dt
 from perigee.operators.filters import FilterSpec
 from perigee.sources.binding import ORACLE_BINDING
 
-A_COLS = "a.id, a.name, a.absolute_magnitude_h, a.estimated_diameter_min_km, a.estimated_diameter_max_km, a.is_potentially_hazardous_asteroid"
-C_COLS = "c.close_approach_date, c.relative_velocity_kmph, c.astronomical, c.miss_distance_km, c.miss_distance_lunar, c.orbiting_body"
+A_COLS = (
+    "a.id, a.name, a.absolute_magnitude_h, a.estimated_diameter_min_km, a.estimated_diameter_max_km, "
+    "a.is_potentially_hazardous_asteroid"
+)
+C_COLS = (
+    "c.close_approach_date, c.relative_velocity_kmph, c.astronomical, c.miss_distance_km, "
+    "c.miss_distance_lunar, c.orbiting_body"
+)
 JOIN = "asteroids a JOIN close_approach c ON a.id = c.neo_reference_id"
 
 

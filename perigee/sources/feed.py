@@ -107,7 +107,10 @@ def feed_objects(asteroids: DataFrame, approaches: DataFrame) -> DataFrame:
         F.col("is_potentially_hazardous_asteroid"),
         F.array(approach).alias("close_approach_data"),
     )
-    row_key = F.col("_row_key") if "_row_key" in approaches.columns else F.xxhash64(*[F.col(c) for c in approaches.columns])
+    if "_row_key" in approaches.columns:
+        row_key = F.col("_row_key")
+    else:
+        row_key = F.xxhash64(*[F.col(c) for c in approaches.columns])
     joined = asteroids.join(approaches, asteroids["id"] == approaches["neo_reference_id"])
     return joined.select(
         F.date_format("close_approach_date", DATE_FORMAT).alias("day"),
