@@ -101,3 +101,16 @@ def test_create_tables_and_insert(spark, scratch):
     assert again == names
     got = spark.table(names[1]).select(*APPROACH_COLUMNS)
     assert sorted_rows(got) == sorted_rows(tables.load_close_approach(flat))
+
+
+def test_dimension_duplicate_id_keeps_one_deterministic_row(spark):
+    from perigee.schemas import ASTEROIDS_SCHEMA
+
+    rows_in = ASTEROIDS + [(1, "6 Alpha", 17.5, 0.10, 0.25, True), (1, "6 alpha", 18.0, 0.10, 0.25, True)]
+    df = spark.createDataFrame(rows_in, ASTEROIDS_SCHEMA)
+    flat = df.withColumn("neo_reference_id", F.col("id"))
+    one = sorted_rows(tables.load_asteroids(flat.repartition(1)))
+    many = sorted_rows(tables.load_asteroids(flat.repartition(5, "absolute_magnitude_h")))
+    assert one == many and len(one) == len(ASTEROIDS)
+    # order: name, magnitude, ... ascending -> "6 Alpha" with magnitude 17.5
+    assert [r for r in one if r[0] == 1] == [(1, "6 Alpha", 17.5, 0.10, 0.25, True)]
