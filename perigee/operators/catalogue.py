@@ -22,6 +22,8 @@ Plan shape (what holds at 100 TB):
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from perigee.functions.columns import (
     month_text,
     velocity_band,
 )
-from perigee.operators.filters import FilterSpec, filter_approaches, filter_asteroids
+from perigee.operators.filters import FilterSpec, filter_approaches, filter_asteroids, month_range
 from perigee.schemas import DETAIL_COLUMNS
 
 A_KEY = "id"
@@ -377,7 +379,9 @@ def q16_name_prefix(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = No
 def q17_unique_in_year(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, year: int = 2024) -> DataFrame:
     """Distinct objects with an approach in ``year`` (one row)."""
     a, ca = _sides(a, ca, filters)
-    ids = ca.where(in_year(F.col("close_approach_date"), year) & F.col(C_KEY).isNotNull()).select(C_KEY).distinct()
+    pred = in_year(F.col("close_approach_date"), year) & F.col(C_KEY).isNotNull()
+    months = month_range(ca, dt.date(year, 1, 1), dt.date(year, 12, 31))
+    ids = ca.where(pred if months is None else pred & months).select(C_KEY).distinct()
     return ids.join(a.select(A_KEY), ids[C_KEY] == a[A_KEY], "left_semi").agg(
         F.count(F.lit(1)).alias("unique_asteroids_in_year")
     )

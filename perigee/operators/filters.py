@@ -127,6 +127,24 @@ def filter_asteroids(asteroids: DataFrame, spec: FilterSpec | None) -> DataFrame
     return asteroids if pred is None else asteroids.where(pred)
 
 
+# Partition column of the stored approach table (first day of the approach's month).
+MONTH_PARTITION = "approach_month"
+
+
+def month_range(approaches: DataFrame, lo: dt.date, hi: dt.date) -> Column | None:
+    """Predicate on the month partition column implied by a date range, when the frame
+    carries that column: lets the scan prune whole month directories."""
+    if MONTH_PARTITION not in approaches.columns:
+        return None
+    return F.col(MONTH_PARTITION).between(F.trunc(F.lit(lo), "MM"), F.trunc(F.lit(hi), "MM"))
+
+
 def filter_approaches(approaches: DataFrame, spec: FilterSpec | None) -> DataFrame:
-    pred = (spec or NO_FILTERS).approach_predicate()
-    return approaches if pred is None else approaches.where(pred)
+    spec = spec or NO_FILTERS
+    pred = spec.approach_predicate()
+    if pred is None:
+        return approaches
+    if spec.date is not None and spec.date[0] <= spec.date[1]:
+        months = month_range(approaches, *spec.date)
+        pred = pred if months is None else pred & months
+    return approaches.where(pred)

@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perigee.operators.dedup import APPROACH_ORDER, ASTEROID_ORDER, dedup_by_key
+from perigee.operators.filters import MONTH_PARTITION
 from perigee.schemas import APPROACH_COLUMNS, ASTEROID_COLUMNS, ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA
 from perigee.session import ensure_checkpoint_dir
 
-FACT_PARTITION = "approach_month"
+FACT_PARTITION = MONTH_PARTITION
 APPROACH_KEY = ("neo_reference_id", "close_approach_date")
 # Rows per output file; a hot day is split over several files and tasks.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -162,8 +163,10 @@ def upsert(spark: SparkSession, root: str, flat_batch: DataFrame) -> None:
     write_fact(merged, c_path, mode="overwrite" if current_c is not None else "errorifexists")
 
 
-def read_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    return read_dimension(spark, f"{root}/asteroids"), read_fact(spark, f"{root}/close_approach")
+def read_tables(spark: SparkSession, root: str, with_partition: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The stored tables; ``with_partition`` keeps ``approach_month`` on the fact so date
+    filters of the catalogue also prune month directories."""
+    return read_dimension(spark, f"{root}/asteroids"), read_fact(spark, f"{root}/close_approach", with_partition)
 
 
 # --------------------------------------------------------------------------- I12

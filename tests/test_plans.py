@@ -97,3 +97,29 @@ def test_fact_is_shuffled_once_when_the_dimension_is_not_broadcast(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_date_filters_prune_month_directories_of_the_stored_fact(spark, scratch):
+    import datetime as dt
+
+    from fixtures import rows
+
+    a, ca = frames(spark)
+    root = os.path.join(scratch, "pruned")
+    a.write.parquet(f"{root}/asteroids")
+    tables.write_fact(ca, f"{root}/close_approach")
+    sa, sc = tables.read_tables(spark, root, with_partition=True)
+    spec = FilterSpec(date=(dt.date(2030, 2, 1), dt.date(2030, 2, 28)))
+    df = cat.q00_details(sa, sc, spec)
+    assert "PartitionFilters: [isnotnull(approach_month" in plan_text(df)
+    assert len(rows(df)) == 6
+    q17 = cat.q17_unique_in_year(sa, sc, year=2031)
+    assert "PartitionFilters: [isnotnull(approach_month" in plan_text(q17)
+    assert rows(q17) == [(1,)]
+    # same answers with and without the partition column
+    pa, pc = tables.read_tables(spark, root)
+    for key in cat.CATALOGUE:
+        params = {"q17_unique_in_year": {"year": 2030}}.get(key, {})
+        got = sorted(map(repr, rows(cat.filtered_query(key, sa, sc, spec, **params))))
+        want = sorted(map(repr, rows(cat.filtered_query(key, pa, pc, spec, **params))))
+        assert got == want, key
