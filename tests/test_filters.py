@@ -6,7 +6,7 @@ from oracle_compare import rows_of
 
 from perigee.operators import catalogue as cat
 from perigee.operators.filters import FilterSpec
-from perigee.plans.oracle import _BIND, summary_sql, unbound_catalogue_sql
+from perigee.plans.oracle import summary_sql, unbound_catalogue_sql
 
 D = dt.date
 
@@ -123,11 +123,7 @@ def test_every_query_under_filters_matches_independent_sql(spark, spec_i):
         res = con.execute(sqls[key])
         cols = [c[0] for c in res.description]
         assert rows_of(df.columns, rows(df), 12) == rows_of(cols, res.fetchall(), 12), key
-    _BIND["on"] = False
-    try:
-        res = con.execute(summary_sql(spec)).fetchall()
-    finally:
-        _BIND["on"] = True
+    res = con.execute(summary_sql(spec, bound=False)).fetchall()
     assert rows(cat.filter_summary(a, ca, spec)) == res
 
 
@@ -167,9 +163,5 @@ def test_random_filter_combinations_match_independent_sql(spark):
         res = con.execute(sql)
         cols = [c[0] for c in res.description]
         assert rows_of(df.columns, rows(df), 12) == rows_of(cols, res.fetchall(), 12), spec
-        _BIND["on"] = False
-        try:
-            expected = con.execute(summary_sql(spec)).fetchall()
-        finally:
-            _BIND["on"] = True
+        expected = con.execute(summary_sql(spec, bound=False)).fetchall()
         assert rows(cat.filter_summary(a, ca, spec)) == expected, spec
