@@ -43,7 +43,6 @@ A_KEY = "id"
 C_KEY = "neo_reference_id"
 
 
-
 def _sides(a: DataFrame, ca: DataFrame, filters: FilterSpec | None) -> tuple[DataFrame, DataFrame]:
     return filter_asteroids(a, filters), filter_approaches(ca, filters)
 
