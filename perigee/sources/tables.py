@@ -126,23 +126,21 @@ def new_asteroids(current: DataFrame | None, rows: DataFrame) -> DataFrame:
     return rows if current is None else rows.join(current.select("id"), "id", "left_anti")
 
 
-def touched_months(batch: DataFrame) -> list:
-    """Partition values a batch touches.  Collected on purpose: at most one value per
-    calendar month, and a literal list gives static partition pruning of the merge."""
-    return [r[0] for r in batch.select(month_of(F.col("close_approach_date"))).distinct().collect()]
-
-
-def merged_months(current: DataFrame | None, batch: DataFrame, months: list) -> DataFrame:
+def merged_months(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Final content of every month the batch touches: stored rows of those months plus
-    the batch, one survivor per (object, day)."""
+    the batch, one survivor per (object, day).
+
+    Stored months are selected with a broadcast semi-join on the partition column (one
+    row per calendar month, so the broadcast is bounded), which dynamic partition
+    pruning turns into a scan of only those month directories.  Stored rows without a
+    date always take part, so the NULL partition is rewritten consistently."""
     rows = batch.select(*APPROACH_COLUMNS)
     if current is not None:
-        known = [m for m in months if m is not None]
-        in_months = F.col(FACT_PARTITION).isin(known) if known else F.lit(False)
-        if None in months:
-            in_months = in_months | F.col(FACT_PARTITION).isNull()
-        stored = current.where(in_months).select(*APPROACH_COLUMNS)
-        rows = stored.unionByName(rows)
+        months = rows.select(month_of(F.col("close_approach_date"))).distinct()
+        stored = current.join(F.broadcast(months), FACT_PARTITION, "left_semi").unionByName(
+            current.where(F.col(FACT_PARTITION).isNull())
+        )
+        rows = stored.select(*APPROACH_COLUMNS).unionByName(rows)
     rows = rows.where(has_approach())
     return dedup_by_key(rows, list(APPROACH_KEY), APPROACH_ORDER)
 
@@ -155,7 +153,7 @@ def upsert(spark: SparkSession, root: str, flat_batch: DataFrame) -> None:
     new_asteroids(current_a, load_asteroids(flat_batch)).write.mode("append").parquet(a_path)
 
     current_c = _exists(spark, c_path, _fact_schema())
-    merged = merged_months(current_c, flat_batch, touched_months(flat_batch) if current_c is not None else [])
+    merged = merged_months(current_c, flat_batch)
     if current_c is not None:
         # The merge reads the partitions it is about to replace: materialise it in the
         # shared checkpoint folder first, which also cuts the lineage.

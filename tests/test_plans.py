@@ -123,3 +123,14 @@ def test_date_filters_prune_month_directories_of_the_stored_fact(spark, scratch)
         got = sorted(map(repr, rows(cat.filtered_query(key, sa, sc, spec, **params))))
         want = sorted(map(repr, rows(cat.filtered_query(key, pa, pc, spec, **params))))
         assert got == want, key
+
+
+def test_upsert_merge_reads_only_touched_months(spark, scratch):
+    a, ca = frames(spark)
+    root = os.path.join(scratch, "merge")
+    tables.write_fact(ca, f"{root}/close_approach")
+    current = tables.read_fact(spark, f"{root}/close_approach", with_partition=True)
+    merged = tables.merged_months(current, ca.where("neo_reference_id = 1"))
+    text = plan_text(merged)
+    assert "dynamicpruningexpression(approach_month" in text
+    assert "Exchange SinglePartition" not in text
