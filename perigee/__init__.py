@@ -8,6 +8,8 @@ Two tables carry the data model:
 Every operator takes and returns DataFrames; nothing is collected to the driver.
 """
 
+from perigee.operators import catalogue
 from perigee.operators.filters import FilterSpec
+from perigee.sources import feed, tables
 
-__all__ = ["FilterSpec"]
+__all__ = ["FilterSpec", "catalogue", "feed", "tables"]

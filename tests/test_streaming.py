@@ -133,3 +133,39 @@ def test_window_key_independent_of_session_time_zone(spark):
     finally:
         spark.conf.set(key, old)
     assert r["status"] == "ok", r
+
+
+def test_dedup_stream_drops_pages_behind_the_watermark(spark, scratch):
+    import json
+
+    from test_feed import obj, page
+
+    landing = os.path.join(scratch, "late-pages")
+    os.makedirs(landing)
+    pages = [
+        page({"2030-01-01": [obj(1, "a", "2030-01-01")]}),  # on time
+        page({"2030-03-01": [obj(2, "b", "2030-03-01")]}),  # jump ahead: watermark -> 2030-02-22
+        page({"2030-03-02": [obj(3, "c", "2030-03-02")]}),  # filler: the new watermark takes effect
+        page({"2030-01-05": [obj(4, "d", "2030-01-05")]}),  # late: dropped
+    ]
+    now = time.time()
+    for i, p in enumerate(pages):
+        path = os.path.join(landing, f"page-{i}.json")
+        with open(path, "w") as f:
+            f.write(json.dumps(p))
+        os.utime(path, (now + i, now + i))
+    out, ckpt = os.path.join(scratch, "late-out"), os.path.join(scratch, "late-ckpt")
+    q = (
+        ingest.dedup_stream(ingest.flat_stream(spark, landing, max_files_per_trigger=1))
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", ckpt)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    dropped = sum(
+        op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p.get("stateOperators", [])
+    )
+    assert dropped >= 1
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
