@@ -143,12 +143,12 @@ def k_stream_window_counts(spark, sf_dir):
     out = new_run_dir(spark, "window-counts")
     with windows.session_time_zone(spark, "UTC"):
         q = windows.run_window_counts(
-            spark, f"{sf_dir.rstrip('/')}/events.parquet", out, new_run_dir(spark, "window-ckpt")
+            spark, f"{sf_dir.rstrip('/')}/events.parquet", out, new_run_dir(spark, "window-ckpt"), mode="update"
         )
         q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return windows.read_latest(spark, out)
+    return windows.read_counts(spark, out)
 
 
 INGEST_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -169,3 +169,27 @@ def test_dedup_stream_drops_pages_behind_the_watermark(spark, scratch):
     )
     assert dropped >= 1
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_update_mode_keeps_current_counts_across_batches(spark, scratch):
+    src = os.path.join(scratch, "uevents")
+    os.makedirs(src)
+    t = dt.datetime
+    files = [
+        [t(2024, 1, 1, 10), t(2024, 1, 1, 12)],
+        [t(2024, 1, 1, 13), t(2024, 1, 2, 9)],  # updates an existing window
+        [t(2024, 1, 5, 10)],  # jump ahead: watermark -> 2024-01-04 10:00
+        [t(2024, 1, 5, 11)],  # filler
+        [t(2024, 1, 1, 14), t(2024, 1, 5, 12)],  # first is late and dropped, second updates
+    ]
+    now = time.time()
+    for i, ts in enumerate(files):
+        p = os.path.join(src, f"part-{i}.parquet")
+        _events_file(p, ts, i * 10)
+        os.utime(p, (now + i, now + i))
+    out, ckpt = os.path.join(scratch, "uout"), os.path.join(scratch, "uckpt")
+    q = windows.run_window_counts(spark, src, out, ckpt, mode="update", max_files_per_trigger=1)
+    q.awaitTermination()
+    assert q.exception() is None
+    got = sorted(rows(windows.read_counts(spark, out).select("window_start", "n_events")))
+    assert got == [(t(2024, 1, 1), 3), (t(2024, 1, 2), 1), (t(2024, 1, 5), 3)]
