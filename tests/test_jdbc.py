@@ -1,0 +1,16 @@
+"""JDBC helpers without a database (none may be started here): the column lists and the
+database column types must stay in step with the table schemas."""
+
+from perigee.schemas import ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA
+from perigee.sources import jdbc
+
+
+def test_columns_follow_the_schemas():
+    assert jdbc.COLUMNS["asteroids"] == [f.name for f in ASTEROIDS_SCHEMA.fields]
+    assert jdbc.COLUMNS["close_approach"] == [f.name for f in CLOSE_APPROACH_SCHEMA.fields]
+
+
+def test_create_column_types_name_every_column_once():
+    for table, schema in (("asteroids", ASTEROIDS_SCHEMA), ("close_approach", CLOSE_APPROACH_SCHEMA)):
+        declared = [part.strip().split()[0] for part in jdbc.CREATE_COLUMN_TYPES[table].split(",")]
+        assert declared == [f.name for f in schema.fields]
