@@ -217,3 +217,25 @@ def test_skewed_tables_match_independent_sql(spark):
     con = duck_fixture(dim, fact)
     for key in cat.CATALOGUE:
         same_as_oracle(spark, con, a, ca, key)
+
+
+def test_getting_nearer_equals_brute_force_pairs(spark):
+    """300 random objects with dense ties, same-day approaches and NULLs, one Spark job."""
+    rnd = random.Random(5)
+    fact, expected = [], set()
+    for obj in range(300):
+        rows_ = [
+            (obj, rnd.choice([None] + [dt.date(2030, 1, d) for d in range(1, 6)]), 1.0,
+             rnd.choice([None, 0.1, 0.2, 0.2, 0.3]), None, None, "Earth")
+            for _ in range(rnd.randint(0, 6))
+        ]
+        fact.extend(rows_)
+        if any(
+            d1 is not None and d2 is not None and a1 is not None and a2 is not None and d1 < d2 and a1 > a2
+            for (_, d1, _, a1, *_1) in rows_
+            for (_, d2, _, a2, *_2) in rows_
+        ):
+            expected.add(obj)
+    ca = spark.createDataFrame(fact, CLOSE_APPROACH_SCHEMA)
+    got = {r[0] for r in cat.getting_nearer_ids(ca).collect()}
+    assert got == expected and 0 < len(expected) < 300
