@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import UPPER, let, text_or_empty, window_hashes, words
+from perigee.llm.common import UPPER, let, text_or_empty, window_hashes, words, written
 
 # Least distance of a limit from the quartile, in parts per million
 # (word_length: in millionths of a character).
@@ -95,7 +95,7 @@ def repeated_words(w: Column) -> Column:
 def base_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` plus the counts of the whole text and ``base_failed``."""
     text = text_or_empty(F.col("text"))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(F.col("__t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = (
         docs.select(*keep, text.alias("__t"), words(F.col("text")).alias("__w"))
         .withColumn(
@@ -164,19 +164,16 @@ def limits(sketch: DataFrame, margins: dict[str, int] = MARGINS, reach: int = RE
     Rolled-up sketches are sums of the finer ones.  One row per group and level (``level`` 0
     group, 1 language, 2 all).
     """
-    levels = [
-        sketch.select(F.lit(0).alias("level"), "lang", "source", "ratio", "bucket", "n"),
-        sketch.select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "ratio", "bucket", "n"),
-        sketch.select(
-            F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"),
-            "ratio", "bucket", "n",
-        ),
-    ]
+    levels = F.array(
+        F.struct(F.lit(0).alias("level"), "lang", "source"),
+        F.struct(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source")),
+        F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")),
+    )
     merged = (
-        levels[0].unionByName(levels[1]).unionByName(levels[2])
-        .groupBy("level", "lang", "source", "ratio", "bucket")
+        sketch.select(F.explode(levels).alias("g"), "ratio", "bucket", "n")
+        .groupBy("g.level", "g.lang", "g.source", "ratio", "bucket")
         .agg(F.sum("n").alias("n"))
-    )
+    )
     by = "PARTITION BY level, lang, source, ratio"
     ranked = merged.selectExpr(
         "*",
@@ -201,25 +198,35 @@ def limits(sketch: DataFrame, margins: dict[str, int] = MARGINS, reach: int = RE
     )
 
 
-def judge(counts: DataFrame, min_group: int = MIN_GROUP, margins: dict[str, int] = MARGINS) -> DataFrame:
-    """``counts`` with ``kept``: false if base_failed, else whether all ratios are inside the limits."""
-    lim = limits(sketches(counts), margins)
+def group_limits(sketch: DataFrame, min_group: int = MIN_GROUP, margins: dict[str, int] = MARGINS) -> DataFrame:
+    """One row per (lang, source): the limits of the finest level with ``min_group`` documents."""
+    lim = limits(sketch, margins)
     names = [f"{k}_{end}" for k in margins for end in ("low", "high")]
 
-    def level(k: int, tag: str) -> DataFrame:
-        return lim.where((F.col("level") == k) & (F.col("docs") >= (min_group if k < 2 else 1))).select(
-            F.col("lang").alias(f"__lang{tag}"), F.col("source").alias(f"__source{tag}"),
-            F.struct(*names).alias(f"__lim{tag}"),
-        )
+    def level(k: int, least: int) -> DataFrame:
+        enough = F.when(F.col("docs") >= least, F.struct(*names))
+        return lim.where(F.col("level") == k).select("lang", "source", enough.alias(f"lim{k}"))
 
-    own, lang, whole = level(0, "0"), level(1, "1"), level(2, "2")
-    joined = (
-        counts.join(own, F.col("lang").eqNullSafe(F.col("__lang0")) & F.col("source").eqNullSafe(F.col("__source0")), "left")
+    lang = level(1, min_group).select(F.col("lang").alias("__lang1"), "lim1")
+    whole = level(2, 1).select(F.lit(1).alias("__one"), "lim2")  # a single row
+    return (
+        level(0, min_group)
         .join(lang, F.col("lang").eqNullSafe(F.col("__lang1")), "left")
-        # the overall level is one row: joined on a constant key
         .withColumn("__one", F.lit(1))
-        .join(whole.withColumn("__one", F.lit(1)).select("__one", "__lim2"), "__one", "left")
-        .withColumn("__lim", F.coalesce("__lim0", "__lim1", "__lim2"))
+        .join(F.broadcast(whole), "__one", "left")
+        .select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.coalesce("lim0", "lim1", "lim2").alias("__lim"))
+    )
+
+
+def judge(
+    counts: DataFrame, min_group: int = MIN_GROUP, margins: dict[str, int] = MARGINS
+) -> DataFrame:
+    """``counts`` with ``kept``: false if base_failed, else whether all ratios are inside the limits."""
+    lim = group_limits(sketches(counts), min_group, margins)
+    joined = counts.join(
+        lim,
+        F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")),
+        "left",
     )
     inside = F.lit(True)
     for k, v in _ratios().items():
@@ -230,7 +237,7 @@ def judge(counts: DataFrame, min_group: int = MIN_GROUP, margins: dict[str, int]
 
 def quality_report(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The verdict of every document with its counts."""
-    counts = base_counts(docs, ["doc_id", "lang", "source"])
+    counts = written(base_counts(docs, ["doc_id", "lang", "source"]), "quality")  # read twice
     return judge(counts, min_group).drop("lang", "source", "n_lines", "n_capitals")
 
 
