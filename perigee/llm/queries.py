@@ -6,22 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import quality, sharding
+from perigee.llm import decontam, neardup, pieces, pii, quality, sharding
 from perigee.llm.common import table
 
 SHARDS = 8
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sampled_encoding(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op8_quality_rules)
+    f.__name__: f
+    for f in (
+        op2_sentencepiece_sampling,
+        op3_sharding,
+        op5_pii_surrogates,
+        op6_minhash_neardup,
+        op8_quality_rules,
+        op9_decontamination,
+        op10_token_counts,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
