@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import decontam, neardup, pieces, pii, quality, sharding
+from perigee.llm import decontam, html, neardup, pieces, pii, quality, sharding, toxicity
 from perigee.llm.common import table
 
 SHARDS = 8
@@ -20,6 +20,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_sentencepiece_sampling,
         op3_sharding,
+        op4_html_extraction,
         op5_pii_surrogates,
         op6_minhash_neardup,
+        op7_toxicity,
         op8_quality_rules,
         op9_decontamination,
         op10_token_counts,
