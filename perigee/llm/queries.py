@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import decontam, html, neardup, pieces, pii, quality, sharding, toxicity
+from perigee.llm import decontam, html, lm, neardup, pieces, pii, quality, sharding, toxicity
 from perigee.llm.common import table
 
 SHARDS = 8
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sampled_encoding(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
 
@@ -51,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_sentencepiece_sampling,
         op3_sharding,
         op4_html_extraction,
