@@ -7,19 +7,25 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
    of copies of any size is one row from here on.
 2. Sketch: the ``K`` least hashes of the class.  The ``PROBES`` least go into inverted lists
    (value -> classes).
-3. Overlaps: a pair of classes is a candidate if it shares a value and the sizes allow the
-   similarity.  A list longer than ``LIST_MAX`` is not paired: its members are compared with one
-   pivot, and are listed again under (value, next retained value) pairs, then triples and so
-   on, until lists are short; lists of members that stay together at the last level (they share
-   ``DEPTH`` least values) are paired after removing what is already known to be connected.
-4. Filter: the union sketch of a pair (K least of both sketches) estimates the similarity;
-   pairs far below the threshold go.
+3. Overlaps, by the length of a list:
+   * up to ``SMALL``: its pairs are counted; two classes that share at least two lists (or one, if
+     one of the classes also stands in a long list) and whose sizes allow the similarity are a
+     candidate;
+   * up to ``BLOCK``: its members meet in one task with their full sets, which tells all links
+     among them exactly and returns no more of them than connect them (fewer than members);
+   * longer lists (a passage that many texts share, or thousands of near copies) are never paired:
+     their members are listed again under pairs of long-list values, then triples, ... up to
+     ``DEPTH`` values.  Texts that share a passage only fall apart; near copies stay together.  Lists
+     still long are joined into families, and a family meets in pairs of half blocks.
+4. Filter: the union sketch of a candidate (K least values of both sketches) estimates the
+   similarity; pairs far below the threshold go.
 5. Verification: the full sets of the remaining pairs decide exactly.
 6. Components of the verified links; ``component_id`` is the least doc_id reachable.
 
-A link with similarity s >= 0.85 is missed only if the lists miss it: with 10 probes of two sets
-that agree in 92 % of their values, under 1e-7 for single values and 3e-6 for pairs; or if the
-estimate (K = 64, deviation 0.045) errs by more than ``MARGIN_PCT`` = 25 points (5 deviations).
+Nothing is capped: every list is paired, met in blocks or split further.  A link with similarity
+s >= 0.85 can be missed only by chance of the hash: if the two share fewer than two of 8 least values
+(under 1e-5 at s = 0.85, falling fast with s), or if the estimate (K = 64, deviation 0.045) errs by
+more than ``MARGIN_PCT`` = 25 points (5 deviations).
 
 A null doc_id joins the class of its text: its component_id is null only where no equal text has
 an id, and it is kept only then.  Repeated rows are returned each (``drop_near_duplicates`` keeps
@@ -28,7 +34,9 @@ one row of equal id and text); empty tables give empty results; extra columns pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.llm.common import ascii_lower, let, shingles, text_or_empty, words, written
@@ -36,8 +44,9 @@ from perigee.llm.components import components
 
 WIDTH = 5
 K = 64
-PROBES = 10
-LIST_MAX = 100
+PROBES = 8
+SMALL = 16
+BLOCK = 512
 DEPTH = 4
 MARGIN_PCT = 25
 
@@ -69,94 +78,148 @@ def shingled(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 def _lists(members: DataFrame, depth: int) -> DataFrame:
     """Members (cls, n, vals) listed under every ascending combination of ``depth`` values."""
-    out = members.select("cls", "n", F.transform(F.sequence(F.lit(1), F.size("vals")), lambda i: i).alias("ix"), "vals")
-    out = out.select("cls", "n", "vals", F.explode("ix").alias("at")).withColumn(
-        "key", F.xxhash64(F.get("vals", F.col("at") - 1))
-    )
+    out = members.select("cls", "n", "vals", F.explode(F.sequence(F.lit(1), F.size("vals"))).alias("at"))
+    out = out.withColumn("key", F.xxhash64(F.lit(depth), F.get("vals", F.col("at") - 1)))
     for _ in range(depth - 1):
         nexts = F.filter(F.sequence(F.lit(1), F.size("vals")), lambda i: i > F.col("at"))
         out = out.select("cls", "n", "vals", "key", F.explode(nexts).alias("at")).withColumn(
             "key", F.xxhash64("key", F.get("vals", F.col("at") - 1))
         )
-    return out
+    return out.select("key", "cls", "n", F.get("vals", F.col("at") - 1).alias("val"))
 
 
-def _fits(threshold_pct: int) -> Column:
-    return (100 * F.least("n1", "n2") >= threshold_pct * F.greatest("n1", "n2")) & (F.col("c1") < F.col("c2"))
+def _pairs(listed: DataFrame, threshold_pct: int) -> DataFrame:
+    """Pairs of members of the same list whose sizes allow the similarity, once for each list."""
+    a = listed.selectExpr("key", "cls AS c1", "n AS n1")
+    b = listed.selectExpr("key", "cls AS c2", "n AS n2")
+    fits = (100 * F.least("n1", "n2") >= threshold_pct * F.greatest("n1", "n2")) & (F.col("c1") < F.col("c2"))
+    return a.join(b, "key").where(fits).select("c1", "c2")
 
 
-def _pairs(listed: DataFrame, by: str, threshold_pct: int) -> DataFrame:
-    """Pairs of members of the same list whose sizes allow the similarity."""
-    a = listed.select(by, F.col("cls").alias("c1"), F.col("n").alias("n1"))
-    b = listed.select(by, F.col("cls").alias("c2"), F.col("n").alias("n2"))
-    return a.join(b, by).where(_fits(threshold_pct)).select("c1", "c2").distinct()
+def block_links(threshold_pct: int, columns: int = 1 << 14):
+    """For a group (cls, sh) of at most ``BLOCK`` members: verified links that connect all that link.
 
+    Intersection sizes are products of the incidence matrix of the shingles that two members share,
+    some columns at a time.
+    """
 
-def links(classes: DataFrame, docs_sets, threshold_pct: int, probes: int, list_max: int, depth: int, margin_pct: int) -> DataFrame:
-    """Verified links (c1 < c2) between classes (cls, n, sketch).
+    def run(group: pa.Table) -> pa.Table:
+        cls = group["cls"].to_numpy()
+        sets = group["sh"].combine_chunks()
+        ends = sets.offsets.to_numpy()
+        values = sets.values.to_numpy()[ends[0] : ends[-1]]
+        sizes = np.diff(ends)
+        row = np.repeat(np.arange(len(cls)), sizes)
+        uniq, col, many = np.unique(values, return_inverse=True, return_counts=True)
+        rank = np.cumsum(many > 1) - 1
+        shared = many[col] > 1
+        row, col = row[shared], rank[col[shared]]
+        inter = np.zeros((len(cls), len(cls)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for a in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+            lo, hi = np.searchsorted(col, [a, a + columns])
+            part = np.zeros((len(cls), columns), np.float32)
+            part[row[lo:hi], col[lo:hi] - a] = 1
+            inter += part @ part.T
+        union = sizes[:, None] + sizes[None, :] - inter
+        linked = (100 * inter >= threshold_pct * union) & (cls[:, None] != cls[None, :])
+        left = np.ones(len(cls), bool)
+        out: list[tuple[int, int]] = []
+        for seed in range(len(cls)):  # spanning trees, breadth first
+            if not left[seed]:
+                continue
+            left[seed] = False
+            todo = [seed]
+            for at in todo:
+                found = np.flatnonzero(linked[at] & left)
+                left[found] = False
+                out += [(at, int(x)) for x in found]
+                todo += found.tolist()
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        ids = np.sort(cls[pairs], axis=1)
+        return pa.table({"c1": pa.array(ids[:, 0], pa.int64()), "c2": pa.array(ids[:, 1], pa.int64())})
 
-    ``docs_sets(ids)`` gives (cls, sh) with the full sets of the classes in ``ids``.
-    """
+    return run
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sk = classes.select("cls", "n", "sketch")
-        left = pairs.join(sk.selectExpr("cls AS c1", "n AS n1", "sketch AS k1"), "c1")
-        both = left.join(sk.selectExpr("cls AS c2", "n AS n2", "sketch AS k2"), "c2")
-        size = F.greatest(F.size("k1"), F.size("k2"))
-        union = F.slice(F.sort_array(F.array_union("k1", "k2")), F.lit(1), size)
-        agree = F.size(F.array_intersect(F.array_intersect(F.col("k1"), F.col("k2")), union))
-        est = both.where(100 * agree >= (threshold_pct - margin_pct) * F.size(union)).select("c1", "c2", "n1", "n2")
-        est = written(est, "neardup-candidates")
-        ids = est.select(F.col("c1").alias("cls")).unionByName(est.select(F.col("c2").alias("cls"))).distinct()
-        sets = written(docs_sets(ids), "neardup-full")
-        full = est.join(sets.selectExpr("cls AS c1", "sh AS h1"), "c1").join(sets.selectExpr("cls AS c2", "sh AS h2"), "c2")
-        inter = F.size(F.array_intersect("h1", "h2"))
-        return written(
-            full.withColumn("i", inter).where(100 * F.col("i") >= threshold_pct * (F.col("n1") + F.col("n2") - F.col("i"))).select("c1", "c2"),
-            "neardup-links",
-        )
 
-    members = written(classes.select("cls", "n", F.slice("sketch", 1, probes).alias("vals")), "neardup-members")
-    pairs, long_members, pivots = None, members, None
+def links(
+    classes: DataFrame, docs_sets, threshold_pct: int, probes: int, small: int, block: int, depth: int, margin_pct: int
+) -> DataFrame:
+    """Verified links (c1 < c2) that connect the classes (cls, n, sketch) as all links do.
+
+    ``docs_sets(ids)`` gives (cls, sh) with the full sets of the classes in ``ids``.
+    """
+    members = classes.select("cls", "n", F.slice("sketch", 1, probes).alias("vals"))
+    pairs, meets = [], []
+    long_values = None  # (cls) that stand in a long list
     for level in range(1, depth + 1):
-        listed = _lists(long_members, level)
-        sizes = listed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("cls", "key").alias("h"), "cls", "n")).alias("pivot"))
-        sizes = written(sizes.where("many > 1"), "neardup-lists")
-        short = listed.join(sizes.where(F.col("many") <= list_max).select("key"), "key", "left_semi")
-        found = _pairs(short, "key", threshold_pct)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        too_long = sizes.where(F.col("many") > list_max)
-        if too_long.isEmpty():
-            return verified(written(pairs.distinct(), "neardup-pairs"))
-        star = (
-            listed.join(too_long.select("key", "pivot"), "key")
-            .select(
-                F.least("cls", "pivot.cls").alias("c1"), F.greatest("cls", "pivot.cls").alias("c2"),
-                F.col("n").alias("n1"), F.col("pivot.n").alias("n2"),
+        listed = _lists(members, level)
+        # the number of members of a list goes back to them: lists of one are dropped at once
+        many = listed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+        listed = written(listed.join(many, "key"), "neardup-lists")
+        found = _pairs(listed.where(F.col("many") <= small), threshold_pct)
+        pairs.append(found.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("lists")).withColumn("lists", F.col("lists") + (level > 1) * 1))
+        meets.append(listed.where((F.col("many") > small) & (F.col("many") <= block)).select("key", "cls"))
+        over = listed.where(F.col("many") > block)
+        if over.isEmpty():
+            break
+        if level == 1:
+            # only values of long lists are combined further
+            members = written(
+                over.groupBy("cls", "n").agg(F.array_sort(F.collect_set("val")).alias("vals")), "neardup-long"
             )
-            .where(_fits(threshold_pct)).select("c1", "c2").distinct()
-        )
-        pivots = star if pivots is None else pivots.unionByName(star)
-        rest = listed.join(too_long.select("key"), "key", "left_semi").select("cls").distinct()
-        long_members = written(long_members.join(rest, "cls", "left_semi"), "neardup-long")
-    # Members of lists that are still long share ``depth`` least values: groups of near copies.
-    # What pivots and short lists connect is one component; only pairs across components are left.
-    known = verified(written(pairs.unionByName(pivots).distinct(), "neardup-pairs"))
-    comp = components(known.select(F.col("c1").alias("u"), F.col("c2").alias("v")))
-    last = written(
-        _lists(long_members, depth)
-        .join(too_long.select("key"), "key", "left_semi")
-        .join(comp.withColumnRenamed("id", "cls"), "cls", "left")
-        .select("key", "cls", "n", F.coalesce("component_id", "cls").alias("comp")),
-        "neardup-last",
+            long_values = members.select("cls")
+        elif level < depth:
+            members = written(members.join(over.select("cls").distinct(), "cls", "left_semi"), "neardup-long")
+        else:
+            meets.append(_families(over.select("key", "cls"), block))
+    candidates = pairs[0]
+    if long_values is not None:
+        flagged = long_values.withColumnRenamed("cls", "c1").withColumn("more", F.lit(1))
+        candidates = candidates.join(flagged, "c1", "left").withColumn("lists", F.col("lists") + F.coalesce("more", F.lit(0))).drop("more")
+    for p in pairs[1:]:
+        candidates = candidates.unionByName(p)
+    candidates = candidates.where("lists > 1").select("c1", "c2").distinct()
+
+    sketch = classes.select("cls", "n", "sketch")
+    both = candidates.join(sketch.selectExpr("cls AS c1", "n AS n1", "sketch AS k1"), "c1").join(
+        sketch.selectExpr("cls AS c2", "n AS n2", "sketch AS k2"), "c2"
+    )
+    union = F.slice(F.sort_array(F.array_union("k1", "k2")), F.lit(1), F.greatest(F.size("k1"), F.size("k2")))
+    agree = F.size(F.array_intersect(F.array_intersect(F.col("k1"), F.col("k2")), union))
+    likely = written(
+        both.where(100 * agree >= (threshold_pct - margin_pct) * F.size(union)).select("c1", "c2", "n1", "n2"), "neardup-likely"
+    )
+    meet = meets[0]
+    for m in meets[1:]:
+        meet = meet.unionByName(m)
+    meet = written(meet, "neardup-meets")
+
+    ids = meet.select("cls").unionByName(likely.select(F.col("c1").alias("cls"))).unionByName(likely.select(F.col("c2").alias("cls")))
+    sets = written(docs_sets(ids.distinct()), "neardup-full")
+    full = likely.join(sets.selectExpr("cls AS c1", "sh AS h1"), "c1").join(sets.selectExpr("cls AS c2", "sh AS h2"), "c2")
+    shared = F.size(F.array_intersect("h1", "h2"))
+    one_by_one = full.select("c1", "c2", "n1", "n2", shared.alias("i")).where(
+        100 * F.col("i") >= threshold_pct * (F.col("n1") + F.col("n2") - F.col("i"))
+    )
+    in_blocks = (
+        meet.join(sets, "cls").select("key", "cls", "sh").groupBy("key").applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint")
+    )
+    return written(one_by_one.select("c1", "c2").unionByName(in_blocks).distinct(), "neardup-links")
+
+
+def _families(over: DataFrame, block: int) -> DataFrame:
+    """(key, cls): lists (key, cls) too long for a block, joined where they share members, and met in
+    pairs of half blocks, so that any two members of a list meet."""
+    named = over.select(F.col("cls").alias("u"), F.min("cls").over(Window.partitionBy("key")).alias("v"))
+    family = components(named)
+    sizes = family.groupBy("component_id").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    placed = family.join(sizes, "component_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = placed.select("id", "component_id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return met.select(
+        F.xxhash64("component_id", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("id").alias("cls")
     )
-    split = last.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    last = last.join(split, "key", "left_semi")
-    a = last.selectExpr("key", "cls AS c1", "n AS n1", "comp AS p1")
-    b = last.selectExpr("key", "cls AS c2", "n AS n2", "comp AS p2")
-    across = a.join(b, "key").where(_fits(threshold_pct) & (F.col("p1") != F.col("p2"))).select("c1", "c2").distinct()
-    across = written(across, "neardup-across")
-    return known if across.isEmpty() else known.unionByName(verified(across)).distinct()
 
 
 def near_components(
@@ -165,7 +228,8 @@ def near_components(
     width: int = WIDTH,
     k: int = K,
     probes: int = PROBES,
-    list_max: int = LIST_MAX,
+    small: int = SMALL,
+    block: int = BLOCK,
     depth: int = DEPTH,
     margin_pct: int = MARGIN_PCT,
 ) -> DataFrame:
@@ -187,7 +251,7 @@ def near_components(
         named = chosen.withColumn("s1", F.xxhash64("sh")).join(by_set.select("cls", "s1"), ["cls", "s1"], "left_semi")
         return named.dropDuplicates(["cls", "s1"]).select("cls", "sh")
 
-    found = links(by_set.select("cls", "n", "sketch"), full_sets, threshold_pct, probes, list_max, depth, margin_pct)
+    found = links(by_set.select("cls", "n", "sketch"), full_sets, threshold_pct, probes, small, block, depth, margin_pct)
     comp = components(found.select(F.col("c1").alias("u"), F.col("c2").alias("v"))).withColumnRenamed("id", "cls")
     named = by_set.join(comp, "cls", "left").select(
         "n", "s1", "s2", F.coalesce("component_id", "cls").alias("component_id")
