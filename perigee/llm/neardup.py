@@ -24,7 +24,7 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
 
 Nothing is capped: every list is paired, met in blocks or split further.  A link with similarity
 s >= 0.85 can be missed only by chance of the hash: if the two share fewer than two of 8 least values
-(under 1e-5 at s = 0.85, falling fast with s), or if the estimate (K = 64, deviation 0.045) errs by
+(under 1e-5 at s = 0.85, or at s = 0.8 with 10 values; falling fast with s), or if the estimate (K = 64, deviation 0.045) errs by
 more than ``MARGIN_PCT`` = 25 points (5 deviations).
 
 A null doc_id joins the class of its text: its component_id is null only where no equal text has
@@ -266,9 +266,9 @@ def near_components(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80, probes: int = 10) -> DataFrame:
     """The document with the least doc_id of each component, all columns unchanged."""
-    kept = near_components(docs, threshold_pct).where("kept").groupBy(F.col("doc_id").alias("__doc")).count()
+    kept = near_components(docs, threshold_pct, probes=probes).where("kept").groupBy(F.col("doc_id").alias("__doc")).count()
     stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")), "inner")
     once = stay.where((F.col("count") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
     again = stay.where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select(*docs.columns)
