@@ -24,6 +24,7 @@ Broken markup is read as far as it goes: an unclosed element ends with its paren
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
@@ -97,9 +98,11 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
+                    outside = stack[k - 1][1] if k else OPEN_LINE
+                    if outside != place:
+                        flush()
                     del stack[k:]
-                    place = stack[-1][1] if stack else OPEN_LINE
+                    place = outside
                     break
             continue
         if name in BLOCKS:
@@ -158,39 +161,56 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return keep
 
 
-def main_text(lines: list[str], places: list[int], hashes: list[int], other: list[int] | None) -> str:
-    """The lines that are content, joined; ``other``: line hashes of the paired page."""
-    shared = common_lines(hashes, other) if other else set()
+def main_text(lines: list[str], places: list[int], shared: set[int]) -> str:
+    """The lines that are content, joined; ``shared``: those on the alignment with the paired page."""
+    template = {k for k in shared if places[k] == OPEN_LINE}
     unmarked = [k for k, p in enumerate(places) if p == OPEN_LINE]
-    own = [k for k in unmarked if k not in shared]
-    stays = set(own if own else unmarked)
     if any(p == CONTENT_LINE for p in places):
-        stays = set()  # the page says where its article is
-    return "\n\n".join(x for k, (x, p) in enumerate(zip(lines, places)) if p == CONTENT_LINE or k in stays)
+        unmarked = []  # the page says where its article is
+    own = [k for k in unmarked if k not in template] or unmarked
+    stays = {*own, *(k for k, p in enumerate(places) if p == CONTENT_LINE)}
+    return "\n\n".join(x for k, x in enumerate(lines) if k in stays)
+
+
+def line_hash(line: str) -> int:
+    return zlib.crc32(line.encode("utf-8", "replace")) | (len(line) & 0x7FFFFFFF) << 32
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        F.col("page_id").cast("bigint").alias("page_id"), "url", F.xxhash64("page_id", "url", "html").alias("page_key"), "html"
+    )
+
+
+def page_hashes(pages: DataFrame) -> DataFrame:
+    """url, page_key and the line hashes of every page."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hashes = [[line_hash(t) for t, _ in lines_of(h or "")] for h in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64()))], ["url", "page_key", "hashes"]
+            )
+
+    keyed = _keyed(pages).select("url", "page_key", "html")
+    return keyed.mapInArrow(run, "url string, page_key bigint, hashes array<bigint>")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, page_key, lines, places, hashes of every page."""
-    import zlib
+    """page_id, url, page_key, lines, places of every page; the text of furniture lines is left out."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ls, ps, hs = [], [], []
-            for html in part.column(3).to_pylist():
-                found = lines_of(html or "")
-                ls.append([t for t, _ in found])
-                ps.append([p for _, p in found])
-                hs.append([zlib.crc32(t.encode("utf-8", "replace")) | len(t) << 32 for t, _ in found])
+            found = [lines_of(h or "") for h in part.column(3).to_pylist()]
+            lines = [[t if p != FURNITURE_LINE else "" for t, p in ls] for ls in found]
+            places = [[p for _, p in ls] for ls in found]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in range(3)), pa.array(ls, pa.list_(pa.string())),
-                 pa.array(ps, pa.list_(pa.int32())), pa.array(hs, pa.list_(pa.int64()))],
-                ["page_id", "url", "page_key", "lines", "places", "hashes"],
-            )
+                [*(part.column(k) for k in range(3)), pa.array(lines, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int8()))],
+                ["page_id", "url", "page_key", "lines", "places"],
+            )
 
-    return pages.select(
-        F.col("page_id").cast("bigint").alias("page_id"), "url", F.xxhash64("page_id", "url", "html").alias("page_key"), "html"
-    ).mapInArrow(
-        run, "page_id bigint, url string, page_key bigint, lines array<string>, places array<int>, hashes array<bigint>"
+    return _keyed(pages).mapInArrow(
+        run, "page_id bigint, url string, page_key bigint, lines array<string>, places array<tinyint>"
     )
 
 
@@ -230,22 +250,38 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    lined = written(page_lines(pages), "html-lines")
-    near = nearest_pages(lined.select("url", "page_key"))
-    others = (
-        near.join(lined.select(F.col("page_key").alias("near_key"), F.col("hashes").alias("other")).dropDuplicates(["near_key"]), "near_key")
-        .select(F.col("page_key").alias("own_key"), "other")
-    )
-    joined = lined.join(others, lined.page_key == others.own_key, "left").select(
-        "page_id", "url", "lines", "places", "hashes", "other"
+def shared_lines(hashed: DataFrame) -> DataFrame:
+    """(page_key, shared): places of the lines that a page shares with its nearest page, in order."""
+    own = hashed.select("page_key", "hashes").dropDuplicates(["page_key"])
+    pairs = (
+        nearest_pages(hashed.select("url", "page_key"))
+        .join(own, "page_key")
+        .join(own.select(F.col("page_key").alias("near_key"), F.col("hashes").alias("near")), "near_key")
+        .select("page_key", "hashes", "near")
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            cols = [part.column(k).to_pylist() for k in range(2, 6)]
-            texts = [main_text(*row) for row in zip(*cols)]
+            both = zip(part.column(1).to_pylist(), part.column(2).to_pylist())
+            shared = [sorted(common_lines(a, b)) for a, b in both]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared, pa.list_(pa.int32()))], ["page_key", "shared"])
+
+    return pairs.mapInArrow(run, "page_key bigint, shared array<int>")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    Pages are parsed twice, once for the hashes that pair and align them (narrow rows) and once for
+    their text: cheaper than to keep all lines on disk between.
+    """
+    shared = shared_lines(written(page_hashes(pages), "html-hashes"))
+    joined = page_lines(pages).join(shared, "page_key", "left").select("page_id", "url", "lines", "places", "shared")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            cols = [part.column(k).to_pylist() for k in range(2, 5)]
+            texts = [main_text(lines, places, set(found or ())) for lines, places, found in zip(*cols)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
