@@ -12,11 +12,14 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
      one of the classes also stands in a long list) and whose sizes allow the similarity are a
      candidate;
    * up to ``BLOCK``: its members meet in one task with their full sets, which tells all links
-     among them exactly and returns no more of them than connect them (fewer than members);
+     among them exactly and returns no more of them than connect them (fewer than members); lists
+     that share members meet as one where the union is not over ``BLOCK`` either, so that a set
+     travels once and not with each list;
    * longer lists (a passage that many texts share, or thousands of near copies) are never paired:
-     their members are listed again under pairs of long-list values, then triples, ... up to
-     ``DEPTH`` values.  Texts that share a passage only fall apart; near copies stay together.  Lists
-     still long are joined into families, and a family meets in pairs of half blocks.
+     their members are listed again under pairs of long-list values.  Texts that share only a passage
+     fall apart; near copies stay together.  Lists still long are joined into families, and a
+     family meets in pairs of half blocks.  (Lists over ``HUGE`` are first split by triples, then by
+     ``DEPTH`` = 4 values; only such lists ask a link to share as many.)
 4. Filter: the union sketch of a candidate (K least values of both sketches) estimates the
    similarity; pairs far below the threshold go.
 5. Verification: the full sets of the remaining pairs decide exactly.
@@ -47,6 +50,7 @@ K = 64
 PROBES = 8
 SMALL = 16
 BLOCK = 512
+HUGE = 20_000
 DEPTH = 4
 MARGIN_PCT = 25
 
@@ -57,11 +61,12 @@ def shingle_set(text: Column, width: int = WIDTH) -> Column:
 
 
 def shingled(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (two hashes that name the set) and its bottom-k sketch, written once."""
-    sets = docs.select("doc_id", shingle_set(F.col("text"), width).alias("sh"))
+    """doc_id, text_key, n (set size), s1, s2 (two hashes that name the set) and its bottom-k sketch, written once."""
+    sets = docs.select("doc_id", F.xxhash64("text").alias("text_key"), shingle_set(F.col("text"), width).alias("sh"))
     return written(
         sets.select(
             "doc_id",
+            "text_key",
             let(
                 F.col("sh"),
                 lambda s: F.struct(
@@ -71,7 +76,7 @@ def shingled(docs: DataFrame, width: int, k: int) -> DataFrame:
                     F.slice(s, 1, k).alias("sketch"),
                 ),
             ).alias("x"),
-        ).select("doc_id", "x.*"),
+        ).select("doc_id", "text_key", "x.*"),
         "neardup-sets",
     )
 
@@ -152,6 +157,7 @@ def links(
     """
     members = classes.select("cls", "n", F.slice("sketch", 1, probes).alias("vals"))
     pairs, meets = [], []
+    families = None
     long_values = None  # (cls) that stand in a long list
     for level in range(1, depth + 1):
         listed = _lists(members, level)
@@ -159,10 +165,11 @@ def links(
         many = listed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
         listed = written(listed.join(many, "key"), "neardup-lists")
         found = _pairs(listed.where(F.col("many") <= small), threshold_pct)
-        pairs.append(found.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("lists")).withColumn("lists", F.col("lists") + (level > 1) * 1))
+        pairs.append(found.groupBy("c1", "c2").agg((F.count(F.lit(1)) + (level > 1) * 1).alias("lists")))
         meets.append(listed.where((F.col("many") > small) & (F.col("many") <= block)).select("key", "cls"))
         over = listed.where(F.col("many") > block)
-        if over.isEmpty():
+        longest = over.agg(F.max("many")).first()[0] or 0
+        if not longest:
             break
         if level == 1:
             # only values of long lists are combined further
@@ -170,10 +177,11 @@ def links(
                 over.groupBy("cls", "n").agg(F.array_sort(F.collect_set("val")).alias("vals")), "neardup-long"
             )
             long_values = members.select("cls")
-        elif level < depth:
+        elif level < depth and longest > HUGE:
             members = written(members.join(over.select("cls").distinct(), "cls", "left_semi"), "neardup-long")
         else:
-            meets.append(_families(over.select("key", "cls"), block))
+            families = _families(over.select("key", "cls"), block)
+            break
     candidates = pairs[0]
     if long_values is not None:
         flagged = long_values.withColumnRenamed("cls", "c1").withColumn("more", F.lit(1))
@@ -194,7 +202,8 @@ def links(
     meet = meets[0]
     for m in meets[1:]:
         meet = meet.unionByName(m)
-    meet = written(meet, "neardup-meets")
+    meet = _joined(meet, block)
+    meet = written(meet if families is None else meet.unionByName(families), "neardup-meets")
 
     ids = meet.select("cls").unionByName(likely.select(F.col("c1").alias("cls"))).unionByName(likely.select(F.col("c2").alias("cls")))
     sets = written(docs_sets(ids.distinct()), "neardup-full")
@@ -209,6 +218,19 @@ def links(
     return written(one_by_one.select("c1", "c2").unionByName(in_blocks).distinct(), "neardup-links")
 
 
+def _joined(lists: DataFrame, block: int) -> DataFrame:
+    """(key, cls): lists that share members as one list, where it has at most ``block`` members."""
+    lists = written(lists, "neardup-middle")
+    named = lists.select(F.col("cls").alias("u"), F.min("cls").over(Window.partitionBy("key")).alias("v"))
+    group = components(named)
+    sizes = group.groupBy("component_id").agg((F.count(F.lit(1)) <= block).alias("fits"))
+    group = group.join(sizes, "component_id").select(F.col("id").alias("cls"), "component_id", "fits")
+    # one (the least) member of a list alone is in no component: it is its own
+    known = lists.join(group, "cls", "left")
+    key = F.when(F.col("fits"), F.xxhash64(F.lit("joined"), "component_id")).otherwise(F.col("key"))
+    return known.select(key.alias("key"), "cls").distinct()
+
+
 def _families(over: DataFrame, block: int) -> DataFrame:
     """(key, cls): lists (key, cls) too long for a block, joined where they share members, and met in
     pairs of half blocks, so that any two members of a list meet."""
@@ -222,7 +244,7 @@ def _families(over: DataFrame, block: int) -> DataFrame:
     )
 
 
-def near_components(
+def near_rows(
     docs: DataFrame,
     threshold_pct: int = 85,
     width: int = WIDTH,
@@ -233,7 +255,7 @@ def near_components(
     depth: int = DEPTH,
     margin_pct: int = MARGIN_PCT,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document (doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id, kept for every document (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     own = shingled(docs, width, k)
     by_set = (
@@ -260,16 +282,24 @@ def near_components(
     component = F.coalesce("component_id", "doc_id")
     return joined.select(
         "doc_id",
+        "text_key",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
 
 
+def near_components(docs: DataFrame, threshold_pct: int = 85, **how: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document (doc_id, text)."""
+    return near_rows(docs, threshold_pct, **how).drop("text_key")
+
+
 def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80, probes: int = 10) -> DataFrame:
     """The document with the least doc_id of each component, all columns unchanged."""
-    kept = near_components(docs, threshold_pct, probes=probes).where("kept").groupBy(F.col("doc_id").alias("__doc")).count()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")), "inner")
-    once = stay.where((F.col("count") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
-    again = stay.where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select(*docs.columns)
+    kept = near_rows(docs, threshold_pct, probes=probes).where("kept")
+    kept = kept.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
+    own = F.xxhash64(docs["text"]) == F.col("__key")
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & own, "inner")
+    once = stay.where((F.col("__rows") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    again = stay.where((F.col("__rows") > 1) & F.col("doc_id").isNotNull()).select(*docs.columns)
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
