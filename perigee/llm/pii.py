@@ -324,9 +324,9 @@ def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def surrogate_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``n_chars`` follows, other columns stay."""
-    out = rewritten(docs, key).drop("__kinds")
+    out = rewritten(docs, key)
     if "n_chars" in docs.columns:
         out = out.withColumn(
-            "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+            "n_chars", F.when(F.size("__kinds") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
         )
     return out.select(*docs.columns)

@@ -1,0 +1,36 @@
+"""The pipeline on a whole small table: each stage against what it must do to its own input."""
+
+import duckdb
+from helpers import SF, shingles
+
+import corpus_pipeline
+from perigee.llm import pieces
+from test_operators import _components
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{name}")
+        if name != "sentence_pieces":
+            assert out.columns == docs.columns
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r["doc_id"]: r for r in docs.collect()}
+    first = {d: t for d, t, *_ in duckdb.sql(f"select * from '{SF}/documents.parquet'").fetchall()}
+    quality = {d: r["text"] for d, r in kept["quality_rules"].items()}
+    assert all(first[d] == t for d, t in quality.items()) and 0 < len(quality) < len(first)
+    want = {d for d, (_, _, stays) in _components(quality, corpus_pipeline.NEAR_PCT).items() if stays}
+    assert set(kept["near_dedup"]) == want
+    items = [set(shingles(t)) for _, t in duckdb.sql(f"select * from '{SF}/benchmark.parquet'").fetchall()]
+    for d in set(kept["near_dedup"]) - set(kept["decontamination"]):
+        assert any(set(shingles(first[d])) & i for i in items)
+    for d in kept["decontamination"]:
+        assert not any(i <= set(shingles(first[d])) for i in items)
+    assert set(kept["pii_surrogates"]) == set(kept["decontamination"]) == set(kept["sentence_pieces"])
+    back = pieces.decoder(pieces.Vocabulary.load())
+    for d, r in kept["sentence_pieces"].items():
+        assert back(r["pieces"]) == kept["pii_surrogates"][d]["text"]
+    again = {r["doc_id"]: r["pieces"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert again == {d: r["pieces"] for d, r in kept["sentence_pieces"].items()}
