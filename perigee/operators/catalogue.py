@@ -57,6 +57,11 @@ def _per_object(ca: DataFrame, *aggs: Column) -> DataFrame:
     return ca.where(F.col(C_KEY).isNotNull()).groupBy(C_KEY).agg(*aggs)
 
 
+def _per_day(ca: DataFrame, *aggs: Column) -> DataFrame:
+    """Fact aggregated to one row per object and day."""
+    return ca.where(F.col(C_KEY).isNotNull()).groupBy(C_KEY, "close_approach_date").agg(*aggs)
+
+
 # --------------------------------------------------------------------------- q00
 def q00_details(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None) -> DataFrame:
     """Every approach with its object's attributes (inner join, no order)."""
@@ -131,10 +136,14 @@ def q02_avg_velocity(
 
 # --------------------------------------------------------------------------- q03
 def q03_top_fastest(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, k: int = 10) -> DataFrame:
-    """Top k (name, date) groups by their fastest approach."""
+    """Top k (name, date) groups by their fastest approach.
+
+    The fact is first cut to one row per object and day (hash aggregate, map-side), which is
+    what meets the dimension.
+    """
     a, ca = _sides(a, ca, filters)
     return (
-        _join(a, ca)
+        _join(a, _per_day(ca, F.max("relative_velocity_kmph").alias("relative_velocity_kmph")))
         .groupBy(F.col("name"), F.col("close_approach_date"))
         .agg(F.max(F.col("relative_velocity_kmph")).alias("fastest_velocity_kmph"))
         .orderBy(F.desc("fastest_velocity_kmph"), F.asc("name"), F.asc("close_approach_date"))
@@ -147,8 +156,12 @@ def q03b_top_fastest_objects(
     a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, k: int = 10
 ) -> DataFrame:
     """Top k objects by fastest approach, one row per object, with that approach's date
-    (earliest date among equal speeds)."""
+    (earliest date among equal speeds).
+
+    A struct minimum sorts its input, so it runs on one row per object and day only.
+    """
     a, ca = _sides(a, ca, filters)
+    ca = _per_day(ca, F.max("relative_velocity_kmph").alias("relative_velocity_kmph"))
     best = F.min(
         F.when(
             F.col("relative_velocity_kmph").isNotNull(),
@@ -215,7 +228,13 @@ def q11_monthly_counts(a: DataFrame, ca: DataFrame, filters: FilterSpec | None =
 
 # --------------------------------------------------------------------------- q06
 def q06_fastest_ever(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, k: int = 1) -> DataFrame:
+    """The k fastest approaches.  An object has at most k among them: only its k first rows meet the
+    dimension (the rank limit runs before the shuffle as well).
+    """
     a, ca = _sides(a, ca, filters)
+    first = Window.partitionBy(C_KEY).orderBy(F.col("relative_velocity_kmph").desc(), F.col("close_approach_date").asc())
+    ca = ca.where(F.col(C_KEY).isNotNull()).select(C_KEY, "relative_velocity_kmph", "close_approach_date")
+    ca = ca.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
     return (
         _join(a, ca)
         .orderBy(F.col("relative_velocity_kmph").desc(), F.col("name").asc(), F.col("close_approach_date").asc())
@@ -285,22 +304,18 @@ def q08b_getting_nearer_objects(a: DataFrame, ca: DataFrame, filters: FilterSpec
 def q09_closest_approach(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None) -> DataFrame:
     """Per name: smallest distance and the date it happened (earliest date among ties).
 
-    The arg-min keeps one struct per group (partial + final aggregation) instead of
-    concatenating every date of the group.
+    Both outputs come from one row: rows without a distance or a date take no part, and a name that
+    has no other rows gets NULL for both.  The fact is cut to one row per object and day before
+    the struct minimum, which keeps one struct per group instead of all dates of the group.
     """
     a, ca = _sides(a, ca, filters)
-    per_id = _per_object(
-        ca,
-        F.min("astronomical").alias("_m"),
-        F.min(closest_key(F.col("astronomical"), F.col("close_approach_date"))).alias("_k"),
-    )
+    daily = _per_day(ca, F.min("astronomical").alias("astronomical"))
+    per_id = _per_object(daily, F.min(closest_key(F.col("astronomical"), F.col("close_approach_date"))).alias("_k"))
+    key = F.min("_k")
     return (
         _join(a, per_id)
         .groupBy(F.col("name"))
-        .agg(
-            F.min("_m").alias("closest_astronomical_distance"),
-            F.min("_k").getField("day").alias("closest_approach_date"),
-        )
+        .agg(key.getField("au").alias("closest_astronomical_distance"), key.getField("day").alias("closest_approach_date"))
         .select(F.col("name").alias("asteroid_name"), "closest_astronomical_distance", "closest_approach_date")
         .orderBy(F.asc("closest_astronomical_distance"), F.asc("asteroid_name"))
     )

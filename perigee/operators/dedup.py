@@ -48,9 +48,20 @@ def order_struct(order: Order) -> Column:
 
 
 def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
-    """One row per ``keys`` (NULL keys form their own group), columns in input order."""
-    payload = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(order_struct(order).alias("o"), F.struct(*payload).alias("p"))).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.p.{c}").alias(c) for c in payload]).select(
-        *df.columns
-    )
+    """One row per ``keys``, columns in input order; ``order`` names every other column.
+
+    The order struct already holds all columns that are not keys, so the survivor is rebuilt from it
+    and no second copy travels.  A NULL in a key is no value: rows with one are not de-duplicated
+    against each other, only equal rows become one.
+    """
+    rest = [name for name, _ in order]
+    if set(rest) | set(keys) != set(df.columns):
+        raise ValueError("order must name every column that is not a key")
+    unknown = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    apart = F.when(unknown, order_struct(order)).alias("_apart")
+    best = df.groupBy(*keys, apart).agg(F.min(order_struct(order)).alias("_best"))
+    sign = {name: (1 if direction == "asc" else -1) for name, direction in order}
+    rebuilt = {
+        name: F.col(f"_best.v{i}") if sign[name] == 1 else -F.col(f"_best.v{i}") for i, name in enumerate(rest)
+    }
+    return best.select(*[rebuilt[c].alias(c) if c in rebuilt else F.col(c) for c in df.columns])

@@ -89,7 +89,9 @@ class FilterSpec:
         preds = []
         if self.name:
             # Partial, case-insensitive match; % and _ in the text keep their LIKE meaning.
-            preds.append(F.col("name").ilike(f"%{self.name}%"))
+            # A backslash is a letter like any other (it would escape the next one).
+            text = self.name.replace("\\", "\\\\")
+            preds.append(F.col("name").ilike(f"%{text}%"))
         if self.hazardous is not None:
             preds.append(F.col("is_potentially_hazardous_asteroid") == F.lit(bool(self.hazardous)))
         if self.magnitude is not None:

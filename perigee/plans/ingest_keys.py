@@ -12,35 +12,49 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.plans.oracle import JOIN, with_binding
 from perigee.schemas import APPROACH_COLUMNS
-from perigee.session import new_run_dir
+from perigee.session import new_run_dir, scratch_root
 from perigee.sources import binding, feed, tables
 from perigee.streaming import ingest, windows
 
 FEED_TARGET_ROWS = 10000  # the reference's stop condition
-LANDING_FILES = 8
+STREAM_FILES = 8
 UPSERT_FIRST_END = dt.date(1998, 7, 1)
 UPSERT_SECOND_START = dt.date(1998, 1, 1)
 
-_LANDED: dict[tuple[str, str], str] = {}
+def _fingerprint(df: DataFrame) -> str:
+    """Digest of the files behind a table: names, sizes and times of change."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("*")))))).first()[0]
 
 
 def landed_pages(spark: SparkSession, sf_dir: str) -> str:
-    """Land the bound tables as feed pages (once per session and sf folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
-        a = binding.asteroids_from_part(binding.table(spark, sf_dir, "part"))
-        ca = binding.approaches_from_lineitem(binding.table(spark, sf_dir, "lineitem"), keep_source_key=True)
-        pages = feed.build_pages(a, ca).repartition(LANDING_FILES, F.col("links.self"))
-        _LANDED[key] = feed.land_pages(pages, new_run_dir(spark, "landing"))
-    return _LANDED[key]
-
-
-def flat_feed(spark: SparkSession, sf_dir: str, all_approaches: bool = False) -> DataFrame:
+    """Land the bound tables as feed pages; a landing of the very same files is used again."""
+    part, lineitem = binding.table(spark, sf_dir, "part"), binding.table(spark, sf_dir, "lineitem")
+    path = f"{scratch_root(spark)}/landing/{_fingerprint(part)}-{_fingerprint(lineitem)}"
+    if not _landed(spark, path):
+        a = binding.asteroids_from_part(part)
+        ca = binding.approaches_from_lineitem(lineitem, keep_part=True)
+        feed.land_pages(feed.build_pages(a, ca), path, mode="overwrite")
+    return path
+
+
+def _landed(spark: SparkSession, path: str) -> bool:
+    """Whether a landing was finished: its writer's success file is there."""
+    try:
+        return bool(spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def flat_feed(spark: SparkSession, sf_dir: str, all_approaches: bool = True) -> DataFrame:
     return feed.read_flat(spark, landed_pages(spark, sf_dir), all_approaches=all_approaches)
 
 
@@ -79,11 +93,11 @@ def k_feed_explode_objects(spark, sf_dir):
 
 
 def k_feed_flatten(spark, sf_dir):
-    return flat_feed(spark, sf_dir)
+    return flat_feed(spark, sf_dir, all_approaches=False)
 
 
 def k_feed_all_approaches(spark, sf_dir):
-    return flat_feed(spark, sf_dir, all_approaches=True)
+    return flat_feed(spark, sf_dir)
 
 
 def k_feed_limit(spark, sf_dir):
@@ -131,7 +145,7 @@ def k_atomic_publish(spark, sf_dir):
 def k_stream_ingest(spark, sf_dir):
     root = new_run_dir(spark, "stream-tables")
     q = ingest.ingest_stream(
-        spark, landed_pages(spark, sf_dir), root, new_run_dir(spark, "stream-ckpt"), max_files_per_trigger=2
+        spark, landed_pages(spark, sf_dir), root, new_run_dir(spark, "stream-ckpt"), max_files_per_trigger=STREAM_FILES
     )
     q.awaitTermination()
     if q.exception():
@@ -139,6 +153,33 @@ def k_stream_ingest(spark, sf_dir):
     return tables.read_tables(spark, root)[1]
 
 
+def k_upsert_load_asteroids(spark, sf_dir):
+    """The dimension after the same batches."""
+    flat = flat_feed(spark, sf_dir)
+    root = new_run_dir(spark, "tables")
+    day = F.col("close_approach_date")
+    tables.upsert(spark, root, flat.where(day < F.lit(UPSERT_FIRST_END)))
+    tables.upsert(spark, root, flat.where(day >= F.lit(UPSERT_SECOND_START)))
+    return tables.read_tables(spark, root)[0]
+
+
+def k_atomic_publish_asteroids(spark, sf_dir):
+    flat = flat_feed(spark, sf_dir)
+    root = new_run_dir(spark, "published")
+    tables.publish(spark, root, tables.load_asteroids(flat), tables.load_close_approach(flat))
+    return tables.read_published(spark, root)[0]
+
+
+def k_ingest_audit_pages(spark, sf_dir):
+    """The per-page audit, summed over the pages of a window (how rows fall on pages is the landing's)."""
+    pages = feed.read_pages(spark, landed_pages(spark, sf_dir), strict=False)
+    per_page = feed.audit_pages(feed.explode_objects(feed.explode_days(pages)))
+    window = F.to_date(F.regexp_extract("page", r"start_date=([0-9-]+)", 1)).alias("window_start")
+    return per_page.groupBy(window).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("n_records", "null_date", "null_velocity", "null_au", "rejected")]
+    )
+
+
 def k_stream_window_counts(spark, sf_dir):
     out = new_run_dir(spark, "window-counts")
     with windows.session_time_zone(spark, "UTC"):
@@ -165,6 +206,9 @@ INGEST_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "create_tables": k_create_tables,
     "upsert_load": k_upsert_load,
     "atomic_publish": k_atomic_publish,
+    "upsert_load_asteroids": k_upsert_load_asteroids,
+    "atomic_publish_asteroids": k_atomic_publish_asteroids,
+    "ingest_audit_pages": k_ingest_audit_pages,
     "stream_ingest": k_stream_ingest,
     "stream_window_counts": k_stream_window_counts,
 }
@@ -184,6 +228,16 @@ FLAT_SQL = (
     "c.relative_velocity_kmph, c.astronomical, c.miss_distance_km, c.miss_distance_lunar, c.orbiting_body "
     f"FROM {JOIN}"
 )
+RECORD = "a.id, c.close_approach_date, c._part"
+FIRST_SQL = (
+    f"{FLAT_SQL} QUALIFY ROW_NUMBER() OVER (PARTITION BY {RECORD} ORDER BY c.astronomical, c.relative_velocity_kmph, "
+    "c.orbiting_body, c.miss_distance_km, c.miss_distance_lunar) = 1"
+)
+ASTEROIDS_SQL = with_binding(
+    "SELECT DISTINCT a.id, a.name, a.absolute_magnitude_h, a.estimated_diameter_min_km, "
+    f"a.estimated_diameter_max_km, a.is_potentially_hazardous_asteroid FROM {JOIN}"
+)
+RECORDS = f"(SELECT DISTINCT {RECORD}, a.name FROM {JOIN})"
 FLAT_ORDER = ", ".join(
     f"{c} ASC NULLS LAST"
     for c in (
@@ -209,14 +263,14 @@ INGEST_ORACLES: dict[str, str] = {
         f"s AS (SELECT {_window_sql('d0')} AS lo, hi FROM b)",
     ),
     "feed_scan": with_binding(
-        f"SELECT {_window_sql('c.close_approach_date')} AS window_start, COUNT(*) AS n_objects, "
-        f"COUNT(DISTINCT c.close_approach_date) AS n_days FROM {JOIN} GROUP BY 1"
+        f"SELECT {_window_sql('close_approach_date')} AS window_start, COUNT(*) AS n_objects, "
+        f"COUNT(DISTINCT close_approach_date) AS n_days FROM {RECORDS} r GROUP BY 1"
     ),
     "feed_explode_days": with_binding(
-        f"SELECT c.close_approach_date, COUNT(*) AS n_objects FROM {JOIN} GROUP BY 1"
+        f"SELECT close_approach_date, COUNT(*) AS n_objects FROM {RECORDS} r GROUP BY 1"
     ),
-    "feed_explode_objects": with_binding(f"SELECT c.close_approach_date, a.id, a.name FROM {JOIN}"),
-    "feed_flatten": with_binding(FLAT_SQL),
+    "feed_explode_objects": with_binding(f"SELECT close_approach_date, id, name FROM {RECORDS} r"),
+    "feed_flatten": with_binding(FIRST_SQL),
     "feed_all_approaches": with_binding(FLAT_SQL),
     "feed_limit": with_binding(f"SELECT * FROM ({FLAT_SQL}) f ORDER BY {FLAT_ORDER} LIMIT {FEED_TARGET_ROWS}"),
     "ingest_audit": with_binding(
@@ -227,9 +281,13 @@ INGEST_ORACLES: dict[str, str] = {
         "COUNT(*) FILTER (WHERE c.orbiting_body IS NULL) AS null_body "
         f"FROM {JOIN} GROUP BY 1"
     ),
-    "load_asteroids": with_binding(
-        "SELECT DISTINCT a.id, a.name, a.absolute_magnitude_h, a.estimated_diameter_min_km, "
-        f"a.estimated_diameter_max_km, a.is_potentially_hazardous_asteroid FROM {JOIN}"
+    "load_asteroids": ASTEROIDS_SQL,
+    "upsert_load_asteroids": ASTEROIDS_SQL,
+    "atomic_publish_asteroids": ASTEROIDS_SQL,
+    "ingest_audit_pages": with_binding(
+        f"SELECT {_window_sql('c.close_approach_date')} AS window_start, COUNT(*) AS n_records, "
+        "CAST(0 AS BIGINT) AS null_date, COUNT(*) FILTER (WHERE c.relative_velocity_kmph IS NULL) AS null_velocity, "
+        f"COUNT(*) FILTER (WHERE c.astronomical IS NULL) AS null_au, CAST(0 AS BIGINT) AS rejected FROM {JOIN} GROUP BY 1"
     ),
     "load_close_approach": DEDUP_FACT_SQL,
     "create_tables": DEDUP_FACT_SQL,

@@ -159,11 +159,11 @@ def catalogue_sql(spec: FilterSpec | None = None, year: int = 1998, bound: bool
             f"SELECT DISTINCT a.id AS asteroid_id, a.name AS asteroid_name FROM {pair} {pair_where}"
         ),
         "q09_closest_approach": wb(
-            "SELECT m.name AS asteroid_name, m.closest_astronomical_distance, r.d AS closest_approach_date "
-            "FROM m LEFT JOIN r ON m.name IS NOT DISTINCT FROM r.name AND r.rn = 1",
+            "SELECT n.name AS asteroid_name, r.au AS closest_astronomical_distance, r.d AS closest_approach_date "
+            "FROM n LEFT JOIN r ON n.name IS NOT DISTINCT FROM r.name AND r.rn = 1",
             f"j AS (SELECT a.name, c.astronomical AS au, c.close_approach_date AS d FROM {JOIN} {_where(w)}), "
-            "m AS (SELECT name, MIN(au) AS closest_astronomical_distance FROM j GROUP BY name), "
-            "r AS (SELECT name, d, ROW_NUMBER() OVER (PARTITION BY name ORDER BY au, d) AS rn "
+            "n AS (SELECT DISTINCT name FROM j), "
+            "r AS (SELECT name, au, d, ROW_NUMBER() OVER (PARTITION BY name ORDER BY au, d) AS rn "
             "FROM j WHERE au IS NOT NULL AND d IS NOT NULL)",
         ),
         "q10_fast_approaches": wb(

@@ -16,21 +16,12 @@ LD_PER_AU = 389.17
 BODY_BY_FLAG = (("A", "Earth"), ("N", "Venus"))
 OTHER_BODY = "Mars"
 SHARED_NAME_MODULUS = 1000
-
-
-_SCHEMAS: dict[tuple[str, str], object] = {}
+RECORD_PARTS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; its footer schema is inferred once per session and path (the given
-    tables are read-only), later reads pass it explicitly and skip the inference job."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SCHEMAS:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    """A test table, listed anew on every call."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def asteroids_from_part(part: DataFrame) -> DataFrame:
@@ -50,7 +41,7 @@ def _body_sql(flag: str) -> str:
     return f"CASE {flag} {cases} ELSE '{OTHER_BODY}' END"
 
 
-def approaches_from_lineitem(lineitem: DataFrame, keep_source_key: bool = False) -> DataFrame:
+def approaches_from_lineitem(lineitem: DataFrame, keep_part: bool = False) -> DataFrame:
     """``lineitem`` as the approach table."""
     au = "l_quantity * l_discount / 10.0D"
     exprs = [
@@ -62,28 +53,18 @@ def approaches_from_lineitem(lineitem: DataFrame, keep_source_key: bool = False)
         f"{au} * {LD_PER_AU}D AS miss_distance_lunar",
         f"{_body_sql('l_returnflag')} AS orbiting_body",
     ]
-    if keep_source_key:
-        # (l_orderkey, l_linenumber, l_suppkey) identifies a source row well enough to spread
-        # copies of one object over pages; it is never part of the domain tables.
-        exprs.append("xxhash64(l_orderkey, l_linenumber, l_suppkey) AS _row_key")
+    if keep_part:
+        # splits the approaches of one object and day over four landed records; never part of the tables
+        exprs.append(f"l_suppkey % {RECORD_PARTS} AS _part")
     return lineitem.selectExpr(*exprs)
 
 
-_BOUND: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
-
-
 def bind(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(asteroids, close_approach) over the whole test tables.
-
-    The bound DataFrames are lazy plans over read-only files, so one pair per session
-    and folder is shared by every query (no repeated file listing or analysis)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _BOUND:
-        _BOUND[key] = (
-            asteroids_from_part(table(spark, sf_dir, "part")),
-            approaches_from_lineitem(table(spark, sf_dir, "lineitem")),
-        )
-    return _BOUND[key]
+    """(asteroids, close_approach) over the whole test tables."""
+    return (
+        asteroids_from_part(table(spark, sf_dir, "part")),
+        approaches_from_lineitem(table(spark, sf_dir, "lineitem")),
+    )
 
 
 # The same binding as DuckDB SQL, for the oracle (written independently of the above).
@@ -103,5 +84,6 @@ close_approach AS (
          l_quantity * l_discount / 10.0e0 AS astronomical,
          l_quantity * l_discount / 10.0e0 * {KM_PER_AU}e0 AS miss_distance_km,
          l_quantity * l_discount / 10.0e0 * {LD_PER_AU}e0 AS miss_distance_lunar,
-         CASE l_returnflag WHEN 'A' THEN 'Earth' WHEN 'N' THEN 'Venus' ELSE 'Mars' END AS orbiting_body
+         CASE l_returnflag WHEN 'A' THEN 'Earth' WHEN 'N' THEN 'Venus' ELSE 'Mars' END AS orbiting_body,
+         l_suppkey % {RECORD_PARTS} AS _part
   FROM lineitem)"""

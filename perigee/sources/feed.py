@@ -16,6 +16,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perigee.schemas import FEED_SCHEMA, FLAT_COLUMNS
 
@@ -26,6 +27,9 @@ DEFAULT_ANCHOR = dt.date(2024, 1, 1)
 DATE_FORMAT = "yyyy-MM-dd"
 PAGE_LINK = "feed?start_date={start}&end_date={end}&page={page}"
 DEFAULT_PAGE_SIZE = 1000
+CORRUPT = "_corrupt_record"
+# Order of the approaches in a landed record.
+APPROACH_SORT = ("astronomical", "relative_velocity_kmph", "orbiting_body", "miss_distance_km", "miss_distance_lunar")
 
 
 # --------------------------------------------------------------------------- windows (I2)
@@ -82,7 +86,11 @@ def _num(c: Column) -> Column:
 
 
 def feed_objects(asteroids: DataFrame, approaches: DataFrame) -> DataFrame:
-    """One feed object per approach (the feed lists an object under each day it passes)."""
+    """One feed object per object and day (the feed lists an object under each day it passes), with
+    its approaches of that day in order: nearest first, then by the other columns.
+
+    ``_part``, where present, splits the approaches of an object and day over several records.
+    """
     approach = F.struct(
         F.date_format("close_approach_date", DATE_FORMAT).alias("close_approach_date"),
         F.struct(_num(F.col("relative_velocity_kmph")).alias("kilometers_per_hour")).alias("relative_velocity"),
@@ -105,17 +113,20 @@ def feed_objects(asteroids: DataFrame, approaches: DataFrame) -> DataFrame:
             ).alias("kilometers")
         ).alias("estimated_diameter"),
         F.col("is_potentially_hazardous_asteroid"),
-        F.array(approach).alias("close_approach_data"),
+        F.col("_approaches").alias("close_approach_data"),
     )
-    if "_row_key" in approaches.columns:
-        row_key = F.col("_row_key")
-    else:
-        row_key = F.xxhash64(*[F.col(c) for c in approaches.columns])
-    joined = asteroids.join(approaches, asteroids["id"] == approaches["neo_reference_id"])
+    part = F.col("_part") if "_part" in approaches.columns else F.lit(0)
+    ordered = F.struct(*[F.col(c) for c in APPROACH_SORT], approach.alias("approach"))
+    listed = (
+        approaches.groupBy("neo_reference_id", "close_approach_date", part.alias("_part"))
+        .agg(F.array_sort(F.collect_list(ordered)).alias("_l"))
+        .withColumn("_approaches", F.transform("_l", lambda x: x.getField("approach")))
+    )
+    joined = asteroids.join(listed, asteroids["id"] == listed["neo_reference_id"])
     return joined.select(
         F.date_format("close_approach_date", DATE_FORMAT).alias("day"),
         window_start(F.col("close_approach_date")).alias("window_start"),
-        F.xxhash64(row_key, F.col("id"), F.col("close_approach_date")).alias("_h"),
+        F.xxhash64("id", "close_approach_date", "_part").alias("_h"),
         obj.alias("obj"),
     )
 
@@ -158,21 +169,33 @@ def build_pages(asteroids: DataFrame, approaches: DataFrame, page_size: int = DE
     )
 
 
-def land_pages(pages: DataFrame, path: str) -> str:
+def land_pages(pages: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write pages as JSON Lines (one page document per line)."""
-    pages.write.mode("errorifexists").json(path)
+    pages.write.mode(mode).json(path)
     return path
 
 
 # --------------------------------------------------------------------------- reading (I1, I4, I5)
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False, strict: bool = True) -> DataFrame:
-    """Landed pages with the explicit feed schema; ``multi_line`` for one pretty document per file."""
-    reader = spark.read.schema(FEED_SCHEMA).option("multiLine", multi_line)
-    reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    pages = reader.json(path)
+    """Landed pages with the explicit feed schema; ``multi_line`` for one pretty document per file.
+
+    Strict reading fails at a broken page; tolerant reading keeps its text in ``_corrupt_record``
+    (``corrupt_pages`` lists them, ``explode_days`` finds no days in them).
+    """
+    reader = spark.read.option("multiLine", multi_line)
+    if strict:
+        pages = reader.schema(FEED_SCHEMA).option("mode", "FAILFAST").json(path)
+    else:
+        reader = reader.schema(T.StructType([*FEED_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]))
+        pages = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return pages.withColumn("page", F.coalesce(F.col("links.self"), F.col("_metadata.file_path")))
 
 
+def corrupt_pages(pages: DataFrame) -> DataFrame:
+    """(page, text) of tolerantly read pages that are no JSON documents of the feed."""
+    return pages.where(F.col(CORRUPT).isNotNull()).select("page", F.col(CORRUPT).alias("text"))
+
+
 def explode_days(pages: DataFrame) -> DataFrame:
     """Map of day -> objects into one row per (page, day)."""
     return pages.select("page", F.explode("near_earth_objects").alias("day", "objects"))
@@ -231,9 +254,15 @@ def flatten_all_approaches(objects: DataFrame, strict: bool = True, keep_page: b
 
 
 def rejects(objects: DataFrame) -> DataFrame:
-    """Objects whose text fields do not parse (tolerant mode drops these from the tables)."""
-    obj = F.col("obj")
-    ap = F.get(obj.getField("close_approach_data"), 0)
+    """Approaches (page, day, obj, element) with text fields that do not parse, every element of the
+    list included; an object without approaches is one row, element NULL.
+
+    Tolerant flattening keeps these rows with NULL in the fields named here.
+    """
+    objects = objects.select(
+        "page", "day", "obj", F.posexplode_outer(F.col("obj").getField("close_approach_data")).alias("element", "_ap")
+    )
+    obj, ap = F.col("obj"), F.col("_ap")
     raw = {
         "id": obj.getField("id"),
         "neo_reference_id": obj.getField("neo_reference_id"),
@@ -251,7 +280,7 @@ def rejects(objects: DataFrame) -> DataFrame:
                                                   "miss_distance_lunar")},
     }
     bad = [F.when(raw[k].isNotNull() & parsed[k].isNull(), F.lit(k)) for k in raw]
-    return objects.select("page", "day", obj.alias("obj"), F.array_compact(F.array(*bad)).alias("bad_fields")).where(
+    return objects.select("page", "day", "obj", "element", F.array_compact(F.array(*bad)).alias("bad_fields")).where(
         F.size("bad_fields") > 0
     )
 
@@ -287,20 +316,30 @@ def limit_rows(flat: DataFrame, target: int) -> DataFrame:
 
 
 def audit(flat: DataFrame) -> DataFrame:
-    """Per request window: records, distinct objects, days and NULLs per parsed field."""
-    return flat.groupBy(window_start(F.col("close_approach_date")).alias("window_start")).agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.countDistinct("id").alias("n_objects"),
-        F.countDistinct("close_approach_date").alias("n_days"),
-        F.count_if(F.col("relative_velocity_kmph").isNull()).alias("null_velocity"),
-        F.count_if(F.col("astronomical").isNull()).alias("null_au"),
-        F.count_if(F.col("orbiting_body").isNull()).alias("null_body"),
+    """Per request window: records, distinct objects, days and NULLs per parsed field.
+
+    One row per (window, object) comes first, with map-side partial sums and the object's days as bits
+    of the window; counting those rows gives the distinct objects, their united bits the days.
+    """
+    null_fields = {"null_velocity": "relative_velocity_kmph", "null_au": "astronomical", "null_body": "orbiting_body"}
+    placed = flat.withColumn("window_start", window_start(F.col("close_approach_date")))
+    bit = F.call_function("shiftleft", F.lit(1), F.datediff("close_approach_date", "window_start"))
+    per_object = placed.groupBy("window_start", "id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_or(bit).alias("days"),
+        *[F.count_if(F.col(c).isNull()).alias(k) for k, c in null_fields.items()],
+    )
+    return per_object.groupBy("window_start").agg(
+        F.sum("n").alias("n_records"),
+        F.count("id").alias("n_objects"),
+        F.coalesce(F.bit_count(F.bit_or("days")), F.lit(0)).cast("bigint").alias("n_days"),
+        *[F.sum(k).alias(k) for k in null_fields],
     )
 
 
 def audit_pages(objects: DataFrame) -> DataFrame:
-    """Per landed page: records, distinct objects and how many fields did not parse."""
-    flat = flatten(objects, strict=False, keep_page=True)
+    """Per landed page: records (all approaches), distinct objects and approaches with unreadable fields."""
+    flat = flatten_all_approaches(objects, strict=False, keep_page=True)
     bad = rejects(objects).groupBy("page").agg(F.count(F.lit(1)).alias("rejected"))
     per_page = flat.groupBy("page").agg(
         F.count(F.lit(1)).alias("n_records"),

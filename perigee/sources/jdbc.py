@@ -36,16 +36,22 @@ def write_table(
     mode: str = "append",
     batchsize: int = 10_000,
     num_partitions: int = 32,
+    target: str | None = None,
 ) -> None:
-    """Write one of the two tables; ``num_partitions`` caps concurrent connections."""
+    """Write one of the two tables (``table``) to the database table ``target`` (default: the same
+    name; a schema-qualified or staging name otherwise).
+
+    ``num_partitions`` caps concurrent connections; the rows are dealt anew, so the stages before the
+    write keep their own parallelism.
+    """
     (
         df.select(*COLUMNS[table])
-        .coalesce(num_partitions)
+        .repartition(num_partitions)
         .write.mode(mode)
         .option("batchsize", batchsize)
         .option("createTableColumnTypes", CREATE_COLUMN_TYPES[table])
         .option("isolationLevel", "READ_COMMITTED")
-        .jdbc(url, table, properties=properties)
+        .jdbc(url, target or table, properties=properties)
     )
 
 
@@ -59,15 +65,16 @@ def read_table(
     upper_bound: int | str,
     num_partitions: int = 32,
     fetchsize: int = 10_000,
+    source: str | None = None,
 ) -> DataFrame:
-    """Parallel read split on ``partition_column`` (bounds only shape the split; every
+    """Parallel read of ``source`` (default: ``table``) split on ``partition_column`` (bounds only shape the split; every
     row is read)."""
     return (
         spark.read.option("fetchsize", fetchsize)
         .option("pushDownPredicate", True)
         .jdbc(
             url,
-            table,
+            source or table,
             column=partition_column,
             lowerBound=lower_bound,
             upperBound=upper_bound,

@@ -72,19 +72,36 @@ def create_tables(spark: SparkSession, database: str, location: str) -> tuple[st
 
 
 def insert_tables(spark: SparkSession, names: tuple[str, str], asteroids: DataFrame, approaches: DataFrame) -> None:
-    """Append to the catalog tables (columns matched by name, partition column last)."""
+    """Add rows whose key is not in the catalog tables yet (a repeated insert adds nothing).
+
+    Rows with a NULL in the key have no identity to be found by: an equal row counts as present.
+    Columns are matched by name, the partition column comes last; rows are dealt by (month, day,
+    object), so a task writes few months.
+    """
     a_name, c_name = names
-    asteroids.select(*spark.table(a_name).columns).write.insertInto(a_name)
-    with_month = approaches.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date")))
-    with_month.select(*spark.table(c_name).columns).write.insertInto(c_name)
+    stored = spark.table(a_name)
+    asteroids.join(stored.select("id"), "id", "left_anti").select(*stored.columns).write.insertInto(a_name)
+    stored = spark.table(c_name)
+    keyed = lambda df: F.when(
+        df["neo_reference_id"].isNull() | df["close_approach_date"].isNull(), F.xxhash64(*[df[c] for c in APPROACH_COLUMNS])
+    )
+    new = approaches.select(*APPROACH_COLUMNS).withColumn("_row", keyed(approaches))
+    there = stored.select(*[F.col(c).alias(f"_{c}") for c in APPROACH_KEY], keyed(stored).alias("_there"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in APPROACH_KEY]
+    new = new.join(there, same[0] & same[1] & F.col("_row").eqNullSafe(F.col("_there")), "left_anti")
+    order = [FACT_PARTITION, "close_approach_date", "neo_reference_id"]
+    new = new.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date"))).repartitionByRange(*order)
+    new.select(*stored.columns).write.insertInto(c_name)
 
 
 # --------------------------------------------------------------------------- storage helpers
 def _exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def month_of(day: F.Column) -> F.Column:

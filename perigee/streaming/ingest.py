@@ -21,12 +21,13 @@ from perigee.sources import feed, tables
 
 
 def flat_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None,
-                strict: bool = True) -> DataFrame:
+                strict: bool = True, all_approaches: bool = True) -> DataFrame:
     reader = spark.readStream.schema(FEED_SCHEMA).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     pages = reader.json(landing).withColumn("page", F.col("links.self"))
-    return feed.flatten(feed.explode_objects(feed.explode_days(pages)), strict=strict)
+    objects = feed.explode_objects(feed.explode_days(pages))
+    return feed.flatten_all_approaches(objects, strict) if all_approaches else feed.flatten(objects, strict)
 
 
 def ingest_stream(
@@ -36,14 +37,23 @@ def ingest_stream(
     checkpoint: str,
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    strict: bool = True,
 ) -> StreamingQuery:
-    """Start the ingest; with ``available_now`` it stops once every landed page is loaded."""
+    """Start the ingest; with ``available_now`` it stops once every landed page is loaded.
+
+    ``strict=False`` goes on over broken pages and unreadable fields (list them with
+    ``feed.corrupt_pages`` and ``feed.rejects``).  A batch is parsed once and held while it is merged.
+    """
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        tables.upsert(batch.sparkSession, root, batch)
+        held = batch.persist()
+        try:
+            tables.upsert(batch.sparkSession, root, held)
+        finally:
+            held.unpersist()
 
     writer = (
-        flat_stream(spark, landing, max_files_per_trigger)
+        flat_stream(spark, landing, max_files_per_trigger, strict)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
     )

@@ -147,10 +147,31 @@ def test_q09_closest_with_ties_and_nulls(spark):
     got = {r[0]: (r[1], r[2]) for r in rows(run(spark, "q09_closest_approach"))}
     assert got["gamma_x"] == (0.0009, dt.date(2031, 1, 1))  # tie on distance: earliest date
     assert got["Beta 50%"] == (0.0009, dt.date(2030, 2, 28))
-    assert got["GAMMA_X"] == (0.4, None)  # the only distance has no date
+    assert got["GAMMA_X"] == (None, None)  # the only distance has no date
     assert "Lonely" not in got
 
 
+def test_q09_distance_and_date_come_from_one_row(spark):
+    from perigee.operators import catalogue as cat
+    from perigee.schemas import ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA
+
+    a = spark.createDataFrame([(1, "A", 1.0, 0.1, 0.2, False)], ASTEROIDS_SCHEMA)
+    rest = (None, None, "Earth")
+    ca = spark.createDataFrame(
+        [(1, None, 1.0, 0.001, *rest), (1, dt.date(2024, 5, 5), 1.0, 0.9, *rest), (1, dt.date(2024, 5, 4), 1.0, None, *rest)],
+        CLOSE_APPROACH_SCHEMA,
+    )
+    assert [tuple(r) for r in cat.q09_closest_approach(a, ca).collect()] == [("A", 0.9, dt.date(2024, 5, 5))]
+
+
+def test_name_filter_takes_a_backslash_as_a_letter(spark):
+    from perigee.operators.filters import FilterSpec
+
+    df = spark.createDataFrame([("a\\b",), ("ab",), ("A\\Bc",)], "name string")
+    got = df.where(FilterSpec(name="a\\b").asteroid_predicate()).collect()
+    assert sorted(r[0] for r in got) == ["A\\Bc", "a\\b"]
+
+
 def test_q10_q14_q15_q18_edges(spark):
     v = {r[1] for r in rows(run(spark, "q10_fast_approaches"))}
     assert 50000.01 in v and 50000.0 not in v

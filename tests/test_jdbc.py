@@ -14,3 +14,26 @@ def test_create_column_types_name_every_column_once():
     for table, schema in (("asteroids", ASTEROIDS_SCHEMA), ("close_approach", CLOSE_APPROACH_SCHEMA)):
         declared = [part.strip().split()[0] for part in jdbc.CREATE_COLUMN_TYPES[table].split(",")]
         assert declared == [f.name for f in schema.fields]
+
+
+class _Recorder:
+    """Stands for a DataFrame and its writer: records the calls (no database is started)."""
+
+    def __init__(self):
+        self.calls = []
+        self.write = self
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            self.calls.append((name, args, kwargs))
+            return self
+
+        return call
+
+
+def test_target_name_is_free_and_upstream_parallelism_is_kept():
+    df = _Recorder()
+    jdbc.write_table(df, "jdbc:x", "asteroids", {}, num_partitions=4, target="staging.asteroids_new")
+    names = [c[0] for c in df.calls]
+    assert "coalesce" not in names and ("repartition", (4,), {}) in df.calls
+    assert df.calls[-1] == ("jdbc", ("jdbc:x", "staging.asteroids_new"), {"properties": {}})

@@ -101,6 +101,9 @@ def test_create_tables_and_insert(spark, scratch):
     assert again == names
     got = spark.table(names[1]).select(*APPROACH_COLUMNS)
     assert sorted_rows(got) == sorted_rows(tables.load_close_approach(flat))
+    tables.insert_tables(spark, names, tables.load_asteroids(flat), tables.load_close_approach(flat))  # adds nothing
+    assert spark.table(names[0]).count() == tables.load_asteroids(flat).count()
+    assert sorted_rows(spark.table(names[1]).select(*APPROACH_COLUMNS)) == sorted_rows(tables.load_close_approach(flat))
 
 
 def test_dimension_duplicate_id_keeps_one_deterministic_row(spark):
