@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 ALPHA = 1e-4
 UNKNOWN_PENALTY = 10
 BAR = 0x2581
