@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from perigee.llm import decontam, html, lm, neardup, pieces, pii, quality, sharding, toxicity
 from perigee.llm.common import table
+from perigee.llm.oracle import ORACLE_SQL  # noqa: F401  read by the entry point
 
 SHARDS = 8
 
@@ -67,5 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
