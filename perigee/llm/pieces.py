@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
+ROWS_AT_ONCE = 256
 ALPHA = 1e-4
 UNKNOWN_PENALTY = 10
 BAR = 0x2581
@@ -81,7 +82,7 @@ class Lattice:
             if len(p) == 1:
                 self.single_id[ord(p)], self.single_score[ord(p)] = i, s
         codes = np.arange(N_CODES)
-        self.n_bytes = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+        self.n_bytes = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).astype(np.uint8)
         children: list[dict[int, int]] = [{}]
         out_id = [-1]
         out_score = [0.0]
@@ -99,7 +100,7 @@ class Lattice:
                 at = children[at][k]
             out_id[at], out_score[at] = i, s
         n = len(children)
-        self.go = np.zeros((n, len(letters) + 1), np.int32)
+        self.go = np.zeros((n, len(letters) + 1), np.uint16 if n < 1 << 16 else np.int32)
         fail = [0] * n
         self.out_link = np.zeros(n, np.int32)  # next shorter piece that ends here, 0: none
         order = [0]
@@ -367,7 +368,8 @@ def _batches(parts: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) -> Itera
     keys: list = []
     texts: list[str] = []
     size = 0
-    for part in parts:
+    slices = (part.slice(a, ROWS_AT_ONCE) for part in parts for a in range(0, part.num_rows, ROWS_AT_ONCE))
+    for part in slices:
         for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             text = text or ""
             if texts and size + len(text) > limit:
