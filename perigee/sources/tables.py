@@ -1,39 +1,39 @@
-"""Loading the two tables: projection, de-duplication, idempotent upsert, publication.
-
-Layout (Parquet):
-
-* ``<root>/asteroids``: one row per ``id``.  New batches append only ids not yet
-  present (``left_anti``), so re-running a batch adds nothing.
-* ``<root>/close_approach``: partitioned by ``approach_month`` (first day of the
-  month of ``close_approach_date``), files range-partitioned and sorted by
-  (day, object) so date predicates also skip row groups inside a month.  A batch
-  rewrites only the months it touches: stored rows of those months are merged with
-  the batch, the survivor per (object, day) is chosen by a total order, the result is
-  checkpointed to the shared checkpoint folder and written with dynamic partition
-  overwrite.  The outcome is the same whatever the batch boundaries and however often
-  a batch is replayed.
-* Publication writes both tables under ``<root>/runs/<run_id>`` and only then appends
-  one manifest record naming the run; readers resolve the newest record, so they see
-  both new tables or neither.
+"""Loading the two tables: projection, de-duplication, versioned upsert, publication.
+
+Layout (Parquet) under ``<root>``:
+
+* ``asteroids/run=<run>``: one row per ``id`` plus ``seen_day``, the newest feed day on which it stood.
+* ``close_approach/run=<run>/approach_month=<month>``: files range-partitioned and sorted by (day,
+  object), so date predicates prune months and skip row groups inside a month.
+* ``manifest/run_no=<n>``: one record per committed run: where the dimension is, which run holds
+  each month, and the row counts.
+
+Nothing stored is ever changed in place.  A load writes new versions of what it touches (the
+dimension, the months of its batch) beside the old ones, checks their row counts against those
+seen while writing, and then adds one manifest record, which switches both tables at once.  A crash
+before that leaves files that no reader looks at; the load can be run again.  Readers resolve the
+newest record.  One writer per root is assumed: a second one that took the same run number fails at its
+manifest record.
+
+The survivor per object (newest feed day, then a total order) and per (object, day) does not depend on
+the order of rows, batches or replays.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perigee.operators.dedup import APPROACH_ORDER, ASTEROID_ORDER, dedup_by_key
 from perigee.operators.filters import MONTH_PARTITION
 from perigee.schemas import APPROACH_COLUMNS, ASTEROID_COLUMNS, ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA
-from perigee.session import ensure_checkpoint_dir
 
 FACT_PARTITION = MONTH_PARTITION
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # Spark's directory name for a NULL partition value
 APPROACH_KEY = ("neo_reference_id", "close_approach_date")
 # Rows per output file; a hot day is split over several files and tasks.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -95,29 +95,37 @@ def insert_tables(spark: SparkSession, names: tuple[str, str], asteroids: DataFr
 
 
 # --------------------------------------------------------------------------- storage helpers
-def _exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+SEEN = "seen_day"
+SEEN_ORDER = ((SEEN, "desc"), *ASTEROID_ORDER)
+MANIFEST_SCHEMA = T.StructType(
+    [
+        T.StructField("run_no", T.LongType()),
+        T.StructField("asteroids_path", T.StringType()),
+        T.StructField("months", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("asteroid_rows", T.LongType()),
+        T.StructField("approach_rows", T.LongType()),
+        T.StructField("approaches_without_object", T.LongType()),
+    ]
+)
 
 
 def month_of(day: F.Column) -> F.Column:
     return F.trunc(day, "MM").alias(FACT_PARTITION)
 
 
-def write_fact(approaches: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_fact(approaches: DataFrame, path: str, rows: Observation | None = None) -> None:
     """Range-partition by (month, day, object) so a hot day spreads over several tasks,
-    sort each task's rows, and write one directory per month."""
+    sort each task's rows, and write one directory per month; ``rows`` gets the count as ``n``."""
     order = [FACT_PARTITION, "close_approach_date", "neo_reference_id"]
-    (
+    placed = (
         approaches.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date")))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+    )
+    # counted after the exchange: the stages before it run once more to find the ranges
+    counted = placed if rows is None else placed.observe(rows, F.count(F.lit(1)).alias("n"))
+    (
+        counted.write.mode("errorifexists")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(FACT_PARTITION)
         .parquet(path)
@@ -128,98 +136,114 @@ def _fact_schema() -> T.StructType:
     return T.StructType([*CLOSE_APPROACH_SCHEMA.fields, T.StructField(FACT_PARTITION, T.DateType())])
 
 
-def read_fact(spark: SparkSession, path: str, with_partition: bool = False) -> DataFrame:
-    df = spark.read.schema(_fact_schema()).parquet(path)
-    return df if with_partition else df.select(*APPROACH_COLUMNS)
+def _stored_asteroids_schema() -> T.StructType:
+    return T.StructType([*ASTEROIDS_SCHEMA.fields, T.StructField(SEEN, T.IntegerType())])
 
 
-def read_dimension(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ASTEROIDS_SCHEMA).parquet(path)
+def _manifest(spark: SparkSession, root: str) -> Row | None:
+    """The newest manifest record; None where nothing was committed."""
+    try:
+        records = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifest/*")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    newest = records.orderBy(F.desc("run_no")).limit(1).collect()
+    return newest[0] if newest else None
+
+
+def _read_months(spark: SparkSession, root: str, months: dict[str, str]) -> DataFrame:
+    """The fact from the month directories a record names, with ``approach_month``."""
+    schema = _fact_schema()
+    if not months:
+        return spark.createDataFrame([], schema)
+    base = f"{root}/close_approach"
+    paths = [f"{base}/{run}/{FACT_PARTITION}={month}" for month, run in sorted(months.items())]
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*[f.name for f in schema.fields])
+
+
+def _commit(
+    spark: SparkSession, root: str, before: Row | None, asteroids: DataFrame, approaches: DataFrame, kept_months: dict[str, str]
+) -> int:
+    """Write new versions of the dimension and of the months in ``approaches``, check them, and switch."""
+    run_no = before["run_no"] + 1 if before else 1
+    run = f"run={run_no:012d}-{uuid.uuid4().hex[:8]}"
+    a_path, c_path = f"{root}/asteroids/{run}", f"{root}/close_approach/{run}"
+    seen_a, seen_c = Observation(), Observation()
+    asteroids.observe(seen_a, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(a_path)
+    write_fact(approaches, c_path, seen_c)
+
+    stored_a = spark.read.schema(_stored_asteroids_schema()).parquet(a_path)
+    there = spark.read.schema(_fact_schema()).parquet(c_path)
+    month = F.coalesce(F.date_format(FACT_PARTITION, "yyyy-MM-dd"), F.lit(NO_MONTH)).alias("month")
+    per_month = {r["month"]: r["count"] for r in there.groupBy(month).count().collect()}  # one row per calendar month
+    n_a, n_c = stored_a.count(), sum(per_month.values())
+    if (n_a, n_c) != (seen_a.get["n"], seen_c.get["n"]):
+        raise RuntimeError(f"{run}: {n_a} and {n_c} rows read back, {seen_a.get['n']} and {seen_c.get['n']} written; not committed")
+    orphans = there.join(stored_a, there["neo_reference_id"] == stored_a["id"], "left_anti").count()
+    months = {**kept_months, **{m: run for m in per_month}}
+    record = spark.createDataFrame([(run_no, a_path, months, n_a, n_c, orphans)], MANIFEST_SCHEMA)
+    record.coalesce(1).write.mode("errorifexists").json(f"{root}/manifest/run_no={run_no:012d}")
+    return run_no
 
 
 # --------------------------------------------------------------------------- I11
-def new_asteroids(current: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """Dimension rows whose id is not stored yet (the first stored copy of an id wins)."""
-    return rows if current is None else rows.join(current.select("id"), "id", "left_anti")
+def seen_asteroids(flat: DataFrame) -> DataFrame:
+    """The dimension of flat feed rows with the newest feed day of each version of an object."""
+    rows = flat.select(*ASTEROID_COLUMNS, F.unix_date("close_approach_date").cast("int").alias(SEEN))
+    return dedup_by_key(rows, ["id"], SEEN_ORDER)
 
 
-def merged_months(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Final content of every month the batch touches: stored rows of those months plus
-    the batch, one survivor per (object, day).
+def merged_asteroids(current: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """One row per id of the stored dimension and new rows: the version seen last wins."""
+    return dedup_by_key(rows if current is None else current.unionByName(rows), ["id"], SEEN_ORDER)
 
-    Stored months are selected with a broadcast semi-join on the partition column (one
-    row per calendar month, so the broadcast is bounded), which dynamic partition
-    pruning turns into a scan of only those month directories.  Stored rows without a
-    date always take part, so the NULL partition is rewritten consistently."""
+
+def merged_months(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Stored rows of the touched months plus the batch, one survivor per (object, day)."""
     rows = batch.select(*APPROACH_COLUMNS)
-    if current is not None:
-        months = rows.select(month_of(F.col("close_approach_date"))).distinct()
-        stored = current.join(F.broadcast(months), FACT_PARTITION, "left_semi").unionByName(
-            current.where(F.col(FACT_PARTITION).isNull())
-        )
+    if stored is not None:
         rows = stored.select(*APPROACH_COLUMNS).unionByName(rows)
-    rows = rows.where(has_approach())
-    return dedup_by_key(rows, list(APPROACH_KEY), APPROACH_ORDER)
+    return dedup_by_key(rows.where(has_approach()), list(APPROACH_KEY), APPROACH_ORDER)
 
 
-def upsert(spark: SparkSession, root: str, flat_batch: DataFrame) -> None:
-    """Idempotent load of one batch of flat feed rows into ``root``."""
-    ensure_checkpoint_dir(spark)
-    a_path, c_path = f"{root}/asteroids", f"{root}/close_approach"
-    current_a = _exists(spark, a_path, ASTEROIDS_SCHEMA)
-    new_asteroids(current_a, load_asteroids(flat_batch)).write.mode("append").parquet(a_path)
+def upsert(spark: SparkSession, root: str, flat_batch: DataFrame) -> int:
+    """Load one batch of flat feed rows into ``root``; returns the run number.
 
-    current_c = _exists(spark, c_path, _fact_schema())
-    merged = merged_months(current_c, flat_batch)
-    if current_c is not None:
-        # The merge reads the partitions it is about to replace: materialise it in the
-        # shared checkpoint folder first, which also cuts the lineage.
-        merged = merged.checkpoint(eager=True)
-    write_fact(merged, c_path, mode="overwrite" if current_c is not None else "errorifexists")
+    Only the directories of the months that the batch touches are read and written anew; the other
+    months stay with the runs that hold them.
+    """
+    before = _manifest(spark, root)
+    stored = dict(before["months"]) if before else {}
+    batch = load_close_approach(flat_batch)
+    month = F.coalesce(F.date_format(F.trunc("close_approach_date", "MM"), "yyyy-MM-dd"), F.lit(NO_MONTH))
+    touched = {r[0] for r in batch.select(month).distinct().collect()}  # one row per calendar month
+    old = {m: run for m, run in stored.items() if m in touched}
+    merged = merged_months(_read_months(spark, root, old) if old else None, batch)
+    current = spark.read.schema(_stored_asteroids_schema()).parquet(before["asteroids_path"]) if before else None
+    asteroids = merged_asteroids(current, seen_asteroids(flat_batch))
+    return _commit(spark, root, before, asteroids, merged, {m: run for m, run in stored.items() if m not in touched})
 
 
 def read_tables(spark: SparkSession, root: str, with_partition: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The stored tables; ``with_partition`` keeps ``approach_month`` on the fact so date
-    filters of the catalogue also prune month directories."""
-    return read_dimension(spark, f"{root}/asteroids"), read_fact(spark, f"{root}/close_approach", with_partition)
+    """The tables of the newest committed run; ``with_partition`` keeps ``approach_month`` on the fact
+    so date filters of the catalogue also prune month directories."""
+    record = _manifest(spark, root)
+    if record is None:
+        raise FileNotFoundError(f"nothing committed under {root}")
+    fact = _read_months(spark, root, dict(record["months"]))
+    asteroids = spark.read.schema(_stored_asteroids_schema()).parquet(record["asteroids_path"]).select(*ASTEROID_COLUMNS)
+    return asteroids, fact if with_partition else fact.select(*APPROACH_COLUMNS)
 
 
 # --------------------------------------------------------------------------- I12
-MANIFEST_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("published_at", T.TimestampType()),
-        T.StructField("asteroids_path", T.StringType()),
-        T.StructField("close_approach_path", T.StringType()),
-        T.StructField("asteroid_rows", T.LongType()),
-        T.StructField("approach_rows", T.LongType()),
-    ]
-)
-
-
-def publish(spark: SparkSession, root: str, asteroids: DataFrame, approaches: DataFrame) -> str:
-    """Write both tables to a fresh run folder, validate, then append the manifest record."""
-    run_id = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-    run = f"{root}/runs/{run_id}"
-    asteroids.select(*ASTEROID_COLUMNS).write.mode("errorifexists").parquet(f"{run}/asteroids")
-    write_fact(approaches.select(*APPROACH_COLUMNS), f"{run}/close_approach")
-    written_a = read_dimension(spark, f"{run}/asteroids").count()
-    written_c = read_fact(spark, f"{run}/close_approach").count()
-    if written_c > 0 and written_a == 0:
-        raise RuntimeError(f"run {run_id}: approaches without asteroids; not published")
-    record = spark.createDataFrame(
-        [(run_id, dt.datetime.now(dt.timezone.utc), f"{run}/asteroids", f"{run}/close_approach", written_a, written_c)],
-        MANIFEST_SCHEMA,
-    )
-    record.coalesce(1).write.mode("append").json(f"{root}/manifest")
-    return run_id
+def publish(spark: SparkSession, root: str, asteroids: DataFrame, approaches: DataFrame) -> int:
+    """Replace both tables at once by the given ones; returns the run number."""
+    before = _manifest(spark, root)
+    dimension = asteroids.select(*ASTEROID_COLUMNS, F.lit(None).cast("int").alias(SEEN))
+    return _commit(spark, root, before, dimension, approaches.select(*APPROACH_COLUMNS), {})
 
 
 def read_published(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The tables named by the newest manifest record."""
-    manifest = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifest")
-    latest = manifest.orderBy(F.desc("published_at"), F.desc("run_id")).limit(1).collect()
-    if not latest:
-        raise FileNotFoundError(f"nothing published under {root}")
-    rec = latest[0]
-    return read_dimension(spark, rec["asteroids_path"]), read_fact(spark, rec["close_approach_path"])
+    """The tables of the newest run."""
+    return read_tables(spark, root)

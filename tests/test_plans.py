@@ -6,6 +6,7 @@ import io
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from fixtures import frames
 
@@ -50,8 +51,7 @@ def test_scans_read_only_needed_columns(spark):
 def test_filters_reach_the_parquet_scan(spark, scratch):
     a, ca = frames(spark)
     root = os.path.join(scratch, "stored")
-    a.write.parquet(f"{root}/asteroids")
-    tables.write_fact(ca, f"{root}/close_approach")
+    tables.publish(spark, root, a, ca)
     sa, sc = tables.read_tables(spark, root)
     text = plan_text(cat.q16_name_prefix(sa, sc))
     assert "StringStartsWith(name,6)" in text
@@ -106,8 +106,7 @@ def test_date_filters_prune_month_directories_of_the_stored_fact(spark, scratch)
 
     a, ca = frames(spark)
     root = os.path.join(scratch, "pruned")
-    a.write.parquet(f"{root}/asteroids")
-    tables.write_fact(ca, f"{root}/close_approach")
+    tables.publish(spark, root, a, ca)
     sa, sc = tables.read_tables(spark, root, with_partition=True)
     spec = FilterSpec(date=(dt.date(2030, 2, 1), dt.date(2030, 2, 28)))
     df = cat.q00_details(sa, sc, spec)
@@ -125,12 +124,17 @@ def test_date_filters_prune_month_directories_of_the_stored_fact(spark, scratch)
         assert got == want, key
 
 
-def test_upsert_merge_reads_only_touched_months(spark, scratch):
+def test_upsert_writes_only_touched_months(spark, scratch):
     a, ca = frames(spark)
     root = os.path.join(scratch, "merge")
-    tables.write_fact(ca, f"{root}/close_approach")
-    current = tables.read_fact(spark, f"{root}/close_approach", with_partition=True)
-    merged = tables.merged_months(current, ca.where("neo_reference_id = 1"))
-    text = plan_text(merged)
-    assert "dynamicpruningexpression(approach_month" in text
+    tables.publish(spark, root, a, ca)
+    before = dict(tables._manifest(spark, root)["months"])
+    flat = a.join(ca, a["id"] == ca["neo_reference_id"]).where("id = 1 AND close_approach_date IS NOT NULL")
+    touched = {str(r[0]) for r in flat.select(F.trunc("close_approach_date", "MM")).distinct().collect()}
+    tables.upsert(spark, root, flat)
+    after = dict(tables._manifest(spark, root)["months"])
+    assert 0 < len(touched) < len(before) and set(after) == set(before)
+    assert {m for m in after if after[m] != before[m]} == touched
+    current = tables._read_months(spark, root, {m: before[m] for m in touched})
+    text = plan_text(tables.merged_months(current, ca))
     assert "Exchange SinglePartition" not in text

@@ -67,29 +67,74 @@ def test_upsert_is_order_independent_and_idempotent(spark, scratch):
     assert sorted_rows(a1) == sorted_rows(a2) == sorted_rows(tables.load_asteroids(flat))
 
 
+def test_newest_version_of_an_object_wins_in_any_batch_order(spark, scratch):
+    flat = flat_rows(spark).where("id = 1")
+    old = flat.where(F.col("close_approach_date") < F.lit(D(2030, 6, 1)))
+    new = old.select(*[c for c in old.columns if c not in ("absolute_magnitude_h", "close_approach_date")],
+                     F.lit(99.5).alias("absolute_magnitude_h"), F.date_add("close_approach_date", 4000).alias("close_approach_date"))
+    assert old.count()
+    for name, batches in (("ab", (old, new)), ("ba", (new, old)), ("aba", (old, new, old))):
+        for x in batches:
+            tables.upsert(spark, os.path.join(scratch, name), x.select(*flat.columns))
+        a, _ = tables.read_tables(spark, os.path.join(scratch, name))
+        assert [r["absolute_magnitude_h"] for r in a.collect()] == [99.5]
+
+
 def test_fact_layout_is_monthly(spark, scratch):
     root = os.path.join(scratch, "layout")
     tables.upsert(spark, root, flat_rows(spark))
-    dirs = sorted(d for d in os.listdir(os.path.join(root, "close_approach")) if d.startswith("approach_month="))
+    (run,) = os.listdir(os.path.join(root, "close_approach"))
+    dirs = os.listdir(os.path.join(root, "close_approach", run))
     assert "approach_month=2030-01-01" in dirs and "approach_month=__HIVE_DEFAULT_PARTITION__" in dirs
-    fact = tables.read_fact(spark, os.path.join(root, "close_approach"), with_partition=True)
+    _, fact = tables.read_tables(spark, root, with_partition=True)
     plan = plan_text(fact.where(F.col("approach_month") == F.lit(D(2030, 2, 1))))
     assert "PartitionFilters: [isnotnull(approach_month" in plan
 
 
+def test_a_crash_before_the_switch_changes_nothing(spark, scratch, monkeypatch):
+    """Versions are written, then the manifest fails: readers see the old tables, a replay the new ones."""
+    root = os.path.join(scratch, "crash")
+    flat = flat_rows(spark)
+    early = flat.where(F.col("close_approach_date") < F.lit(D(2030, 3, 1)))
+    tables.upsert(spark, root, early)
+    want = [sorted_rows(t) for t in tables.read_tables(spark, root)]
+    real = tables.MANIFEST_SCHEMA
+    monkeypatch.setattr(tables, "MANIFEST_SCHEMA", "run_no bigint, broken array<int>")
+    monkeypatch.setattr(tables, "_manifest", lambda *_a, _m=tables._manifest: _with(real, _m, *_a))
+    try:
+        tables.upsert(spark, root, flat)
+        raise AssertionError("the broken record must not be written")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+    monkeypatch.undo()
+    assert len(os.listdir(os.path.join(root, "close_approach"))) == 2  # the new versions are there, unseen
+    assert [sorted_rows(t) for t in tables.read_tables(spark, root)] == want
+    assert tables.upsert(spark, root, flat) == 2
+    assert sorted_rows(tables.read_tables(spark, root)[1]) == sorted_rows(tables.load_close_approach(flat))
+
+
+def _with(schema, manifest, *args):
+    broken, tables.MANIFEST_SCHEMA = tables.MANIFEST_SCHEMA, schema
+    try:
+        return manifest(*args)
+    finally:
+        tables.MANIFEST_SCHEMA = broken
+
+
 def test_publish_is_all_or_nothing_and_latest_wins(spark, scratch):
     root = os.path.join(scratch, "pub")
     a, ca = frames(spark)
-    tables.publish(spark, root, a, ca.where("neo_reference_id = 1"))
-    tables.publish(spark, root, a, ca)
+    assert tables.publish(spark, root, a, ca.where("neo_reference_id = 1")) == 1
+    assert tables.publish(spark, root, a, ca) == 2
     pa, pc = tables.read_published(spark, root)
     assert pc.count() == ca.count() and pa.count() == a.count()
-    runs = os.listdir(os.path.join(root, "runs"))
-    assert len(runs) == 2
     # A run folder without a manifest record is invisible to readers.
-    os.makedirs(os.path.join(root, "runs", "9" * 15 + "-orphan", "asteroids"))
+    os.makedirs(os.path.join(root, "close_approach", "run=9-orphan", "approach_month=2030-01-01"))
     pa, pc = tables.read_published(spark, root)
     assert pc.count() == ca.count()
+    assert tables._manifest(spark, root)["approaches_without_object"] == ca.join(a, ca["neo_reference_id"] == a["id"], "left_anti").count()
 
 
 def test_create_tables_and_insert(spark, scratch):
