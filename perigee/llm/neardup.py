@@ -21,8 +21,8 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
      family meets in pairs of half blocks.  (Lists over ``HUGE`` are first split by triples, then by
      ``DEPTH`` = 4 values; only such lists ask a link to share as many.)
 4. Filter: the union sketch of a candidate (K least values of both sketches) estimates the
-   similarity; pairs far below the threshold go.
-5. Verification: the full sets of the remaining pairs decide exactly.
+   similarity; pairs far below the threshold go, the others meet like lists of two.
+5. Verification: wherever classes meet, their full sets decide exactly.
 6. Components of the verified links; ``component_id`` is the least doc_id reachable.
 
 Nothing is capped: every list is paired, met in blocks or split further.  A link with similarity
@@ -53,6 +53,7 @@ BLOCK = 512
 HUGE = 20_000
 DEPTH = 4
 MARGIN_PCT = 25
+BROADCAST_ROWS = 2_000_000
 
 
 def shingle_set(text: Column, width: int = WIDTH) -> Column:
@@ -190,32 +191,31 @@ def links(
         candidates = candidates.unionByName(p)
     candidates = candidates.where("lists > 1").select("c1", "c2").distinct()
 
-    sketch = classes.select("cls", "n", "sketch")
-    both = candidates.join(sketch.selectExpr("cls AS c1", "n AS n1", "sketch AS k1"), "c1").join(
-        sketch.selectExpr("cls AS c2", "n AS n2", "sketch AS k2"), "c2"
+    candidates = written(candidates, "neardup-candidates")
+    named = candidates.select(F.explode(F.array("c1", "c2")).alias("cls")).distinct()
+    sketch = classes.select("cls", "sketch").join(small_side(named), "cls", "left_semi")
+    both = candidates.join(sketch.selectExpr("cls AS c1", "sketch AS k1"), "c1").join(
+        sketch.selectExpr("cls AS c2", "sketch AS k2"), "c2"
     )
     union = F.slice(F.sort_array(F.array_union("k1", "k2")), F.lit(1), F.greatest(F.size("k1"), F.size("k2")))
     agree = F.size(F.array_intersect(F.array_intersect(F.col("k1"), F.col("k2")), union))
-    likely = written(
-        both.where(100 * agree >= (threshold_pct - margin_pct) * F.size(union)).select("c1", "c2", "n1", "n2"), "neardup-likely"
-    )
-    meet = meets[0]
-    for m in meets[1:]:
+    likely = both.where(100 * agree >= (threshold_pct - margin_pct) * F.size(union))
+    # a likely pair is a list of two: pairs that share members meet together, like the middle lists
+    meet = likely.select(F.xxhash64("c1", "c2").alias("key"), F.explode(F.array("c1", "c2")).alias("cls"))
+    for m in meets:
         meet = meet.unionByName(m)
     meet = _joined(meet, block)
     meet = written(meet if families is None else meet.unionByName(families), "neardup-meets")
+    sets = docs_sets(meet.select("cls").distinct())
+    groups = sets.join(small_side(meet), "cls").select("key", "cls", "sh").groupBy("key")
+    return written(groups.applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint").distinct(), "neardup-links")
 
-    ids = meet.select("cls").unionByName(likely.select(F.col("c1").alias("cls"))).unionByName(likely.select(F.col("c2").alias("cls")))
-    sets = written(docs_sets(ids.distinct()), "neardup-full")
-    full = likely.join(sets.selectExpr("cls AS c1", "sh AS h1"), "c1").join(sets.selectExpr("cls AS c2", "sh AS h2"), "c2")
-    shared = F.size(F.array_intersect("h1", "h2"))
-    one_by_one = full.select("c1", "c2", "n1", "n2", shared.alias("i")).where(
-        100 * F.col("i") >= threshold_pct * (F.col("n1") + F.col("n2") - F.col("i"))
-    )
-    in_blocks = (
-        meet.join(sets, "cls").select("key", "cls", "sh").groupBy("key").applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint")
-    )
-    return written(one_by_one.select("c1", "c2").unionByName(in_blocks).distinct(), "neardup-links")
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` (narrow rows), written, with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows;
+    beyond that the join with it is shuffled."""
+    df = written(df, "neardup-side")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _joined(lists: DataFrame, block: int) -> DataFrame:
@@ -265,13 +265,15 @@ def near_rows(
     )
     by_set = written(by_set.where("cls IS NOT NULL"), "neardup-classes")
 
+    twice = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 AND doc_id IS NOT NULL")
+    repeated = not twice.isEmpty()
+
     def full_sets(ids: DataFrame) -> DataFrame:
-        chosen = docs.join(ids, docs.doc_id == ids.cls, "left_semi").select(
-            F.col("doc_id").alias("cls"), shingle_set(F.col("text"), width).alias("sh")
-        )
+        wanted = small_side(ids.join(by_set.select("cls", "s1"), "cls"))
+        sets = docs.join(wanted, docs.doc_id == wanted.cls).select("cls", "s1", shingle_set(F.col("text"), width).alias("sh"))
         # an id may be held by rows with different texts: the set must be the class's own
-        named = chosen.withColumn("s1", F.xxhash64("sh")).join(by_set.select("cls", "s1"), ["cls", "s1"], "left_semi")
-        return named.dropDuplicates(["cls", "s1"]).select("cls", "sh")
+        sets = sets.where(F.xxhash64("sh") == F.col("s1"))
+        return (sets.dropDuplicates(["cls", "s1"]) if repeated else sets).select("cls", "sh")
 
     found = links(by_set.select("cls", "n", "sketch"), full_sets, threshold_pct, probes, small, block, depth, margin_pct)
     comp = components(found.select(F.col("c1").alias("u"), F.col("c2").alias("v"))).withColumnRenamed("id", "cls")
