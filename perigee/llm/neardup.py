@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perigee.llm.common import ascii_lower, let, shingles, text_or_empty, words, written
+from perigee.llm.common import ascii_lower, let, shingles, small_side, text_or_empty, words, written
 from perigee.llm.components import components
 
 WIDTH = 5
@@ -53,7 +53,6 @@ BLOCK = 512
 HUGE = 20_000
 DEPTH = 4
 MARGIN_PCT = 25
-BROADCAST_ROWS = 2_000_000
 
 
 def shingle_set(text: Column, width: int = WIDTH) -> Column:
@@ -211,13 +210,6 @@ def links(
     return written(groups.applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint").distinct(), "neardup-links")
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` (narrow rows), written, with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows;
-    beyond that the join with it is shuffled."""
-    df = written(df, "neardup-side")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _joined(lists: DataFrame, block: int) -> DataFrame:
     """(key, cls): lists that share members as one list, where it has at most ``block`` members."""
     lists = written(lists, "neardup-middle")

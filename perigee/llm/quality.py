@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import UPPER, let, text_or_empty, window_hashes, words, written
+from perigee.llm.common import UPPER, let, small_side, text_or_empty, window_hashes, words, written
 
 # Least distance of a limit from the quartile, in parts per million
 # (word_length: in millionths of a character).
@@ -222,7 +222,7 @@ def judge(
     counts: DataFrame, min_group: int = MIN_GROUP, margins: dict[str, int] = MARGINS
 ) -> DataFrame:
     """``counts`` with ``kept``: false if base_failed, else whether all ratios are inside the limits."""
-    lim = group_limits(sketches(counts), min_group, margins)
+    lim = small_side(group_limits(sketches(counts), min_group, margins))  # one row per group: texts stay where they are
     joined = counts.join(
         lim,
         F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")),
