@@ -17,9 +17,8 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
      travels once and not with each list;
    * longer lists (a passage that many texts share, or thousands of near copies) are never paired:
      their members are listed again under pairs of long-list values.  Texts that share only a passage
-     fall apart; near copies stay together.  Lists still long are joined into families, and a
-     family meets in pairs of half blocks.  (Lists over ``HUGE`` are first split by triples, then by
-     ``DEPTH`` = 4 values; only such lists ask a link to share as many.)
+     fall apart; near copies stay together.  Lists still long, of any size, are joined into
+     families, and a family meets in pairs of half blocks; a link never has to share more than two.
 4. Filter: the union sketch of a candidate (K least values of both sketches) estimates the
    similarity; pairs far below the threshold go, the others meet like lists of two.
 5. Verification: wherever classes meet, their full sets decide exactly.
@@ -50,8 +49,6 @@ K = 64
 PROBES = 8
 SMALL = 16
 BLOCK = 512
-HUGE = 20_000
-DEPTH = 4
 MARGIN_PCT = 25
 
 
@@ -149,7 +146,7 @@ def block_links(threshold_pct: int, columns: int = 1 << 14):
 
 
 def links(
-    classes: DataFrame, docs_sets, threshold_pct: int, probes: int, small: int, block: int, depth: int, margin_pct: int
+    classes: DataFrame, docs_sets, threshold_pct: int, probes: int, small: int, block: int, margin_pct: int
 ) -> DataFrame:
     """Verified links (c1 < c2) that connect the classes (cls, n, sketch) as all links do.
 
@@ -159,7 +156,7 @@ def links(
     pairs, meets = [], []
     families = None
     long_values = None  # (cls) that stand in a long list
-    for level in range(1, depth + 1):
+    for level in (1, 2):
         listed = _lists(members, level)
         # the number of members of a list goes back to them: lists of one are dropped at once
         many = listed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -168,8 +165,7 @@ def links(
         pairs.append(found.groupBy("c1", "c2").agg((F.count(F.lit(1)) + (level > 1) * 1).alias("lists")))
         meets.append(listed.where((F.col("many") > small) & (F.col("many") <= block)).select("key", "cls"))
         over = listed.where(F.col("many") > block)
-        longest = over.agg(F.max("many")).first()[0] or 0
-        if not longest:
+        if over.isEmpty():
             break
         if level == 1:
             # only values of long lists are combined further
@@ -177,11 +173,8 @@ def links(
                 over.groupBy("cls", "n").agg(F.array_sort(F.collect_set("val")).alias("vals")), "neardup-long"
             )
             long_values = members.select("cls")
-        elif level < depth and longest > HUGE:
-            members = written(members.join(over.select("cls").distinct(), "cls", "left_semi"), "neardup-long")
         else:
             families = _families(over.select("key", "cls"), block)
-            break
     candidates = pairs[0]
     if long_values is not None:
         flagged = long_values.withColumnRenamed("cls", "c1").withColumn("more", F.lit(1))
@@ -244,7 +237,6 @@ def near_rows(
     probes: int = PROBES,
     small: int = SMALL,
     block: int = BLOCK,
-    depth: int = DEPTH,
     margin_pct: int = MARGIN_PCT,
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept for every document (doc_id, text)."""
@@ -267,7 +259,7 @@ def near_rows(
         sets = sets.where(F.xxhash64("sh") == F.col("s1"))
         return (sets.dropDuplicates(["cls", "s1"]) if repeated else sets).select("cls", "sh")
 
-    found = links(by_set.select("cls", "n", "sketch"), full_sets, threshold_pct, probes, small, block, depth, margin_pct)
+    found = links(by_set.select("cls", "n", "sketch"), full_sets, threshold_pct, probes, small, block, margin_pct)
     comp = components(found.select(F.col("c1").alias("u"), F.col("c2").alias("v"))).withColumnRenamed("id", "cls")
     named = by_set.join(comp, "cls", "left").select(
         "n", "s1", "s2", F.coalesce("component_id", "cls").alias("component_id")

@@ -12,6 +12,7 @@ import pytest
 from helpers import SF, SF_MID, bag_similarity, lower, shingles, words
 
 from perigee.llm import decontam, html, lm, neardup, pieces, pii, sharding
+from perigee.llm.components import components
 from perigee.llm.queries import QUERIES
 
 
@@ -375,6 +376,19 @@ def test_op6_every_list_length_is_exact(spark, small, block):
     assert got == _components(dict(rows), 85)
 
 
+def test_op6_a_huge_group_takes_no_link_elsewhere(spark, monkeypatch):
+    """Two shared values are enough in a long list, however long another list is."""
+    monkeypatch.setattr(neardup, "HUGE", 20, raising=False)
+    near = {k: list(range(8)) for k in range(30)}  # one large group: all values shared
+    near |= {100 + k: [50, 51, *range(1000 + 10 * k, 1006 + 10 * k)] for k in range(6)}  # two values shared
+    classes = spark.createDataFrame([(c, 100, v) for c, v in near.items()], "cls bigint, n bigint, sketch array<bigint>")
+    sets = [(c, [*range((c >= 100) * 5000, (c >= 100) * 5000 + 99), 10_000 + c]) for c in near]
+    sets = spark.createDataFrame(sets, "cls bigint, sh array<bigint>")
+    found = neardup.links(classes, lambda ids: sets.join(ids, "cls"), 85, probes=8, small=2, block=4, margin_pct=25)
+    comp = {r["id"]: r["component_id"] for r in components(found.selectExpr("c1 AS u", "c2 AS v")).collect()}
+    assert comp == {c: 100 if c >= 100 else 0 for c in near}
+
+
 # -- 7 ---------------------------------------------------------------------------------------
 
 
