@@ -18,7 +18,10 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
    * longer lists (a passage that many texts share, or thousands of near copies) are never paired:
      their members are listed again under pairs of long-list values.  Texts that share only a passage
      fall apart; near copies stay together.  Lists still long, of any size, are joined into
-     families, and a family meets in pairs of half blocks; a link never has to share more than two.
+     families; a link never has to share more than two.  A family falls into half blocks by hash.
+     First each of them meets the family's pivots, the half block of number 0; what these links
+     connect needs no comparison any more.  Then the members are dealt anew, those of one large
+     component together, and two half blocks meet unless both hold the same component.
 4. Filter: the union sketch of a candidate (K least values of both sketches) estimates the
    similarity; pairs far below the threshold go, the others meet like lists of two.
 5. Verification: wherever classes meet, their full sets decide exactly.
@@ -38,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm.common import ascii_lower, let, shingles, small_side, text_or_empty, words, written
@@ -197,17 +200,31 @@ def links(
     for m in meets:
         meet = meet.unionByName(m)
     meet = _joined(meet, block)
-    meet = written(meet if families is None else meet.unionByName(families), "neardup-meets")
+    meet = written(meet if families is None else meet.unionByName(_with_pivots(families, block)), "neardup-meets")
+    found = _met(meet, docs_sets, threshold_pct)
+    if families is None:
+        return found
+    meet = written(_unlinked(families, components(found.select(F.col("c1").alias("u"), F.col("c2").alias("v"))), block), "neardup-meets")
+    return found if meet.isEmpty() else found.unionByName(_met(meet, docs_sets, threshold_pct))
+
+
+def _met(meet: DataFrame, docs_sets, threshold_pct: int) -> DataFrame:
+    """Verified links among the members of each list of ``meet`` (key, cls)."""
     sets = docs_sets(meet.select("cls").distinct())
     groups = sets.join(small_side(meet), "cls").select("key", "cls", "sh").groupBy("key")
     return written(groups.applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint").distinct(), "neardup-links")
 
 
+def _to_least(lists: DataFrame) -> DataFrame:
+    """(u, v): each member of the lists (key, cls) with the least of its list."""
+    least = lists.groupBy("key").agg(F.min("cls").alias("v"))
+    return lists.join(least, "key").select(F.col("cls").alias("u"), "v")
+
+
 def _joined(lists: DataFrame, block: int) -> DataFrame:
     """(key, cls): lists that share members as one list, where it has at most ``block`` members."""
     lists = written(lists, "neardup-middle")
-    named = lists.select(F.col("cls").alias("u"), F.min("cls").over(Window.partitionBy("key")).alias("v"))
-    group = components(named)
+    group = components(_to_least(lists))
     sizes = group.groupBy("component_id").agg((F.count(F.lit(1)) <= block).alias("fits"))
     group = group.join(sizes, "component_id").select(F.col("id").alias("cls"), "component_id", "fits")
     # one (the least) member of a list alone is in no component: it is its own
@@ -217,16 +234,46 @@ def _joined(lists: DataFrame, block: int) -> DataFrame:
 
 
 def _families(over: DataFrame, block: int) -> DataFrame:
-    """(key, cls): lists (key, cls) too long for a block, joined where they share members, and met in
-    pairs of half blocks, so that any two members of a list meet."""
-    named = over.select(F.col("cls").alias("u"), F.min("cls").over(Window.partitionBy("key")).alias("v"))
-    family = components(named)
+    """(cls, family, parts, own): lists (key, cls) too long for a block, joined where they share members,
+    and dealt by hash into ``parts`` half blocks."""
+    family = components(_to_least(over))
     sizes = family.groupBy("component_id").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    placed = family.join(sizes, "component_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = placed.select("id", "component_id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return met.select(
-        F.xxhash64("component_id", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("id").alias("cls")
+    placed = family.join(sizes, "component_id").select(F.col("id").alias("cls"), F.col("component_id").alias("family"), "parts")
+    return written(placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "neardup-families")
+
+
+def _with_pivots(families: DataFrame, block: int) -> DataFrame:
+    """(key, cls): each half block of a family with the half block 0, its pivots."""
+    others = F.when(F.col("own") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("own"))
+    return families.select("cls", "family", F.explode(others).alias("with")).select(
+        F.xxhash64("family", F.lit(0), "with").alias("key"), "cls"
+    )
+
+
+def _unlinked(families: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+    """(key, cls): pairs of half blocks in which members of a family not connected so far meet.
+
+    ``linked`` (id, component_id) is what the links so far connect.  Members of a component of at
+    least half a block's size get half blocks of their own, the others share theirs.
+    """
+    placed = families.select("cls", "family").join(linked.withColumnRenamed("id", "cls"), "cls", "left")
+    placed = placed.withColumn("component", F.coalesce("component_id", "cls")).drop("component_id")
+    sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("many"))
+    sizes = sizes.withColumn("bin", F.when(2 * F.col("many") >= block, F.col("component")))  # null: the others
+    bins = sizes.groupBy("family", "bin").agg(F.ceil(2 * F.sum("many") / F.lit(block)).alias("parts"))
+    placed = placed.join(sizes.select("family", "component", "bin"), ["family", "component"])
+    halves = bins.select("family", "bin", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    halves = halves.withColumn("half", F.xxhash64("family", F.coalesce("bin", F.lit(0)), F.col("bin").isNull(), "part"))
+    halves = written(halves, "neardup-halves")
+    left = halves.select("family", F.col("bin").alias("b1"), F.col("half").alias("h1"))
+    right = halves.select("family", F.col("bin").alias("b2"), F.col("half").alias("h2"))
+    met = left.join(right, "family").where("h1 <= h2 AND (b1 IS NULL OR b2 IS NULL OR b1 <> b2)")
+    met = met.select(F.xxhash64("h1", "h2").alias("key"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("half"))
+    own = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    placed = placed.withColumnRenamed("family", "f").withColumnRenamed("bin", "b").join(
+        halves, (F.col("f") == F.col("family")) & F.col("b").eqNullSafe(F.col("bin")) & (own == F.col("part"))
     )
+    return placed.select("cls", "half").join(met, "half").select("key", "cls")
 
 
 def near_rows(

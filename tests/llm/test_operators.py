@@ -389,6 +389,28 @@ def test_op6_a_huge_group_takes_no_link_elsewhere(spark, monkeypatch):
     assert comp == {c: 100 if c >= 100 else 0 for c in near}
 
 
+def test_op6_sets_of_a_large_group_travel_a_bounded_number_of_times(spark, monkeypatch):
+    """Near copies that all link to pivots don't meet in all pairs; what pivots leave apart still meets."""
+    sent = []
+    plain = neardup.written
+
+    def counted(df, purpose):
+        out = plain(df, purpose)
+        if purpose == "neardup-meets":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    # 80 near copies, and 10 that share their values but are alike only among themselves
+    classes = spark.createDataFrame([(c, 100, list(range(8))) for c in range(90)], "cls bigint, n bigint, sketch array<bigint>")
+    sets = [(c, [*range((c >= 80) * 5000, (c >= 80) * 5000 + 99), 10_000 + c]) for c in range(90)]
+    sets = spark.createDataFrame(sets, "cls bigint, sh array<bigint>")
+    found = neardup.links(classes, lambda ids: sets.join(ids, "cls"), 85, probes=8, small=2, block=16, margin_pct=25)
+    comp = {r["id"]: r["component_id"] for r in components(found.selectExpr("c1 AS u", "c2 AS v")).collect()}
+    assert comp == {c: 80 if c >= 80 else 0 for c in range(90)}
+    assert sum(sent) < 6 * 90  # all pairs of half blocks: 12 times each
+
+
 # -- 7 ---------------------------------------------------------------------------------------
 
 
