@@ -4,9 +4,13 @@ A document is contaminated by a benchmark item if some window of the item's size
 lower-cased A-Z) has a weighted-shingle similarity of at least 0.8 to the item: sum of the
 smaller over sum of the larger multiplicities of all five-word shingles of the two.
 
-1. Anchors: a window that is similar at all shares a shingle with an item, so only windows that
-   line up a common shingle with its place in an item are looked at (no such window is lost).
-2. Each such window, of the size of that item, gets a 64-bit SimHash of its shingles.
+1. Starts: a window with m shingles is similar to an item with k only if at least
+   0.8 * (m + k) / 1.8 of its shingles are shingles of the item.  Per document and item size, the
+   positions that hold a shingle of any item of that size are counted in a sliding window, and
+   every start that reaches this number is looked at, wherever the shingles stand in the item (no
+   similar window is lost, also if sentences of the item are swapped).
+2. Each such window, of the size of that item, gets a 64-bit SimHash of its shingles.  Windows of
+   items with fewer than five words are hashed whole, at their own width.
 3. Multi-index: a fingerprint is cut into ``RADIUS + 1`` blocks; two fingerprints within the
    radius agree on at least one block, so an equi-join on (size, block number, block) of windows
    and items yields every pair within the radius.
@@ -18,8 +22,8 @@ At similarity 0.8 the expected Hamming distance is 9.7 of 64 bits (deviation 2.9
 The items' shingles are broadcast only if their counted number is at most ``BROADCAST_ROWS``;
 beyond it the same join is shuffled.  A text or item with fewer than five words is one shingle;
 documents shorter than an item are one window.  Items or documents without words (null, empty,
-blank) match nothing.  Repeated documents are judged each; ties between windows go to the least
-start; empty tables give empty results; other columns pass untouched (``drop_contaminated``).
+blank) match nothing.  Repeated documents are judged each; ties between windows go to those that
+line up a shingle with its place in the item, then to the least start; empty tables give empty results; other columns pass untouched (``drop_contaminated``).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import ascii_lower, let, shingles, text_or_empty, words, written
+from perigee.llm.common import ascii_lower, let, shingles, text_or_empty, window_hashes, words, written
 
 WIDTH = 5
 RADIUS = 20
@@ -100,44 +104,68 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, text_key, item_id, start, similarity): the best window per document and item."""
     items = written(item_table(benchmark, width), "decontam-items")
-    places = items.select("size", F.posexplode("sh").alias("place", "h")).distinct()
+    places = items.select("size", F.least("size", F.lit(width)).alias("w"), F.posexplode("sh").alias("place", "h")).distinct()
     if places.count() <= broadcast_rows:
         places = F.broadcast(places)
     low = words(ascii_lower(text_or_empty(F.col("text"))))
     docs = docs.select("doc_id", "text")
-    shingled = docs.select("doc_id", F.xxhash64("text").alias("text_key"), shingles(low, width).alias("sh"))
-    rows = shingled.select("doc_id", "text_key", F.posexplode("sh").alias("pos", "h"))
+    # sizes of items that are one shingle of their own width: under ``width`` numbers
+    short = [r[0] for r in items.where(F.col("size") < width).select("size").distinct().collect()]
+    rows = None
+    for w in [width, *short]:
+        found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(w).alias("w"), window_hashes(low, w).alias("sh"))
+        found = found.select("doc_id", "text_key", "w", F.size("sh").alias("total"), F.posexplode("sh").alias("pos", "h"))
+        rows = found if rows is None else rows.unionByName(found)
+    hits = (
+        rows.join(places, ["w", "h"])
+        .groupBy("doc_id", "text_key", "size")
+        .agg(
+            F.max("total").alias("total"),
+            F.array_sort(F.collect_set("pos")).alias("hits"),
+            F.collect_set(F.col("pos") - F.col("place")).alias("lines"),
+        )
+        .withColumn("k", F.greatest(F.col("size") - (width - 1), F.lit(1)))
+        .withColumn("m", F.least("k", "total"))  # shingles of a window: the whole text if it is shorter
+        .withColumn("need", F.ceil(similarity_pct * (F.col("m") + F.col("k")) / (100 + similarity_pct)).cast("int"))
+        .where(F.size("hits") >= F.col("need"))
+    )
+
+    def held(j: Column) -> Column:
+        """Starts of the windows that hold the ``need`` hits up to number ``j``."""
+        first = F.greatest(F.lit(0), F.get("hits", j) - F.col("m") + 1)
+        last = F.least(F.get("hits", j - F.col("need") + 1), F.col("total") - F.col("m"))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    reached = F.array_distinct(F.flatten(F.transform(F.sequence(F.col("need") - 1, F.size("hits") - 1), held)))
+    fitted = F.transform("lines", lambda x: F.greatest(F.lit(0), F.least(x, F.col("total") - F.col("m"))))
     starts = (
-        rows.join(places, "h")
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct((F.col("pos") - F.col("place")).alias("start"), "size")).alias("starts"))
+        hits.withColumn("fitted", F.array_distinct(fitted))
+        .select("doc_id", "text_key", "size", "fitted", F.explode(reached).alias("start"))
+        .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+        .agg(F.collect_list(F.struct("start", "size", F.array_contains("fitted", F.col("start")).alias("lined"))).alias("starts"))
     )
     spotted = docs.withColumn("text_key", F.xxhash64("text")).join(
-        starts.withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_key", "__key"),
-        F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key")),
-    )
-    fit = lambda sh, s: F.greatest(  # noqa: E731  a window stays inside the text
-        F.lit(0), F.least(s.getField("start"), F.size(sh) - F.greatest(s.getField("size") - (width - 1), F.lit(1)))
+        starts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key"))
     )
     windows = spotted.select(
         "doc_id",
         "text_key",
         F.explode(
             let(
-                F.struct(shingles(low, width).alias("sh"), F.col("starts").alias("starts")),
-                lambda x: F.array_distinct(
-                    F.transform(
-                        x.getField("starts"),
-                        lambda s: F.struct(
-                            fit(x.getField("sh"), s).alias("start"),
-                            s.getField("size").alias("size"),
-                            F.slice(
-                                x.getField("sh"),
-                                fit(x.getField("sh"), s) + 1,
-                                F.greatest(s.getField("size") - (width - 1), F.lit(1)),
-                            ).alias("sh"),
-                        ),
-                    )
+                F.struct(window_hashes(low, width).alias("sh"), low.alias("w"), F.col("starts").alias("starts")),
+                lambda x: F.transform(
+                    x.getField("starts"),
+                    lambda s: F.struct(
+                        s.getField("start").alias("start"),
+                        s.getField("size").alias("size"),
+                        s.getField("lined").alias("lined"),
+                        F.when(
+                            s.getField("size") < width,
+                            F.array(F.xxhash64(F.slice(x.getField("w"), s.getField("start") + 1, s.getField("size")))),
+                        )
+                        .otherwise(F.slice(x.getField("sh"), s.getField("start") + 1, s.getField("size") - (width - 1)))
+                        .alias("sh"),
+                    ),
                 ),
             )
         ).alias("win"),
@@ -171,7 +199,7 @@ def contaminated(
         windows.withColumn("win_key", F.xxhash64("sh"))
         .join(verified, ["size", "win_key"])
         .groupBy("doc_id", "text_key", "item_id")
-        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
+        .agg(F.max(F.struct("similarity", "lined", (-F.col("start")).alias("s"))).alias("best"))
         .select("doc_id", "text_key", "item_id", (-F.col("best.s")).cast("bigint").alias("start"), "best.similarity")
     )
 

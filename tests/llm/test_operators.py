@@ -504,6 +504,22 @@ def test_op9_against_all_windows(spark):
         assert similarity == pytest.approx(exact[k][start]) == pytest.approx(best)
 
 
+def test_op9_swapped_halves_and_short_items(spark):
+    """A window need not line up with the item; an item under five words is one window of its own width."""
+    w = [f"i{k}" for k in range(54)]
+    around = lambda p, ws: " ".join([*(f"{p}{k}" for k in range(40)), *ws, *(f"{p}{k}" for k in range(40, 80))])
+    docs = [(1, around("a", w[27:] + w[:27])), (2, around("b", w)), (3, around("c", "Red Green blue".split())), (4, "red green blue"),
+            (5, around("d", "red green x blue".split())), (6, around("e", w[::2]))]
+    items = [(7, " ".join(w)), (8, "red green blue"), (9, "lone")]
+    got = decontam.leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in got}
+    want = bag_similarity(shingles(" ".join(w[27:] + w[:27])), shingles(" ".join(w)))
+    assert want == pytest.approx(0.852, abs=0.001)
+    assert got == {(1, 7): (40, pytest.approx(want)), (2, 7): (40, 1.0), (3, 8): (40, 1.0), (4, 8): (0, 1.0)}
+
+
 def test_op9_blocks_cover_the_radius(spark):
     """Two fingerprints within the radius share a block: pigeonhole, checked on random flips."""
     import random
