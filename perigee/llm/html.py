@@ -8,10 +8,12 @@
    summed counts, so a host with a third of all pages is never sorted in one task; each page's
    lines travel to at most two neighbours.
 3. The lines of the two pages are aligned by their longest common subsequence; unmarked lines on
-   it are template text and go.  Lines that an element marks as content stay even if shared (two
-   articles may quote the same passage), lines marked otherwise go even if not shared.
-   Where everything unmarked is shared (a copy of the page), differencing says nothing and the
-   unmarked lines stay.
+   it are template text and go, the others stay, whether or not the page marks an article.  Lines
+   that an element marks as content stay even if shared (two articles may quote the same passage),
+   lines marked otherwise go even if not shared.  A class, id or role of an article or main element
+   itself (``main.has-sidebar``) says nothing about its lines.
+   Where everything unmarked and everything marked as content is shared (a copy of the page),
+   differencing says nothing and the unmarked lines stay.
 
 The alignment hashes lines and uses Hunt and Szymanski's method after cutting the common start and
 end, with memory in proportion to the number of equal line pairs, unique lines first.
@@ -118,7 +120,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             at = close.end() if close else end
             continue
         marks = " ".join(v for a in ATTRIBUTE.finditer(rest) for v in a.groups()[1:] if v).lower()
-        named = marks and name not in ROOTS and NAMES.search(marks)
+        named = marks and name not in ROOTS and name not in CONTENT and NAMES.search(marks)
         if place == FURNITURE_LINE or name in FURNITURE or named or HIDDEN.search(rest):
             inside = FURNITURE_LINE
         else:
@@ -165,9 +167,9 @@ def main_text(lines: list[str], places: list[int], shared: set[int]) -> str:
     """The lines that are content, joined; ``shared``: those on the alignment with the paired page."""
     template = {k for k in shared if places[k] == OPEN_LINE}
     unmarked = [k for k, p in enumerate(places) if p == OPEN_LINE]
-    if any(p == CONTENT_LINE for p in places):
-        unmarked = []  # the page says where its article is
-    own = [k for k in unmarked if k not in template] or unmarked
+    own = [k for k in unmarked if k not in template]
+    if not own and all(k in shared for k, p in enumerate(places) if p == CONTENT_LINE):
+        own = unmarked  # a copy of the page
     stays = {*own, *(k for k, p in enumerate(places) if p == CONTENT_LINE)}
     return "\n\n".join(x for k, x in enumerate(lines) if k in stays)
 

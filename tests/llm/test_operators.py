@@ -208,6 +208,20 @@ def test_op4_differencing_finds_the_template():
     assert "First & own text" in same  # a copy tells nothing about the template
 
 
+def test_op4_unmarked_lines_beside_an_article_stay(spark):
+    page = lambda own, teaser: f"<div>Site</div><h1>{own} headline</h1><article>{teaser}</article><div>{own} main text</div><div>Imprint</div>"
+    rows = [(1, "http://h.x/a/1", page("First", "teaser")), (2, "http://h.x/a/2", page("Second", "teaser"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"{own} headline\n\nteaser\n\n{own} main text" for k, own in ((1, "First"), (2, "Second"))}
+
+
+def test_op4_names_of_an_article_are_not_furniture():
+    for mark in ("main class='has-sidebar'", "article class='with-comments'", "main id=search-results", "article role='search'"):
+        name = mark.split()[0]
+        ls = html.lines_of(f"<{mark}><p>text</p><div class='sidebar'>menu</div></{name}><nav><{mark}>link</{name}></nav>")
+        assert ls == [("text", html.CONTENT_LINE), ("menu", html.FURNITURE_LINE), ("link", html.FURNITURE_LINE)]
+
+
 def test_op4_common_lines_is_longest():
     rng = np.random.default_rng(5)
     for _ in range(300):
