@@ -7,7 +7,8 @@
    form and attempt.  It keeps type, length, punctuation, letter case and script; an email keeps
    its top domain, and one domain always becomes the same domain; an address stays a valid
    address; a phone keeps its country code; a card keeps its first digit and its Luhn validity;
-   a person keeps the title, and the name keeps gender and script.
+   a person keeps the titles, and the name keeps gender and script.  The gender is that of the
+   titles or else of a known given name, or neutral; an IPv6 address keeps its zero groups.
 3. Collision check over all distinct entities: a surrogate must differ from those of all other
    entities and from every entity that occurs in the corpus.  Losers (all but the least canonical
    form) try again with the next attempt; after ``ATTEMPTS`` tries an entity takes a tag with its
@@ -31,17 +32,21 @@ from perigee.llm.common import ascii_lower, let, written
 ATTEMPTS = 8
 KEY = "surrogate-key"
 
-# Titles that announce a person, by gender.
+# Titles that announce a person, by gender (the last: either).
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Signora", "Госпожа", "Κυρία"]
 TITLES_M = ["Mr", "Herr", "Señor", "Monsieur", "Signor", "Господин", "Κύριος"]
+TITLES_N = ["Dr", "Prof", "Doctor", "Professor", "Mx"]
 # Given names by script and gender, and syllables of family names by script.
 GIVEN = {
     "latin_f": ["Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia"],
     "latin_m": ["Adam", "David", "Emil", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oskar", "Paul"],
+    "latin_n": ["Alex", "Charlie", "Chris", "Jamie", "Kim", "Noel", "Robin", "Sam", "Sascha", "Toni"],
     "cyrillic_f": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"],
     "cyrillic_m": ["Антон", "Борис", "Виктор", "Иван", "Лев", "Михаил", "Олег", "Павел"],
+    "cyrillic_n": ["Валя", "Женя", "Саша", "Слава", "Шура"],
     "greek_f": ["Άννα", "Ελένη", "Ζωή", "Μαρία", "Νίκη", "Σοφία"],
     "greek_m": ["Αντώνης", "Γιώργος", "Ηλίας", "Κώστας", "Νίκος", "Πέτρος"],
+    "greek_n": ["Αλέξ", "Κρις", "Νικ", "Τόνι"],
 }
 SYLLABLES = {
     "latin": ["ba", "den", "fel", "gor", "hal", "kin", "lor", "mar", "nes", "pol", "rin", "sel", "tan", "ver", "wil", "zan"],
@@ -61,14 +66,20 @@ ALPHABETS = [
     ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
 ]
 
-TITLE = "(?:" + "|".join(TITLES_F + TITLES_M) + r")\.?"
+ONE_TITLE = "(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\.?"
+TITLE = f"{ONE_TITLE}(?: {ONE_TITLE})*"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\p{N}|\.\d)"
-IPV6 = r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"
+GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
+IPV6 = (
+    r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?=[0-9A-Fa-f:]*(?:\d|[A-Fa-f]:[A-Fa-f]))" + GROUPS + "::" + GROUPS + r")(?![\p{L}\p{N}:]|\.\d)"  # a::b alone is a name
+)
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
 PHONE = (
     r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}"
-    r"|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\p{N})"
+    r"|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|(?<!\d[ .,-])\d{3} \d{3} \d{4}(?! ?\d)"
+    r"|(?<!\d[ .,-])(?=0(?: ?\d){8,11}(?! ?\d))0\d{1,4}(?: \d{2,4}){2,4})(?!\p{N})"
 )
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
@@ -78,7 +89,7 @@ SECRET = (
 )
 PERSON = r"(?<!\p{L})" + TITLE + r" \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 ENTITY = "|".join([EMAIL, SECRET, IPV4, IPV6, SSN, PHONE, IBAN, CARD, PERSON])
-HINT = r"[@0-9]|(?i:token|secret|passw|api[_-]?key)|(?<!\p{L})" + TITLE + " "
+HINT = r"[@0-9]|::|(?i:token|secret|passw|api[_-]?key)|(?<!\p{L})" + TITLE + " "
 
 
 def kind_of(raw: Column) -> Column:
@@ -86,9 +97,10 @@ def kind_of(raw: Column) -> Column:
         F.when(raw.contains("@"), "email")
         .when(raw.rlike(f"^{TITLE} "), "person")
         .when(raw.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
-        .when(raw.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}"), "ipv6")
+        .when(raw.rlike(r"^[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*$"), "ipv6")
         .when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(raw.rlike(r"^(?:\+\d|\()|^\d{3}[-.]\d{3}[-.]\d{4}$"), "phone")
+        .when(raw.rlike(r"^(?:\+\d|\()|^\d{3}[-. ]\d{3}[-. ]\d{4}$"), "phone")
+        .when(raw.rlike(r"^0\d{1,4}(?: \d{2,4}){2,4}$") & (F.length(digits(raw)) < 13), "phone")
         .when(raw.rlike(r"^\d[\d -]{12,}$"), "card")
         .when(raw.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban")
         .otherwise("secret")
@@ -99,18 +111,34 @@ def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
+def ipv6_ends(raw: Column) -> tuple[Column, Column]:
+    """Groups of an address before and after ``::`` (all before, if it has none)."""
+    groups = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
+    after = F.when(raw.contains("::"), F.substring_index(raw, "::", -1)).otherwise("")
+    return groups(F.substring_index(raw, "::", 1)), groups(after)
+
+
 def canonical(kind: Column, raw: Column) -> Column:
     """The form by which mentions of one entity agree."""
     code = F.regexp_extract(raw, r"^\+(\d{1,3})", 1)
     name = F.regexp_replace(raw, f"^{TITLE} ", "")
-    woman = raw.rlike("^(?:" + "|".join(TITLES_F) + r")\.? ")
+    titles = F.regexp_extract(raw, f"^{TITLE} ", 0)
+    titled = lambda ts: titles.rlike(r"(?<!\p{L})(?:" + "|".join(ts) + r")\.? ")
+    given = F.initcap(F.substring_index(name, " ", 1))
+    called = lambda g: given.isin([x for k, v in GIVEN.items() if k.endswith(g) for x in v]) & name.contains(" ")
+    gender = (
+        F.when(titled(TITLES_F), "f|").when(titled(TITLES_M), "m|").when(called("_f"), "f|").when(called("_m"), "m|").otherwise("n|")
+    )
+    before, after = ipv6_ends(raw)
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(before) - F.size(after))
+    ipv6 = F.array_join(F.transform(F.concat(before, zeros, after), lambda g: F.lpad(F.lower(g), 4, "0")), ":")
     return (
         F.when(kind == "email", ascii_lower(raw))
-        .when(kind == "ipv6", F.lower(raw))
+        .when(kind == "ipv6", ipv6)
         .when(kind == "phone", F.concat(code, F.lit("|"), F.substr(digits(raw), F.length(code) + 1)))
         .when(kind.isin("card", "ssn"), digits(raw))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .when(kind == "person", F.concat(F.when(woman, "f|").otherwise("m|"), F.initcap(name)))
+        .when(kind == "person", F.concat(gender, F.initcap(name)))
         .otherwise(raw)
     )
 
@@ -172,6 +200,31 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
         ),
         "",
     )
+    # zeros at the start of a group stay, so that every short form of the address has one of the surrogate
+    ipv6 = F.array_join(
+        F.transform(
+            F.split(canon, ":"),
+            lambda g, i: let(
+                F.regexp_replace(g, "^0+", ""),
+                lambda body: F.when(body == "", g).otherwise(
+                    F.lpad(
+                        F.array_join(
+                            F.transform(
+                                F.split(body, ""),
+                                lambda c, j: F.lower(
+                                    F.hex(F.when(j == 0, keyed(seed, 4 * i) % 15 + 1).otherwise(keyed(seed, 4 * i + j) % 16))
+                                ),
+                            ),
+                            "",
+                        ),
+                        4,
+                        "0",
+                    )
+                ),
+            ),
+        ),
+        ":",
+    )
     phone = F.concat(
         F.substring_index(canon, "|", 1), F.lit("|"), swapped(F.substring_index(canon, "|", -1), seed)
     )
@@ -202,7 +255,8 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "ipv4", ipv4)
-        .when((kind == "ipv6") | ((kind == "secret") & plain_hex), hexed)
+        .when(kind == "ipv6", ipv6)
+        .when((kind == "secret") & plain_hex, hexed)
         .when(kind == "phone", phone)
         .when(kind == "card", card)
         .when(kind == "iban", iban)
@@ -237,12 +291,21 @@ def rendered(kind: Column, raw: Column, new: Column) -> Column:
         ),
         "",
     )
+    before, after = ipv6_ends(raw)
+    all_groups = F.split(new, ":")
+    cut = lambda g, k: F.substr(F.get(all_groups, k), F.lit(5) - F.length(g))  # noqa: E731  as long as in the mention
+    short = F.concat(
+        F.array_join(F.transform(before, lambda g, i: cut(g, i)), ":"),
+        F.when(raw.contains("::"), "::").otherwise(""),
+        F.array_join(F.transform(after, lambda g, i: cut(g, F.lit(8) - F.size(after) + i)), ":"),
+    )
     title = F.regexp_extract(raw, f"^{TITLE} ", 0)
     name = F.substr(new, F.lit(3))
     loud = (F.upper(raw) == raw) & (F.lower(raw) != raw)
     return (
         F.when(new.startswith("<"), new)
-        .when(kind.isin("email", "ipv6"), cased)
+        .when(kind == "email", cased)
+        .when(kind == "ipv6", F.when(raw.rlike("[A-F]") & ~raw.rlike("[a-f]"), F.upper(short)).otherwise(short))
         .when(kind == "phone", refill(F.regexp_replace(new, r"\|", "")))
         .when(kind.isin("card", "ssn", "iban"), refill(new))
         .when(kind == "person", F.concat(title, F.when(loud, F.upper(name)).otherwise(name)))

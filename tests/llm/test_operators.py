@@ -306,6 +306,26 @@ def test_op5_gender_and_script(spark):
     assert all(a.split()[0] == b.split()[0] and a != b for a, (_, b) in zip((out[k] for k in sorted(out)), rows))
 
 
+def test_op5_short_addresses_neutral_titles_and_spaced_phones(spark):
+    import ipaddress
+
+    rows = ["2001:db8::1", "fe80::1", "2001:DB8:0:0:0:0:0:1", "Dr. Anna Schmidt", "Frau Anna Schmidt", "Prof. Dr. Kwame Mbeki",
+            "Frau Dr. Schmidt", "555 123 4567", "555-123-4567", "01 23 45 67 89", "::ffff:192.0.2.1"]
+    clear = ["std::vector a::b Face::add", "on 01 02 2023 and 12:30:45", "1 555 123 4567 8", "Drive past"]
+    df = spark.createDataFrame(list(enumerate(f"see {x}, then" for x in rows + clear)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in pii.pii_report(df).collect()}
+    assert [out[len(rows) + k]["text"] for k in range(len(clear))] == [f"see {x}, then" for x in clear]
+    new = [out[k]["text"][4:-6] for k in range(len(rows))]
+    assert all(out[k]["n_entities"] == 1 and new[k] != x for k, x in enumerate(rows)), new
+    assert [out[k]["kinds"] for k in range(len(rows))] == [*["ipv6"] * 3, *["person"] * 4, *["phone"] * 3, "ipv4"]
+    assert ipaddress.ip_address(new[0]) == ipaddress.ip_address(new[2]) != ipaddress.ip_address(new[1])
+    assert "::" in new[0] and "::" in new[1] and new[2] == new[2].upper() and [len(x) for x in new[:3]] == [len(x) for x in rows[:3]]
+    assert new[3].startswith("Dr. ") and new[4].startswith("Frau ") and new[3][4:] == new[4][5:]
+    assert new[3].split()[1] in pii.GIVEN["latin_f"] and new[5].split()[2] in pii.GIVEN["latin_n"]
+    assert new[6].startswith("Frau Dr. ") and "Schmidt" not in new[6]
+    assert _shape(new[7]) == "999 999 9999" and new[7].replace(" ", "-") == new[8] and _shape(new[9]) == "99 99 99 99 99"
+
+
 def test_op5_collisions_keep_entities_distinct(spark):
     ips = [(f"{k}.{j}.1.2") for k in range(10) for j in range(10)] + [f"{k}.{j}.3.4" for k in range(10) for j in range(10)]
     df = spark.createDataFrame([("ipv4", x) for x in ips], "kind string, canon string")
