@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perigee.llm import decontam, quality, sharding
+from perigee.llm import decontam, fim, quality, ranking, sharding
 from perigee.llm.common import UPPER
 
 WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -117,9 +117,42 @@ SELECT ab.doc_id, ab.size, ab.text_crc32, 'rows' AS law, CAST(place % 8 AS INTEG
        CAST(NULL AS INTEGER) AS grown_shard, ab.row_no
 FROM ab JOIN walk ON walk.row_no = ab.row_no AND walk.place < ab.n"""
 
+_H = "CAST('0x' || substr(digest, {i}, 8) AS BIGINT)"
+FILL_IN_MIDDLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+           sha256('{fim.KEY}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {_H.format(i=1)} % (len(u) + 1) AS x, {_H.format(i=9)} % (len(u) + 1) AS y,
+      {_H.format(i=17)} AS h3, {_H.format(i=25)} AS h4 FROM t),
+c AS (SELECT doc_id, text, n, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= {fim.PLAIN_FROM} THEN 'plain'
+      WHEN h4 % 100 < {fim.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1:least(x, y)], '') AS p,
+      array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c"""
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+g AS (SELECT COUNT(*) FILTER (WHERE len(ts) > 0) AS docs, CAST(SUM(len(ts)) AS BIGINT) AS total FROM d),
+m AS (SELECT doc_id, {ranking.M_BASE} + ({ranking.M_SLOPE} * len(ts) * docs) // total AS m FROM d, g),
+x AS (SELECT doc_id, unnest(ts) AS t FROM d),
+tf AS (SELECT doc_id, t, COUNT(*) AS tf FROM x GROUP BY ALL),
+df AS (SELECT t, COUNT(*) AS df FROM tf GROUP BY t),
+i AS (SELECT item_id, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, t, COUNT(*) AS c FROM i GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, g),
+s AS (SELECT item_id, tf.doc_id, CAST(SUM(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL)
+SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= {ranking.TOP}"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": SHARDS,
     "op6_minhash_neardup": NEAR_DUPLICATES,
     "op8_quality_rules": QUALITY,
     "op9_decontamination": LEAKS,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_ranked_search": RANKED_SEARCH,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee.llm import decontam, html, lm, neardup, pieces, pii, quality, sharding, toxicity
+from perigee.llm import decontam, fim, html, lm, neardup, pieces, pii, quality, ranking, secret_scan, sharding, toxicity
 from perigee.llm.common import table
 from perigee.llm.oracle import ORACLE_SQL  # noqa: F401  read by the entry point
 
@@ -53,6 +53,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,5 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_decontamination,
         op10_token_counts,
+        op11_fill_in_middle,
+        op12_secret_scan,
+        op13_ranked_search,
     )
 }

@@ -1,0 +1,115 @@
+"""Operator 13: ranks against a plain computation, classes, blocks, awkward rows."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from helpers import SF, edge, empty
+from pyspark.sql import functions as F
+
+from perigee.llm import ranking
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_ranks(docs, items, top=20):
+    bags = [(d, Counter(plain_terms(t))) for d, t in docs]
+    n_docs, total = sum(bool(b) for _, b in bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item_id, text in sorted(set(items), key=str):
+        query, scored = Counter(plain_terms(text)), []
+        for d, b in bags:
+            m = 75 + 25 * sum(b.values()) * n_docs // max(total, 1)
+            s = 0
+            for t, c in query.items():
+                if b[t]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    s += c * w * (1_000_000_000 * b[t] // (1000 * b[t] + 12 * m))
+            if s > 0:
+                scored.append((-s, d is None, d or 0, d))
+        out += [(item_id, r + 1, d, -s) for r, (s, _, _, d) in enumerate(sorted(scored)[:top])]
+    return sorted(out, key=str)
+
+
+def ranks(docs, items, **kw):
+    return sorted((tuple(r) for r in ranking.ranked_search(docs, items, **kw).collect()), key=str)
+
+
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+
+
+def random_rows(seed, n=400):
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["a", "B", "é", "漢字", "x1", "y-z", "common", "Common", f"w{rnd.randrange(40)}"])
+    text = lambda k: " ".join(word() for _ in range(rnd.randrange(k)))
+    texts = [text(12) for _ in range(60)]
+    docs = [(i // 2 if i % 50 == 0 else i, rnd.choice(texts) if rnd.random() < 0.6 else text(30)) for i in range(n)]
+    return docs + [(None, texts[0]), (None, texts[1]), (7, None), (8, "")], [(i, text(10)) for i in range(25)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_the_rule(spark, seed):
+    docs, items = random_rows(seed)
+    assert ranks(*frames(spark, docs, items)) == plain_ranks(docs, items)
+
+
+def test_blocks_and_small_steps_change_nothing(spark, monkeypatch):
+    docs, items = random_rows(3)
+    want = plain_ranks(docs, items, top=3)
+    monkeypatch.setattr(ranking, "PAIRS", 5)
+    monkeypatch.setattr(ranking, "CELLS", 30)
+    monkeypatch.setattr(ranking, "CHUNK", 8)
+    d, i = frames(spark, docs, items)
+    assert ranks(d.repartition(5), i, top=3, block_bytes=600) == want
+
+
+def test_query_on_a_table(spark):
+    docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    got = ranks(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert got == plain_ranks(docs, items)
+
+
+def test_a_hot_class_gives_its_least_members(spark):
+    docs = [(i, "same words here") for i in range(999, -1, -1)] + [(2000 + i, f"words other{i}") for i in range(30)]
+    d, i = frames(spark, docs, [(1, "here words"), (2, "other5"), (3, "none of it")])
+    got = ranks(d.repartition(7), i)
+    assert got == plain_ranks(docs, [(1, "here words"), (2, "other5"), (3, "none of it")])
+    assert [r[2] for r in sorted(got) if r[0] == 1] == list(range(20))
+
+
+def test_one_hash_for_all_is_still_verified(spark, monkeypatch):
+    docs, items = random_rows(4, 120)
+    monkeypatch.setattr(ranking.F, "xxhash64", lambda *c: F.lit(1).cast("bigint") + F.lit(0))
+    assert ranks(*frames(spark, docs, items)) == plain_ranks(docs, items)
+
+
+def test_class_rows(spark):
+    docs = spark.createDataFrame([(3, "a b"), (1, "b a!"), (2, "a b b"), (4, "z"), (5, None)], "doc_id bigint, text string")
+    cut = ranking.restrict(docs, {b"a": 0, b"b": 1})
+    assert sorted((r["doc_id"], r["n"], len(r["vec"])) for r in cut.collect()) == [(1, 2, 2), (2, 3, 2), (3, 2, 2), (4, 1, 0), (5, 0, 0)]
+    rows = ranking.classes(cut, 4, 8, 20).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[tuple(r["members"])].append([tuple(v) for v in r["vec"]])
+    assert dict(by) == {(1, 3): [[(0, 1), (1, 1)]], (2,): [[(0, 1), (1, 2)]]}
+
+
+def test_awkward_rows(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "alpha1 TWO"), (3, "alpha1 TWO"), (None, "omega")], "item_id bigint, text string")
+    from helpers import EDGE_ROWS
+
+    want = plain_ranks([r[:2] for r in EDGE_ROWS], [(3, "alpha1 TWO"), (None, "omega")])
+    assert ranks(edge(spark), items) == want
+    assert ranks(empty(spark), items) == []
+    assert ranks(edge(spark), items.limit(0)) == []
+    assert ranks(edge(spark), items.where("item_id < 3")) == []
