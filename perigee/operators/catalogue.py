@@ -54,7 +54,8 @@ def _join(a: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 def _per_object(ca: DataFrame, *aggs: Column) -> DataFrame:
     """Fact aggregated to one row per object (rows without a key never join)."""
-    return ca.where(F.col(C_KEY).isNotNull()).groupBy(C_KEY).agg(*aggs)
+    ca = ca.where(F.col(C_KEY).isNotNull())
+    return ca.groupBy(C_KEY).agg(*aggs) if aggs else ca.select(C_KEY).distinct()
 
 
 def _per_day(ca: DataFrame, *aggs: Column) -> DataFrame:
@@ -156,30 +157,27 @@ def q03b_top_fastest_objects(
     a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, k: int = 10
 ) -> DataFrame:
     """Top k objects by fastest approach, one row per object, with that approach's date
-    (earliest date among equal speeds).
+    (earliest date among equal speeds; NULL only where none of them has one).
 
-    A struct minimum sorts its input, so it runs on one row per object and day only.
+    Two steps: the greatest speed of each object (a hash aggregate with map-side partial results) gives the
+    k-th speed; only objects that reach it go on, and only their rows at their greatest speed are looked at for the
+    date.  Ties at the k-th speed all go on, so the final order decides among them.
     """
     a, ca = _sides(a, ca, filters)
-    ca = _per_day(ca, F.max("relative_velocity_kmph").alias("relative_velocity_kmph"))
-    best = F.min(
-        F.when(
-            F.col("relative_velocity_kmph").isNotNull(),
-            F.struct(
-                (-F.col("relative_velocity_kmph")).alias("neg_v"),
-                F.col("close_approach_date").isNull().alias("no_date"),
-                F.col("close_approach_date").alias("day"),
-            ),
-        )
-    )
-    per_id = _per_object(ca, best.alias("_b")).where(F.col("_b").isNotNull())
+    speed = F.col("relative_velocity_kmph")
+    fastest = _per_object(ca.where(speed.isNotNull()), F.max(speed).alias("_v"))
+    named = _join(a, fastest).select(F.col(A_KEY).alias("_id"), "name", "_v")
+    reached = named.where(F.col("_v") >= _kth_greatest(named, "_v", k, fewer=F.min("_v")))
+    rows = ca.select(F.col(C_KEY).alias("_c"), speed, "close_approach_date")
+    first = rows.join(reached, (F.col("_c") == F.col("_id")) & (speed == F.col("_v")))
     return (
-        _join(a, per_id)
+        first.groupBy("_id", "name", "_v")
+        .agg(F.min("close_approach_date").alias("close_approach_date"))
         .select(
-            F.col(A_KEY).alias("asteroid_id"),
+            F.col("_id").alias("asteroid_id"),
             F.col("name").alias("asteroid_name"),
-            (-F.col("_b.neg_v")).alias("fastest_velocity_kmph"),
-            F.col("_b.day").alias("close_approach_date"),
+            F.col("_v").alias("fastest_velocity_kmph"),
+            "close_approach_date",
         )
         .orderBy(
             F.desc("fastest_velocity_kmph"),
@@ -191,6 +189,13 @@ def q03b_top_fastest_objects(
     )
 
 
+def _kth_greatest(rows: DataFrame, value: str, k: int, fewer: Column) -> Column:
+    """The ``k``-th greatest value of ``rows`` as a scalar subquery; ``fewer`` (an aggregate of the rows) where
+    there are not ``k``."""
+    first = rows.select(value).orderBy(F.desc(value)).limit(k)
+    return first.agg(F.when(F.count(F.lit(1)) >= k, F.min(value)).otherwise(fewer).alias("bound")).scalar()
+
+
 # --------------------------------------------------------------------------- q04
 def q04_hazardous_frequent(
     a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, min_count: int = 3
@@ -228,16 +233,18 @@ def q11_monthly_counts(a: DataFrame, ca: DataFrame, filters: FilterSpec | None =
 
 # --------------------------------------------------------------------------- q06
 def q06_fastest_ever(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = None, k: int = 1) -> DataFrame:
-    """The k fastest approaches.  An object has at most k among them: only its k first rows meet the
-    dimension (the rank limit runs before the shuffle as well).
+    """The k fastest approaches.
+
+    The k-th of the objects' greatest speeds (a hash aggregate) is a bound that at least k approaches reach: only
+    rows that reach it meet the dimension again.  With fewer than k objects that have a speed every row may count.
     """
     a, ca = _sides(a, ca, filters)
-    first = Window.partitionBy(C_KEY).orderBy(F.col("relative_velocity_kmph").desc(), F.col("close_approach_date").asc())
-    ca = ca.where(F.col(C_KEY).isNotNull()).select(C_KEY, "relative_velocity_kmph", "close_approach_date")
-    ca = ca.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
+    speed = F.col("relative_velocity_kmph")
+    fastest = _join(a, _per_object(ca.where(speed.isNotNull()), F.max(speed).alias("_v"))).select("_v")
+    bound = _kth_greatest(fastest, "_v", k, fewer=F.lit(None).cast("double"))
     return (
-        _join(a, ca)
-        .orderBy(F.col("relative_velocity_kmph").desc(), F.col("name").asc(), F.col("close_approach_date").asc())
+        _join(a, ca.where((speed >= bound) | bound.isNull()).select(C_KEY, "relative_velocity_kmph", "close_approach_date"))
+        .orderBy(speed.desc(), F.col("name").asc(), F.col("close_approach_date").asc())
         .limit(k)
         .select(F.col("name").alias("asteroid_name"), "relative_velocity_kmph", "close_approach_date")
     )
@@ -305,12 +312,19 @@ def q09_closest_approach(a: DataFrame, ca: DataFrame, filters: FilterSpec | None
     """Per name: smallest distance and the date it happened (earliest date among ties).
 
     Both outputs come from one row: rows without a distance or a date take no part, and a name that
-    has no other rows gets NULL for both.  The fact is cut to one row per object and day before
-    the struct minimum, which keeps one struct per group instead of all dates of the group.
+    has no other rows gets NULL for both.  Two steps: the smallest distance of each object is a hash aggregate
+    (a struct minimum would sort the fact); the rows at that distance then give the earliest date.
     """
     a, ca = _sides(a, ca, filters)
-    daily = _per_day(ca, F.min("astronomical").alias("astronomical"))
-    per_id = _per_object(daily, F.min(closest_key(F.col("astronomical"), F.col("close_approach_date"))).alias("_k"))
+    au, day = F.col("astronomical"), F.col("close_approach_date")
+    known = ca.where(F.col(C_KEY).isNotNull() & au.isNotNull() & day.isNotNull())
+    least = ca.where(F.col(C_KEY).isNotNull()).groupBy(F.col(C_KEY).alias("_id"))
+    least = least.agg(F.min(F.when(day.isNotNull(), au)).alias("_au"))
+    at_least = known.select(C_KEY, au, day).join(least, (F.col(C_KEY) == F.col("_id")) & (au == F.col("_au")))
+    dated = at_least.groupBy("_id", "_au").agg(F.min(day).alias("_day"))
+    # an object without such a row still has its name listed
+    bare = least.where(F.col("_au").isNull()).select("_id", "_au", F.lit(None).cast("date").alias("_day"))
+    per_id = dated.unionByName(bare).select(F.col("_id").alias(C_KEY), closest_key(F.col("_au"), F.col("_day")).alias("_k"))
     key = F.min("_k")
     return (
         _join(a, per_id)
@@ -486,6 +500,19 @@ def orbiting_bodies(a: DataFrame, ca: DataFrame, filters: FilterSpec | None = No
     )
 
 
+# --------------------------------------------------------------------------- from the summaries of the stored months
+def monthly_of_summary(summary: DataFrame) -> DataFrame:
+    """q11 of a stored fact from its month summaries (``tables.read_summary``); its first row by count is q05."""
+    month = F.col("approach_month")
+    counts = summary.groupBy(month.alias("_m")).agg(F.sum("n_keyed").alias("approaches_count"))
+    return counts.select(month_text(F.col("_m")).alias("approach_month"), "approaches_count").orderBy(F.asc("approach_month"))
+
+
+def bodies_of_summary(summary: DataFrame) -> DataFrame:
+    """The body list of a stored fact from its month summaries."""
+    return summary.where(F.col("orbiting_body").isNotNull()).select("orbiting_body").distinct().orderBy("orbiting_body")
+
+
 # Which tables each query reads.  A filter side applies only to queries reading it;
 # this is structural here (each function filters exactly the tables it reads).
 CATALOGUE = {

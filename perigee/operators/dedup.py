@@ -47,8 +47,9 @@ def order_struct(order: Order) -> Column:
     return F.struct(*fields)
 
 
-def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
-    """One row per ``keys``, columns in input order; ``order`` names every other column.
+def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Order, count: str | None = None) -> DataFrame:
+    """One row per ``keys``, columns in input order; ``order`` names every other column.  ``count`` adds a
+    column of that name: the rows that became one.
 
     The order struct already holds all columns that are not keys, so the survivor is rebuilt from it
     and no second copy travels.  A NULL in a key is no value: rows with one are not de-duplicated
@@ -59,9 +60,11 @@ def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
         raise ValueError("order must name every column that is not a key")
     unknown = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     apart = F.when(unknown, order_struct(order)).alias("_apart")
-    best = df.groupBy(*keys, apart).agg(F.min(order_struct(order)).alias("_best"))
+    counted = [F.count(F.lit(1)).alias(count)] if count else []
+    best = df.groupBy(*keys, apart).agg(F.min(order_struct(order)).alias("_best"), *counted)
     sign = {name: (1 if direction == "asc" else -1) for name, direction in order}
     rebuilt = {
         name: F.col(f"_best.v{i}") if sign[name] == 1 else -F.col(f"_best.v{i}") for i, name in enumerate(rest)
     }
-    return best.select(*[rebuilt[c].alias(c) if c in rebuilt else F.col(c) for c in df.columns])
+    out = [rebuilt[c].alias(c) if c in rebuilt else F.col(c) for c in df.columns]
+    return best.select(*out, *([count] if count else []))

@@ -1,7 +1,7 @@
 """Driver keys for the feed, load and streaming operators, with their oracle SQL.
 
-The feed is landed from the whole test tables (``feed.build_pages``) once per
-session and sf folder, into the shared scratch folder; every key then reads it back
+The feed is landed from the whole test tables (``perigee.plans.landing``) once per
+set of input files, into the shared scratch folder; every key then reads it back
 through the same code a production ingest uses.  Oracles compute the expected result
 directly from the tables, independent of how rows were spread over pages.
 """
@@ -12,14 +12,15 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigee.operators import catalogue as cat
+from perigee.plans import landing
 from perigee.plans.oracle import JOIN, with_binding
 from perigee.schemas import APPROACH_COLUMNS
-from perigee.session import new_run_dir, scratch_root
-from perigee.sources import binding, feed, tables
+from perigee.session import new_run_dir
+from perigee.sources import binding, chain, feed, ledger, tables
 from perigee.streaming import ingest, windows
 
 FEED_TARGET_ROWS = 10000  # the reference's stop condition
@@ -27,31 +28,13 @@ STREAM_FILES = 8
 UPSERT_FIRST_END = dt.date(1998, 7, 1)
 UPSERT_SECOND_START = dt.date(1998, 1, 1)
 
-def _fingerprint(df: DataFrame) -> str:
-    """Digest of the files behind a table: names, sizes and times of change."""
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return files.agg(F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("*")))))).first()[0]
+SMALL_PAGES = 4  # records a page where keys look at page numbers: some fall on no record and are not landed
+SOILED_PAGES = 20
+BEFORE_DAYS, AFTER_DAYS = 3, 17  # the days asked for begin and end off the windows of the feed
 
 
 def landed_pages(spark: SparkSession, sf_dir: str) -> str:
-    """Land the bound tables as feed pages; a landing of the very same files is used again."""
-    part, lineitem = binding.table(spark, sf_dir, "part"), binding.table(spark, sf_dir, "lineitem")
-    path = f"{scratch_root(spark)}/landing/{_fingerprint(part)}-{_fingerprint(lineitem)}"
-    if not _landed(spark, path):
-        a = binding.asteroids_from_part(part)
-        ca = binding.approaches_from_lineitem(lineitem, keep_part=True)
-        feed.land_pages(feed.build_pages(a, ca), path, mode="overwrite")
-    return path
-
-
-def _landed(spark: SparkSession, path: str) -> bool:
-    """Whether a landing was finished: its writer's success file is there."""
-    try:
-        return bool(spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count())
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    return landing.landed(spark, sf_dir)
 
 
 def flat_feed(spark: SparkSession, sf_dir: str, all_approaches: bool = True) -> DataFrame:
@@ -180,6 +163,92 @@ def k_ingest_audit_pages(spark, sf_dir):
     )
 
 
+def small_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.read_pages(spark, landing.landed(spark, sf_dir, SMALL_PAGES))
+
+
+def k_feed_chain(spark, sf_dir):
+    return chain.chains(small_pages(spark, sf_dir))
+
+
+def k_feed_missing(spark, sf_dir):
+    """What is to be fetched for a range of days that begins and ends off the windows."""
+    _, ca = binding.bind(spark, sf_dir)
+    first, last = ca.agg(F.min("close_approach_date"), F.max("close_approach_date")).first()
+    start, end = first + dt.timedelta(days=BEFORE_DAYS), last + dt.timedelta(days=AFTER_DAYS)
+    return chain.missing_pages(small_pages(spark, sf_dir), start, end)
+
+
+def soiled_pages(spark: SparkSession, sf_dir: str) -> str:
+    return landing.landed(spark, sf_dir, SOILED_PAGES, soiled=True)
+
+
+def _ledger_root(spark, sf_dir) -> str:
+    root = new_run_dir(spark, "ledger")
+    ledger.load_pages(spark, root, feed.read_pages(spark, soiled_pages(spark, sf_dir), strict=False))
+    return root
+
+
+def _rejects(spark, root) -> DataFrame:
+    return ledger.read_rejects(spark, root).select(
+        "page",
+        "day",
+        F.get_json_object("text", "$.id").try_cast("bigint").alias("id"),
+        "element",
+        F.array_join("bad_fields", ",").alias("bad_fields"),
+        "route",
+    )
+
+
+def k_feed_rejects(spark, sf_dir):
+    return _rejects(spark, _ledger_root(spark, sf_dir))
+
+
+def k_feed_ledger(spark, sf_dir):
+    return ledger.read_ledger(spark, _ledger_root(spark, sf_dir)).drop("run_no")
+
+
+def _tolerant_stream(spark, sf_dir) -> str:
+    root = new_run_dir(spark, "stream-ledger")
+    q = ingest.ingest_stream(
+        spark, soiled_pages(spark, sf_dir), root, new_run_dir(spark, "stream-ckpt"), STREAM_FILES, strict=False
+    )
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    return root
+
+
+def k_stream_rejects(spark, sf_dir):
+    """The dead letters of the tolerant stream, over all its batches."""
+    return _rejects(spark, _tolerant_stream(spark, sf_dir))
+
+
+def k_stream_ingest_tolerant(spark, sf_dir):
+    """What the tolerant stream stored."""
+    return tables.read_tables(spark, _tolerant_stream(spark, sf_dir))[1]
+
+
+def _loaded_in_three(spark, sf_dir) -> str:
+    flat = flat_feed(spark, sf_dir)
+    root = new_run_dir(spark, "tables")
+    day = F.col("close_approach_date")
+    tables.upsert(spark, root, flat.where(day < F.lit(UPSERT_FIRST_END)))
+    tables.upsert(spark, root, flat.where(day >= F.lit(UPSERT_SECOND_START)))
+    tables.upsert(spark, root, flat.where(day < F.lit(UPSERT_SECOND_START)))
+    return root
+
+
+def k_summary_monthly(spark, sf_dir):
+    """Monthly counts (q11, and so q05) from the months' summaries, after three overlapping loads."""
+    return cat.monthly_of_summary(tables.read_summary(spark, _loaded_in_three(spark, sf_dir)))
+
+
+def k_summary_bodies(spark, sf_dir):
+    """The body list from the months' summaries."""
+    return cat.bodies_of_summary(tables.read_summary(spark, _loaded_in_three(spark, sf_dir)))
+
+
 def k_stream_window_counts(spark, sf_dir):
     out = new_run_dir(spark, "window-counts")
     with windows.session_time_zone(spark, "UTC"):
@@ -211,6 +280,14 @@ INGEST_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_audit_pages": k_ingest_audit_pages,
     "stream_ingest": k_stream_ingest,
     "stream_window_counts": k_stream_window_counts,
+    "feed_chain": k_feed_chain,
+    "feed_missing": k_feed_missing,
+    "feed_rejects": k_feed_rejects,
+    "feed_ledger": k_feed_ledger,
+    "stream_rejects": k_stream_rejects,
+    "stream_ingest_tolerant": k_stream_ingest_tolerant,
+    "summary_monthly": k_summary_monthly,
+    "summary_bodies": k_summary_bodies,
 }
 
 
@@ -238,22 +315,92 @@ ASTEROIDS_SQL = with_binding(
     f"a.estimated_diameter_max_km, a.is_potentially_hazardous_asteroid FROM {JOIN}"
 )
 RECORDS = f"(SELECT DISTINCT {RECORD}, a.name FROM {JOIN})"
-FLAT_ORDER = ", ".join(
-    f"{c} ASC NULLS LAST"
-    for c in (
-        "close_approach_date id neo_reference_id name absolute_magnitude_h estimated_diameter_min_km "
-        "estimated_diameter_max_km is_potentially_hazardous_asteroid relative_velocity_kmph astronomical "
-        "miss_distance_km miss_distance_lunar orbiting_body"
-    ).split()
+FLAT_ORDER = ", ".join(f"{c} ASC NULLS LAST" for c in feed.FEED_ORDER)
+FACT_COLUMNS = (
+    "neo_reference_id, close_approach_date, relative_velocity_kmph, astronomical, miss_distance_km, "
+    "miss_distance_lunar, orbiting_body"
+)
+
+
+def _ranked(rows: str) -> str:
+    """CTE: rows ranked within (object, day); the survivor has rn = 1."""
+    return (
+        "ranked AS (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY c.neo_reference_id, c.close_approach_date "
+        "ORDER BY c.astronomical ASC NULLS LAST, c.relative_velocity_kmph DESC NULLS LAST, "
+        "c.orbiting_body ASC NULLS LAST, c.miss_distance_km ASC NULLS LAST, c.miss_distance_lunar ASC NULLS LAST) AS rn "
+        f"FROM {rows})"
+    )
+
+
+DEDUP_FACT_SQL = with_binding(f"SELECT {FACT_COLUMNS} FROM ranked WHERE rn = 1", _ranked(JOIN))
+
+
+def _pages_sql(size: int) -> str:
+    """CTEs: the records of the feed, and the page each was landed on."""
+    return f"""
+rec AS (SELECT DISTINCT a.id, c.close_approach_date AS d, c._part AS part, {_window_sql("c.close_approach_date")} AS w FROM {JOIN}),
+cnt AS (SELECT w, CAST(ceil(COUNT(*) / {size}.0) AS BIGINT) AS pages FROM rec GROUP BY w),
+placed AS (SELECT rec.*, pages, ((id * 7 + (d - {ANCHOR}) * 3 + part) % pages + pages) % pages AS page FROM rec JOIN cnt ON cnt.w = rec.w),
+landed AS (SELECT DISTINCT w, pages, page FROM placed)"""
+
+
+def _link_sql(w: str, page: str) -> str:
+    return f"'feed?start_date=' || strftime({w}, '%Y-%m-%d') || '&end_date=' || strftime({w} + 6, '%Y-%m-%d') || '&page=' || {page}"
+
+
+CHAIN_SQL = with_binding(
+    f"""SELECT {_link_sql("w", "page")} AS page, 'missing' AS ends, {_link_sql("lw", "lp")} AS "end",
+       n - pos AS steps, pos AS place, n AS length, {_link_sql("lnw", "lnp")} AS to_fetch
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chain ORDER BY w, page) AS pos, COUNT(*) OVER (PARTITION BY chain) AS n,
+      LAST_VALUE(w) OVER z AS lw, LAST_VALUE(page) OVER z AS lp, LAST_VALUE(nw) OVER z AS lnw, LAST_VALUE(np) OVER z AS lnp
+      FROM island WINDOW z AS (PARTITION BY chain ORDER BY w, page ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
+    _pages_sql(SMALL_PAGES)
+    + """,
+nxt AS (SELECT w, page, CASE WHEN page + 1 < pages THEN w ELSE w + 7 END AS nw, CASE WHEN page + 1 < pages THEN page + 1 ELSE 0 END AS np FROM landed),
+fol AS (SELECT *, LEAD(w) OVER k AS fw, LEAD(page) OVER k AS fp FROM nxt WINDOW k AS (ORDER BY w, page)),
+island AS (SELECT *, coalesce(SUM(CASE WHEN fw = nw AND fp = np THEN 0 ELSE 1 END)
+           OVER (ORDER BY w, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chain FROM fol)""",
+)
+MISSING_SQL = with_binding(
+    """SELECT w AS window_start, w + 6 AS window_end, CAST(page AS INTEGER) AS page, CASE WHEN page < last THEN 'gap' ELSE 'next' END AS reason
+FROM known k WHERE NOT EXISTS (SELECT 1 FROM landed l WHERE l.w = k.w AND l.page = k.page)
+UNION ALL
+SELECT MIN(day), MAX(day), CAST(0 AS INTEGER), 'window' FROM (SELECT day, run, (day - MIN(day) OVER (PARTITION BY run)) // 7 AS piece FROM runs) GROUP BY run, piece""",
+    _pages_sql(SMALL_PAGES)
+    + f""",
+b AS (SELECT MIN(close_approach_date) + {BEFORE_DAYS} AS lo, MAX(close_approach_date) + {AFTER_DAYS} AS hi FROM close_approach),
+lw AS (SELECT w, MAX(page) AS last, any_value(pages) AS pages FROM landed, b WHERE w <= hi AND w + 6 >= lo GROUP BY w),
+known AS (SELECT w, last, unnest(range(0, CASE WHEN last + 1 < pages THEN last + 2 ELSE last + 1 END)) AS page FROM lw),
+days AS (SELECT CAST(t.x AS DATE) AS day FROM b, generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY) AS t(x)),
+free AS (SELECT day FROM days WHERE NOT EXISTS (SELECT 1 FROM lw WHERE day BETWEEN w AND w + 6)),
+runs AS (SELECT day, day - CAST(ROW_NUMBER() OVER (ORDER BY day) AS INTEGER) AS run FROM free)""",
 )
-DEDUP_FACT_SQL = with_binding(
-    "SELECT neo_reference_id, close_approach_date, relative_velocity_kmph, astronomical, miss_distance_km, "
-    "miss_distance_lunar, orbiting_body FROM ranked WHERE rn = 1",
-    "ranked AS (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY c.neo_reference_id, c.close_approach_date "
-    "ORDER BY c.astronomical ASC NULLS LAST, c.relative_velocity_kmph DESC NULLS LAST, "
-    "c.orbiting_body ASC NULLS LAST, c.miss_distance_km ASC NULLS LAST, c.miss_distance_lunar ASC NULLS LAST) AS rn "
-    f"FROM {JOIN})",
+# every approach with the page it was landed on, its place in its record's list and what is wrong with it
+_SOILED = (
+    _pages_sql(SOILED_PAGES)
+    + f""",
+element AS (SELECT c.*, p.w, p.page, strftime(p.d, '%Y-%m-%d') AS day, CAST(ROW_NUMBER() OVER (PARTITION BY a.id, p.d, p.part
+   ORDER BY c.astronomical, c.relative_velocity_kmph, c.orbiting_body, c.miss_distance_km, c.miss_distance_lunar,
+   CASE WHEN c._line = {landing.BAD_DATE_LINE} THEN strftime(p.d, '%d/%m/%Y') ELSE strftime(p.d, '%Y-%m-%d') END,
+   c._line = {landing.BAD_VELOCITY_LINE}) - 1 AS INTEGER) AS element,
+   CASE c._line WHEN {landing.BAD_DATE_LINE} THEN 'close_approach_date' WHEN {landing.BAD_VELOCITY_LINE} THEN 'relative_velocity_kmph' END AS bad
+   FROM {JOIN} JOIN placed p ON p.id = a.id AND p.d = c.close_approach_date AND p.part = c._part),
+good AS (SELECT * FROM element WHERE page <> {landing.BROKEN_PAGE} AND bad IS NULL)"""
 )
+REJECTS_SQL = with_binding(
+    f"""SELECT {_link_sql("w", "page")} AS page, day, neo_reference_id AS id, element, bad AS bad_fields, 'record' AS route
+FROM element WHERE page <> {landing.BROKEN_PAGE} AND bad IS NOT NULL
+UNION ALL SELECT {_link_sql("w", "page")}, NULL, NULL, NULL, '', 'page' FROM landed WHERE page = {landing.BROKEN_PAGE}""",
+    _SOILED,
+)
+LEDGER_SQL = with_binding(
+    f"""SELECT pages, broken_pages, approaches, approaches - good AS rejected, CAST(0 AS BIGINT) AS bare_objects, good, new, good - new AS duplicates
+FROM (SELECT COUNT(*) AS pages, COUNT(*) FILTER (WHERE page = {landing.BROKEN_PAGE}) AS broken_pages FROM landed),
+     (SELECT COUNT(*) AS approaches FROM element WHERE page <> {landing.BROKEN_PAGE}),
+     (SELECT COUNT(*) AS good, COUNT(DISTINCT (neo_reference_id, close_approach_date)) AS new FROM good)""",
+    _SOILED,
+)
+TOLERANT_SQL = with_binding(f"SELECT {FACT_COLUMNS} FROM ranked WHERE rn = 1", _SOILED + ", " + _ranked("good c"))
 
 INGEST_ORACLES: dict[str, str] = {
     "feed_windows": with_binding(
@@ -294,6 +441,17 @@ INGEST_ORACLES: dict[str, str] = {
     "upsert_load": DEDUP_FACT_SQL,
     "atomic_publish": DEDUP_FACT_SQL,
     "stream_ingest": DEDUP_FACT_SQL,
+    "feed_chain": CHAIN_SQL,
+    "feed_missing": MISSING_SQL,
+    "feed_rejects": REJECTS_SQL,
+    "stream_rejects": REJECTS_SQL,
+    "feed_ledger": LEDGER_SQL,
+    "stream_ingest_tolerant": TOLERANT_SQL,
+    "summary_monthly": with_binding(
+        "SELECT strftime(close_approach_date, '%Y-%m') AS approach_month, COUNT(*) AS approaches_count FROM ranked WHERE rn = 1 GROUP BY 1",
+        _ranked(JOIN),
+    ),
+    "summary_bodies": with_binding("SELECT DISTINCT orbiting_body FROM ranked WHERE rn = 1", _ranked(JOIN)),
     "stream_window_counts": (
         "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, "
         "time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, event_type, "

@@ -41,7 +41,7 @@ def _body_sql(flag: str) -> str:
     return f"CASE {flag} {cases} ELSE '{OTHER_BODY}' END"
 
 
-def approaches_from_lineitem(lineitem: DataFrame, keep_part: bool = False) -> DataFrame:
+def approaches_from_lineitem(lineitem: DataFrame, keep_part: bool = False, keep_line: bool = False) -> DataFrame:
     """``lineitem`` as the approach table."""
     au = "l_quantity * l_discount / 10.0D"
     exprs = [
@@ -56,6 +56,8 @@ def approaches_from_lineitem(lineitem: DataFrame, keep_part: bool = False) -> Da
     if keep_part:
         # splits the approaches of one object and day over four landed records; never part of the tables
         exprs.append(f"l_suppkey % {RECORD_PARTS} AS _part")
+    if keep_line:
+        exprs.append("l_linenumber AS _line")  # says what the soiled landing gets wrong
     return lineitem.selectExpr(*exprs)
 
 
@@ -85,5 +87,6 @@ close_approach AS (
          l_quantity * l_discount / 10.0e0 * {KM_PER_AU}e0 AS miss_distance_km,
          l_quantity * l_discount / 10.0e0 * {LD_PER_AU}e0 AS miss_distance_lunar,
          CASE l_returnflag WHEN 'A' THEN 'Earth' WHEN 'N' THEN 'Venus' ELSE 'Mars' END AS orbiting_body,
-         l_suppkey % {RECORD_PARTS} AS _part
+         l_suppkey % {RECORD_PARTS} AS _part,
+         l_linenumber AS _line
   FROM lineitem)"""

@@ -3,20 +3,16 @@
 A page is one JSON document ``{"links": {...}, "near_earth_objects": {day: [object]}}``.
 Reading is a plain ``spark.read.json`` with an explicit schema (one task per file
 split); flattening is two ``explode``s and a projection (narrow, no shuffle).
-
-``build_pages`` turns the two tables back into pages (how the test tables are landed
-as a feed).  Pages have a bounded size: each request window (7 days) is split into
-``ceil(rows / page_size)`` pages and a row goes to the page picked by a hash of its
-source identity, so no page, and no task, collects a whole window or a whole object.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from perigee.schemas import FEED_SCHEMA, FLAT_COLUMNS
 
@@ -25,11 +21,7 @@ from perigee.schemas import FEED_SCHEMA, FLAT_COLUMNS
 WINDOW_DAYS = 7
 DEFAULT_ANCHOR = dt.date(2024, 1, 1)
 DATE_FORMAT = "yyyy-MM-dd"
-PAGE_LINK = "feed?start_date={start}&end_date={end}&page={page}"
-DEFAULT_PAGE_SIZE = 1000
 CORRUPT = "_corrupt_record"
-# Order of the approaches in a landed record.
-APPROACH_SORT = ("astronomical", "relative_velocity_kmph", "orbiting_body", "miss_distance_km", "miss_distance_lunar")
 
 
 # --------------------------------------------------------------------------- windows (I2)
@@ -80,101 +72,6 @@ def missing_windows(windows: DataFrame, pages: DataFrame) -> DataFrame:
     return windows.join(landed, "window_start", "left_anti")
 
 
-# --------------------------------------------------------------------------- landing
-def _num(c: Column) -> Column:
-    return c.cast("string")
-
-
-def feed_objects(asteroids: DataFrame, approaches: DataFrame) -> DataFrame:
-    """One feed object per object and day (the feed lists an object under each day it passes), with
-    its approaches of that day in order: nearest first, then by the other columns.
-
-    ``_part``, where present, splits the approaches of an object and day over several records.
-    """
-    approach = F.struct(
-        F.date_format("close_approach_date", DATE_FORMAT).alias("close_approach_date"),
-        F.struct(_num(F.col("relative_velocity_kmph")).alias("kilometers_per_hour")).alias("relative_velocity"),
-        F.struct(
-            _num(F.col("astronomical")).alias("astronomical"),
-            _num(F.col("miss_distance_lunar")).alias("lunar"),
-            _num(F.col("miss_distance_km")).alias("kilometers"),
-        ).alias("miss_distance"),
-        F.col("orbiting_body").alias("orbiting_body"),
-    )
-    obj = F.struct(
-        F.col("id").cast("string").alias("id"),
-        F.col("id").cast("string").alias("neo_reference_id"),
-        F.col("name"),
-        F.col("absolute_magnitude_h"),
-        F.struct(
-            F.struct(
-                F.col("estimated_diameter_min_km").alias("estimated_diameter_min"),
-                F.col("estimated_diameter_max_km").alias("estimated_diameter_max"),
-            ).alias("kilometers")
-        ).alias("estimated_diameter"),
-        F.col("is_potentially_hazardous_asteroid"),
-        F.col("_approaches").alias("close_approach_data"),
-    )
-    part = F.col("_part") if "_part" in approaches.columns else F.lit(0)
-    ordered = F.struct(*[F.col(c) for c in APPROACH_SORT], approach.alias("approach"))
-    listed = (
-        approaches.groupBy("neo_reference_id", "close_approach_date", part.alias("_part"))
-        .agg(F.array_sort(F.collect_list(ordered)).alias("_l"))
-        .withColumn("_approaches", F.transform("_l", lambda x: x.getField("approach")))
-    )
-    joined = asteroids.join(listed, asteroids["id"] == listed["neo_reference_id"])
-    return joined.select(
-        F.date_format("close_approach_date", DATE_FORMAT).alias("day"),
-        window_start(F.col("close_approach_date")).alias("window_start"),
-        F.xxhash64("id", "close_approach_date", "_part").alias("_h"),
-        obj.alias("obj"),
-    )
-
-
-def _link(start: Column, page: Column) -> Column:
-    end = F.date_add(start, WINDOW_DAYS - 1)
-    return F.format_string(
-        PAGE_LINK.replace("{start}", "%s").replace("{end}", "%s").replace("{page}", "%d"),
-        F.date_format(start, DATE_FORMAT),
-        F.date_format(end, DATE_FORMAT),
-        page,
-    )
-
-
-def build_pages(asteroids: DataFrame, approaches: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Pages (links, near_earth_objects) of about ``page_size`` objects each."""
-    objs = feed_objects(asteroids, approaches)
-    # One row per request window: bounded by the calendar (52 per year), safe to broadcast.
-    per_window = objs.groupBy("window_start").agg(
-        F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("_pages")
-    )
-    placed = objs.join(F.broadcast(per_window), "window_start").withColumn(
-        "page_no", F.pmod(F.col("_h"), F.col("_pages")).cast("int")
-    )
-    per_day = placed.groupBy("window_start", "_pages", "page_no", "day").agg(
-        F.array_sort(F.collect_list("obj")).alias("objects")
-    )
-    pages = per_day.groupBy("window_start", "_pages", "page_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("day", "objects"))).alias("near_earth_objects")
-    )
-    last = F.col("page_no") + 1 >= F.col("_pages")
-    next_start = F.when(last, F.date_add("window_start", WINDOW_DAYS)).otherwise(F.col("window_start"))
-    next_page = F.when(last, F.lit(0)).otherwise(F.col("page_no") + 1)
-    return pages.select(
-        F.struct(
-            _link(F.col("window_start"), F.col("page_no")).alias("self"),
-            _link(next_start, next_page).alias("next"),
-        ).alias("links"),
-        "near_earth_objects",
-    )
-
-
-def land_pages(pages: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Write pages as JSON Lines (one page document per line)."""
-    pages.write.mode(mode).json(path)
-    return path
-
-
 # --------------------------------------------------------------------------- reading (I1, I4, I5)
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False, strict: bool = True) -> DataFrame:
     """Landed pages with the explicit feed schema; ``multi_line`` for one pretty document per file.
@@ -182,7 +79,11 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False, strict:
     Strict reading fails at a broken page; tolerant reading keeps its text in ``_corrupt_record``
     (``corrupt_pages`` lists them, ``explode_days`` finds no days in them).
     """
-    reader = spark.read.option("multiLine", multi_line)
+    return pages_of(spark.read.option("multiLine", multi_line), path, strict)
+
+
+def pages_of(reader: DataFrameReader | DataStreamReader, path: str, strict: bool) -> DataFrame:
+    """Pages from a batch or stream reader."""
     if strict:
         pages = reader.schema(FEED_SCHEMA).option("mode", "FAILFAST").json(path)
     else:
@@ -207,7 +108,9 @@ def explode_objects(days: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- flattening (I6, I7)
-def _flat(obj: Column, approach: Column, strict: bool) -> list[Column]:
+def flat_columns(obj: Column, approach: Column, strict: bool) -> list[Column]:
+    """The 13 typed columns of an object and one of its approaches."""
+
     def num(c: Column, t: str) -> Column:
         return c.cast(t) if strict else c.try_cast(t)
 
@@ -237,7 +140,7 @@ def flatten(objects: DataFrame, strict: bool = True, keep_page: bool = False) ->
     ``get(arr, 0)`` yields NULL approach fields for an empty list instead of failing.
     """
     obj = F.col("obj")
-    cols = _flat(obj, F.get(obj.getField("close_approach_data"), 0), strict)
+    cols = flat_columns(obj, F.get(obj.getField("close_approach_data"), 0), strict)
     extra = [F.col("page")] if keep_page else []
     return objects.select(*extra, *cols)
 
@@ -248,21 +151,13 @@ def flatten_all_approaches(objects: DataFrame, strict: bool = True, keep_page: b
     exploded = objects.select(
         "page", "obj", F.explode_outer(F.col("obj").getField("close_approach_data")).alias("_ap")
     )
-    cols = _flat(F.col("obj"), F.col("_ap"), strict)
+    cols = flat_columns(F.col("obj"), F.col("_ap"), strict)
     extra = [F.col("page")] if keep_page else []
     return exploded.select(*extra, *cols)
 
 
-def rejects(objects: DataFrame) -> DataFrame:
-    """Approaches (page, day, obj, element) with text fields that do not parse, every element of the
-    list included; an object without approaches is one row, element NULL.
-
-    Tolerant flattening keeps these rows with NULL in the fields named here.
-    """
-    objects = objects.select(
-        "page", "day", "obj", F.posexplode_outer(F.col("obj").getField("close_approach_data")).alias("element", "_ap")
-    )
-    obj, ap = F.col("obj"), F.col("_ap")
+def unreadable(obj: Column, ap: Column) -> Column:
+    """Names of the fields of an object and one of its approaches whose text does not parse."""
     raw = {
         "id": obj.getField("id"),
         "neo_reference_id": obj.getField("neo_reference_id"),
@@ -280,13 +175,24 @@ def rejects(objects: DataFrame) -> DataFrame:
                                                   "miss_distance_lunar")},
     }
     bad = [F.when(raw[k].isNotNull() & parsed[k].isNull(), F.lit(k)) for k in raw]
-    return objects.select("page", "day", "obj", "element", F.array_compact(F.array(*bad)).alias("bad_fields")).where(
-        F.size("bad_fields") > 0
+    return F.array_compact(F.array(*bad))
+
+
+def rejects(objects: DataFrame) -> DataFrame:
+    """Approaches (page, day, obj, element) with text fields that do not parse, every element of the
+    list included; an object without approaches is one row, element NULL.
+
+    Tolerant flattening keeps these rows with NULL in the fields named here.
+    """
+    objects = objects.select(
+        "page", "day", "obj", F.posexplode_outer(F.col("obj").getField("close_approach_data")).alias("element", "_ap")
     )
+    bad = unreadable(F.col("obj"), F.col("_ap"))
+    return objects.select("page", "day", "obj", "element", bad.alias("bad_fields")).where(F.size("bad_fields") > 0)
 
 
-def read_flat(spark: SparkSession, path: str, strict: bool = True, all_approaches: bool = False) -> DataFrame:
-    """I1 -> I4 -> I5 -> I6/I7 in one call."""
+def read_flat(spark: SparkSession, path: str, strict: bool = True, all_approaches: bool = True) -> DataFrame:
+    """I1 -> I4 -> I5 -> I7 in one call; ``all_approaches=False`` reads the first approach only (I6)."""
     objects = explode_objects(explode_days(read_pages(spark, path, strict=strict)))
     return flatten_all_approaches(objects, strict) if all_approaches else flatten(objects, strict)
 

@@ -1,36 +1,42 @@
 """Loading the two tables: projection, de-duplication, versioned upsert, publication.
 
-Layout (Parquet) under ``<root>``:
+Layout (Parquet) under ``<root>``; a ``<run>`` is named by the number it was begun with and a random part:
 
-* ``asteroids/run=<run>``: one row per ``id`` plus ``seen_day``, the newest feed day on which it stood.
-* ``close_approach/run=<run>/approach_month=<month>``: files range-partitioned and sorted by (day,
+* ``asteroids/<run>``: one row per ``id`` plus ``seen_day``, the newest feed day on which it stood.
+* ``close_approach/<run>/approach_month=<month>``: files range-partitioned and sorted by (day,
   object), so date predicates prune months and skip row groups inside a month.
-* ``manifest/run_no=<n>``: one record per committed run: where the dimension is, which run holds
-  each month, and the row counts.
+* ``summary/<run>/approach_month=<month>``: rows and keyed rows per orbiting body of that month's version.
+* ``landed/<run>/route=<route>``: what a load of pages routed (``perigee.sources.ledger``); the rejects stay.
+* ``manifest/<n>.json``: one record per commit: the run of the dimension, the run and rows of each month, the
+  runs with rejects, the last epoch of each stream, and the ledger of the load.
 
-Nothing stored is ever changed in place.  A load writes new versions of what it touches (the
-dimension, the months of its batch) beside the old ones, checks their row counts against those
-seen while writing, and then adds one manifest record, which switches both tables at once.  A crash
-before that leaves files that no reader looks at; the load can be run again.  Readers resolve the
-newest record.  One writer per root is assumed: a second one that took the same run number fails at its
-manifest record.
+Nothing stored is ever changed in place.  A load writes its batch once, writes new versions of what the batch
+touches (the dimension, the months) beside the old ones, checks their row counts against those seen while
+writing, and then creates the next record, which switches everything at once.  A crash before that leaves
+files that no reader looks at; the load can be run again.  Readers resolve the newest record.
+
+Several writers: creating a record succeeds for one of them.  The other reads the new record, merges anew
+what its batch shares with it (months that got another run since, and the dimension), keeps its other
+versions, and tries the next number.  ``retain`` removes versions no kept record refers to.
 
 The survivor per object (newest feed day, then a total order) and per (object, day) does not depend on
-the order of rows, batches or replays.
+the order of rows, batches, writers or replays.
 """
 
 from __future__ import annotations
 
+import math
+import time
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perigee.operators.dedup import APPROACH_ORDER, ASTEROID_ORDER, dedup_by_key
 from perigee.operators.filters import MONTH_PARTITION
-from perigee.schemas import APPROACH_COLUMNS, ASTEROID_COLUMNS, ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA
+from perigee.schemas import APPROACH_COLUMNS, ASTEROID_COLUMNS, ASTEROIDS_SCHEMA, CLOSE_APPROACH_SCHEMA, FLAT_COLUMNS
+from perigee.sources import store
 
 FACT_PARTITION = MONTH_PARTITION
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # Spark's directory name for a NULL partition value
@@ -71,8 +77,23 @@ def create_tables(spark: SparkSession, database: str, location: str) -> tuple[st
     return f"{database}.asteroids", f"{database}.close_approach"
 
 
+def _absent(new: DataFrame, stored: DataFrame, keys: tuple[str, ...], columns: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key is not stored; with a NULL in the key, rows that are not stored as they are."""
+
+    def row(df: DataFrame) -> F.Column:
+        unknown = F.greatest(*[df[k].isNull() for k in keys], F.lit(False))
+        return F.when(unknown, F.xxhash64(*[df[c] for c in columns]))
+
+    there = stored.select(*[F.col(k).alias(f"_{k}") for k in keys], row(stored).alias("_there"))
+    same = row(new).eqNullSafe(F.col("_there"))
+    for k in keys:
+        same = same & new[k].eqNullSafe(F.col(f"_{k}"))
+    return new.join(there, same, "left_anti")
+
+
 def insert_tables(spark: SparkSession, names: tuple[str, str], asteroids: DataFrame, approaches: DataFrame) -> None:
-    """Add rows whose key is not in the catalog tables yet (a repeated insert adds nothing).
+    """Add rows whose key is not in the catalog tables yet (a repeated insert adds nothing; a newer version of
+    an object that is there is not taken: use ``upsert`` for that).
 
     Rows with a NULL in the key have no identity to be found by: an equal row counts as present.
     Columns are matched by name, the partition column comes last; rows are dealt by (month, day,
@@ -80,15 +101,9 @@ def insert_tables(spark: SparkSession, names: tuple[str, str], asteroids: DataFr
     """
     a_name, c_name = names
     stored = spark.table(a_name)
-    asteroids.join(stored.select("id"), "id", "left_anti").select(*stored.columns).write.insertInto(a_name)
+    _absent(asteroids, stored, ("id",), ASTEROID_COLUMNS).select(*stored.columns).write.insertInto(a_name)
     stored = spark.table(c_name)
-    keyed = lambda df: F.when(
-        df["neo_reference_id"].isNull() | df["close_approach_date"].isNull(), F.xxhash64(*[df[c] for c in APPROACH_COLUMNS])
-    )
-    new = approaches.select(*APPROACH_COLUMNS).withColumn("_row", keyed(approaches))
-    there = stored.select(*[F.col(c).alias(f"_{c}") for c in APPROACH_KEY], keyed(stored).alias("_there"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in APPROACH_KEY]
-    new = new.join(there, same[0] & same[1] & F.col("_row").eqNullSafe(F.col("_there")), "left_anti")
+    new = _absent(approaches.select(*APPROACH_COLUMNS), stored, APPROACH_KEY, APPROACH_COLUMNS)
     order = [FACT_PARTITION, "close_approach_date", "neo_reference_id"]
     new = new.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date"))).repartitionByRange(*order)
     new.select(*stored.columns).write.insertInto(c_name)
@@ -97,14 +112,12 @@ def insert_tables(spark: SparkSession, names: tuple[str, str], asteroids: DataFr
 # --------------------------------------------------------------------------- storage helpers
 SEEN = "seen_day"
 SEEN_ORDER = ((SEEN, "desc"), *ASTEROID_ORDER)
-MANIFEST_SCHEMA = T.StructType(
+SUMMARY_SCHEMA = T.StructType(
     [
-        T.StructField("run_no", T.LongType()),
-        T.StructField("asteroids_path", T.StringType()),
-        T.StructField("months", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("asteroid_rows", T.LongType()),
-        T.StructField("approach_rows", T.LongType()),
-        T.StructField("approaches_without_object", T.LongType()),
+        T.StructField("orbiting_body", T.StringType()),
+        T.StructField("n_rows", T.LongType()),
+        T.StructField("n_keyed", T.LongType()),
+        T.StructField(FACT_PARTITION, T.DateType()),
     ]
 )
 
@@ -113,19 +126,31 @@ def month_of(day: F.Column) -> F.Column:
     return F.trunc(day, "MM").alias(FACT_PARTITION)
 
 
+def month_name(month: F.Column) -> F.Column:
+    return F.coalesce(F.date_format(month, "yyyy-MM-dd"), F.lit(NO_MONTH)).alias("month")
+
+
+def new_run(run_no: int) -> str:
+    return f"run={run_no:012d}-{uuid.uuid4().hex[:8]}"
+
+
 def write_fact(approaches: DataFrame, path: str, rows: Observation | None = None) -> None:
     """Range-partition by (month, day, object) so a hot day spreads over several tasks,
-    sort each task's rows, and write one directory per month; ``rows`` gets the count as ``n``."""
+    sort each task's rows, and write one directory per month; ``rows`` gets the count as ``n`` and, where
+    ``approaches`` has ``_n`` (input rows of each row), their sum as ``total``."""
     order = [FACT_PARTITION, "close_approach_date", "neo_reference_id"]
+    merged = F.col("_n") if "_n" in approaches.columns else F.lit(1).cast("bigint")
     placed = (
-        approaches.select(*APPROACH_COLUMNS, month_of(F.col("close_approach_date")))
+        approaches.select(*APPROACH_COLUMNS, merged.alias("_n"), month_of(F.col("close_approach_date")))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
     # counted after the exchange: the stages before it run once more to find the ranges
-    counted = placed if rows is None else placed.observe(rows, F.count(F.lit(1)).alias("n"))
+    if rows is not None:
+        placed = placed.observe(rows, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
     (
-        counted.write.mode("errorifexists")
+        placed.drop("_n")
+        .write.mode("errorifexists")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(FACT_PARTITION)
         .parquet(path)
@@ -140,51 +165,73 @@ def _stored_asteroids_schema() -> T.StructType:
     return T.StructType([*ASTEROIDS_SCHEMA.fields, T.StructField(SEEN, T.IntegerType())])
 
 
-def _manifest(spark: SparkSession, root: str) -> Row | None:
-    """The newest manifest record; None where nothing was committed."""
-    try:
-        records = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifest/*")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    newest = records.orderBy(F.desc("run_no")).limit(1).collect()
-    return newest[0] if newest else None
+def _manifest(spark: SparkSession, root: str, run_no: int | None = None) -> dict | None:
+    """The newest record (or that of ``run_no``); None where nothing was committed."""
+    return store.newest(spark, root) if run_no is None else store.read_record(spark, store.record_path(root, run_no))
 
 
-def _read_months(spark: SparkSession, root: str, months: dict[str, str]) -> DataFrame:
-    """The fact from the month directories a record names, with ``approach_month``."""
-    schema = _fact_schema()
+def _read_months(spark: SparkSession, root: str, months: dict[str, str], table: str = "close_approach") -> DataFrame:
+    """The month directories a record names, with ``approach_month``."""
+    schema = _fact_schema() if table == "close_approach" else SUMMARY_SCHEMA
     if not months:
         return spark.createDataFrame([], schema)
-    base = f"{root}/close_approach"
+    base = f"{root}/{table}"
     paths = [f"{base}/{run}/{FACT_PARTITION}={month}" for month, run in sorted(months.items())]
     return spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*[f.name for f in schema.fields])
 
 
-def _commit(
-    spark: SparkSession, root: str, before: Row | None, asteroids: DataFrame, approaches: DataFrame, kept_months: dict[str, str]
-) -> int:
-    """Write new versions of the dimension and of the months in ``approaches``, check them, and switch."""
-    run_no = before["run_no"] + 1 if before else 1
-    run = f"run={run_no:012d}-{uuid.uuid4().hex[:8]}"
-    a_path, c_path = f"{root}/asteroids/{run}", f"{root}/close_approach/{run}"
-    seen_a, seen_c = Observation(), Observation()
-    asteroids.observe(seen_a, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(a_path)
-    write_fact(approaches, c_path, seen_c)
-
-    stored_a = spark.read.schema(_stored_asteroids_schema()).parquet(a_path)
-    there = spark.read.schema(_fact_schema()).parquet(c_path)
-    month = F.coalesce(F.date_format(FACT_PARTITION, "yyyy-MM-dd"), F.lit(NO_MONTH)).alias("month")
-    per_month = {r["month"]: r["count"] for r in there.groupBy(month).count().collect()}  # one row per calendar month
-    n_a, n_c = stored_a.count(), sum(per_month.values())
-    if (n_a, n_c) != (seen_a.get["n"], seen_c.get["n"]):
-        raise RuntimeError(f"{run}: {n_a} and {n_c} rows read back, {seen_a.get['n']} and {seen_c.get['n']} written; not committed")
-    orphans = there.join(stored_a, there["neo_reference_id"] == stored_a["id"], "left_anti").count()
-    months = {**kept_months, **{m: run for m in per_month}}
-    record = spark.createDataFrame([(run_no, a_path, months, n_a, n_c, orphans)], MANIFEST_SCHEMA)
-    record.coalesce(1).write.mode("errorifexists").json(f"{root}/manifest/run_no={run_no:012d}")
-    return run_no
+def _read_dimension(spark: SparkSession, root: str, run: str) -> DataFrame:
+    return spark.read.schema(_stored_asteroids_schema()).parquet(f"{root}/asteroids/{run}")
+
+
+def _write_dimension(spark: SparkSession, root: str, asteroids: DataFrame, run: str) -> int:
+    """Write a version of the dimension and check it; returns its rows."""
+    seen = Observation()
+    asteroids.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{root}/asteroids/{run}")
+    n = _read_dimension(spark, root, run).count()
+    if n != seen.get["n"]:
+        raise RuntimeError(f"{run}: {n} objects read back, {seen.get['n']} written; not committed")
+    return n
+
+
+def _write_months(spark: SparkSession, root: str, approaches: DataFrame, run: str) -> tuple[dict[str, int], int]:
+    """Write versions of months with their summaries and check them; returns rows by month and the input rows
+    that went into them."""
+    seen = Observation()
+    write_fact(approaches, f"{root}/close_approach/{run}", seen)
+    there = spark.read.schema(_fact_schema()).parquet(f"{root}/close_approach/{run}")
+    summary = there.groupBy(FACT_PARTITION, "orbiting_body").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("neo_reference_id").alias("n_keyed")
+    )
+    # one task for each month: a row per month and body
+    summary.repartition(FACT_PARTITION).write.mode("errorifexists").partitionBy(FACT_PARTITION).parquet(f"{root}/summary/{run}")
+    stored = spark.read.schema(SUMMARY_SCHEMA).parquet(f"{root}/summary/{run}")
+    per_month = stored.groupBy(month_name(F.col(FACT_PARTITION))).agg(F.sum("n_rows").alias("n"))
+    rows = {r["month"]: r["n"] for r in per_month.collect()}  # one row per calendar month
+    if sum(rows.values()) != seen.get["n"]:
+        raise RuntimeError(f"{run}: {sum(rows.values())} rows read back, {seen.get['n']} written; not committed")
+    return rows, seen.get["total"]
+
+
+def _record(spark: SparkSession, root: str, before: dict | None, run_no: int, dimension: tuple[str, int],
+            months: dict[str, str], month_rows: dict[str, int], **more) -> dict:
+    """The next record; ``approaches_without_object`` looks at the months that are new in it."""
+    old = before or {}
+    new = {m: run for m, run in months.items() if old.get("months", {}).get(m) != run}
+    fact, objects = _read_months(spark, root, new), _read_dimension(spark, root, dimension[0])
+    orphans = fact.join(objects, fact["neo_reference_id"] == objects["id"], "left_anti").count() if new else 0
+    return {
+        "run_no": run_no,
+        "asteroids_run": dimension[0],
+        "asteroid_rows": dimension[1],
+        "months": months,
+        "month_rows": month_rows,
+        "approach_rows": sum(month_rows.values()),
+        "approaches_without_object": orphans,
+        "rejects": old.get("rejects", {}) | more.get("rejects", {}),
+        "streams": old.get("streams", {}) | more.get("streams", {}),
+        "ledger": more.get("ledger"),
+    }
 
 
 # --------------------------------------------------------------------------- I11
@@ -199,51 +246,168 @@ def merged_asteroids(current: DataFrame | None, rows: DataFrame) -> DataFrame:
     return dedup_by_key(rows if current is None else current.unionByName(rows), ["id"], SEEN_ORDER)
 
 
-def merged_months(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+def merged_months(stored: DataFrame | None, batch: DataFrame, count: str | None = None) -> DataFrame:
     """Stored rows of the touched months plus the batch, one survivor per (object, day)."""
     rows = batch.select(*APPROACH_COLUMNS)
     if stored is not None:
         rows = stored.select(*APPROACH_COLUMNS).unionByName(rows)
-    return dedup_by_key(rows.where(has_approach()), list(APPROACH_KEY), APPROACH_ORDER)
+    return dedup_by_key(rows.where(has_approach()), list(APPROACH_KEY), APPROACH_ORDER, count)
+
+
+def load_staged(spark: SparkSession, root: str, batch: DataFrame, ledger: dict | None = None,
+                rejects: dict[str, int] | None = None, stream: str | None = None, epoch: int | None = None) -> int:
+    """Load a batch of flat rows that is written already; returns the run number.
+
+    Only the directories of the months that the batch touches are read and written anew.  Another writer's
+    commit in between is met by merging anew what both touch.  Rows are conserved: the rows of the batch and
+    those stored in its months must be the rows written plus the duplicates merged away, else nothing is
+    committed.  With ``stream`` and ``epoch`` a batch that was committed before is not loaded again.
+    """
+    month = month_name(month_of(F.col("close_approach_date")))
+    per_month = batch.where(has_approach()).groupBy(month).count()
+    incoming = {r["month"]: r["count"] for r in per_month.collect()}  # one row per calendar month
+    done: dict[str, tuple[str | None, str, int]] = {}  # month: version it was merged with, version written, its rows
+    dimension: tuple[str, int] | None = None
+    merged_with: str | None = None
+    while True:
+        before = _manifest(spark, root)
+        old = before or {"run_no": 0, "months": {}, "month_rows": {}, "asteroids_run": None, "streams": {}}
+        if stream is not None and old["streams"].get(stream, -1) >= epoch:
+            return old["run_no"]
+        run = new_run(old["run_no"] + 1)
+        todo = {m for m in incoming if m not in done or done[m][0] != old["months"].get(m)}
+        if todo:
+            held = {m: r for m, r in old["months"].items() if m in todo}
+            rows = batch.where(month.isin(sorted(todo)))
+            merged = merged_months(_read_months(spark, root, held) if held else None, rows, "_n")
+            written, total = _write_months(spark, root, merged, run)
+            expected = sum(incoming[m] for m in todo) + sum(old["month_rows"][m] for m in held)
+            if total != expected or written.keys() != todo:
+                raise RuntimeError(f"{run}: {total} rows merged, {expected} stored and loaded; not committed")
+            done.update({m: (old["months"].get(m), run, n) for m, n in written.items()})
+        if dimension is None or merged_with != old["asteroids_run"]:
+            merged_with = old["asteroids_run"]
+            current = _read_dimension(spark, root, merged_with) if merged_with else None
+            dimension = (run, _write_dimension(spark, root, merged_asteroids(current, seen_asteroids(batch)), run))
+        month_rows = old["month_rows"] | {m: n for m, (_, _, n) in done.items()}
+        new_rows = sum(n - old["month_rows"].get(m, 0) for m, (_, _, n) in done.items())
+        counts = (ledger or {}) | {"new": new_rows, "duplicates": sum(incoming.values()) - new_rows}
+        record = _record(
+            spark, root, before, old["run_no"] + 1, dimension, old["months"] | {m: r for m, (_, r, _) in done.items()},
+            month_rows, ledger=counts, rejects=rejects or {}, streams={} if stream is None else {stream: epoch},
+        )
+        if store.create_new(spark, store.record_path(root, record["run_no"]), record):
+            return record["run_no"]
 
 
 def upsert(spark: SparkSession, root: str, flat_batch: DataFrame) -> int:
     """Load one batch of flat feed rows into ``root``; returns the run number.
 
-    Only the directories of the months that the batch touches are read and written anew; the other
-    months stay with the runs that hold them.
-    """
-    before = _manifest(spark, root)
-    stored = dict(before["months"]) if before else {}
-    batch = load_close_approach(flat_batch)
-    month = F.coalesce(F.date_format(F.trunc("close_approach_date", "MM"), "yyyy-MM-dd"), F.lit(NO_MONTH))
-    touched = {r[0] for r in batch.select(month).distinct().collect()}  # one row per calendar month
-    old = {m: run for m, run in stored.items() if m in touched}
-    merged = merged_months(_read_months(spark, root, old) if old else None, batch)
-    current = spark.read.schema(_stored_asteroids_schema()).parquet(before["asteroids_path"]) if before else None
-    asteroids = merged_asteroids(current, seen_asteroids(flat_batch))
-    return _commit(spark, root, before, asteroids, merged, {m: run for m, run in stored.items() if m not in touched})
-
-
-def read_tables(spark: SparkSession, root: str, with_partition: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The tables of the newest committed run; ``with_partition`` keeps ``approach_month`` on the fact
-    so date filters of the catalogue also prune month directories."""
-    record = _manifest(spark, root)
+    The batch is evaluated once, into a staging folder that goes when it is loaded."""
+    staging = f"{root}/staging/{uuid.uuid4().hex}"
+    rows = flat_batch.select(*FLAT_COLUMNS)
+    rows.write.mode("errorifexists").parquet(staging)
+    run_no = load_staged(spark, root, spark.read.schema(rows.schema).parquet(staging))
+    store.remove(spark, staging)
+    return run_no
+
+
+def read_tables(
+    spark: SparkSession, root: str, with_partition: bool = False, run_no: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The tables of the newest committed run (or of a kept ``run_no``); ``with_partition`` keeps
+    ``approach_month`` on the fact so date filters of the catalogue also prune month directories."""
+    record = _manifest(spark, root, run_no)
     if record is None:
         raise FileNotFoundError(f"nothing committed under {root}")
-    fact = _read_months(spark, root, dict(record["months"]))
-    asteroids = spark.read.schema(_stored_asteroids_schema()).parquet(record["asteroids_path"]).select(*ASTEROID_COLUMNS)
+    fact = _read_months(spark, root, record["months"])
+    asteroids = _read_dimension(spark, root, record["asteroids_run"]).select(*ASTEROID_COLUMNS)
     return asteroids, fact if with_partition else fact.select(*APPROACH_COLUMNS)
 
 
+# --------------------------------------------------------------------------- summaries (q05, q11, body list)
+def read_summary(spark: SparkSession, root: str, run_no: int | None = None) -> DataFrame:
+    """(orbiting_body, n_rows, n_keyed, approach_month): a row per month and body of the newest tables, read from
+    the summaries written with each month's version (only touched months get new ones)."""
+    record = _manifest(spark, root, run_no)
+    if record is None:
+        raise FileNotFoundError(f"nothing committed under {root}")
+    return _read_months(spark, root, record["months"], "summary")
+
+
 # --------------------------------------------------------------------------- I12
 def publish(spark: SparkSession, root: str, asteroids: DataFrame, approaches: DataFrame) -> int:
-    """Replace both tables at once by the given ones; returns the run number."""
-    before = _manifest(spark, root)
+    """Replace both tables at once by the given ones; returns the run number.  Of two writers that
+    publish at once the later record is the one readers see."""
     dimension = asteroids.select(*ASTEROID_COLUMNS, F.lit(None).cast("int").alias(SEEN))
-    return _commit(spark, root, before, dimension, approaches.select(*APPROACH_COLUMNS), {})
+    written = None
+    while True:
+        before = _manifest(spark, root)
+        run_no = before["run_no"] + 1 if before else 1
+        if written is None:
+            run = new_run(run_no)
+            rows, _ = _write_months(spark, root, approaches.select(*APPROACH_COLUMNS), run)
+            written = (run, _write_dimension(spark, root, dimension, run)), {m: run for m in rows}, rows
+        record = _record(spark, root, before, run_no, *written)
+        if store.create_new(spark, store.record_path(root, run_no), record):
+            return run_no
 
 
 def read_published(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The tables of the newest run."""
     return read_tables(spark, root)
+
+
+# --------------------------------------------------------------------------- clean-up
+def compact(spark: SparkSession, root: str, max_files: int = 16) -> int | None:
+    """Write months with more than ``max_files`` files, and more than their rows need, anew as few files; the
+    run number, or None where no month needs it."""
+    before = _manifest(spark, root)
+    if before is None:
+        return None
+    files = {m: store.n_files(spark, f"{root}/close_approach/{r}/{FACT_PARTITION}={m}") for m, r in before["months"].items()}
+    needed = {m: math.ceil(n / MAX_RECORDS_PER_FILE) for m, n in before["month_rows"].items()}
+    held = {m: before["months"][m] for m, n in files.items() if n > max(max_files, 2 * needed[m])}
+    if not held:
+        return None
+    run_no = before["run_no"] + 1
+    run = new_run(run_no)
+    rows, _ = _write_months(spark, root, _read_months(spark, root, held), run)
+    if rows != {m: before["month_rows"][m] for m in held}:
+        raise RuntimeError(f"{run}: the rows of a compacted month changed; not committed")
+    dimension = (before["asteroids_run"], before["asteroid_rows"])
+    record = _record(spark, root, before, run_no, dimension, before["months"] | {m: run for m in rows}, before["month_rows"])
+    # the next compaction tries again if a writer was first: its versions are the newer ones
+    return run_no if store.create_new(spark, store.record_path(root, run_no), record) else None
+
+
+def retain(spark: SparkSession, root: str, keep: int = 1, grace_seconds: float = 86_400) -> list[str]:
+    """Remove records older than the newest ``keep`` and every version, staging folder and routed batch that no
+    kept record refers to; returns what was removed.
+
+    Folders changed less than ``grace_seconds`` ago stay: a writer may be about to commit them.  Records go
+    first, so that no record ever refers to a removed folder.
+    """
+    numbers = store.record_numbers(spark, root)
+    kept = [store.read_record(spark, store.record_path(root, n)) for n in numbers[-keep:]]
+    removed = [store.record_path(root, n) for n in numbers[:-keep]]
+    for path in removed:
+        store.remove(spark, path)
+    reachable = {f"asteroids/{r['asteroids_run']}" for r in kept}
+    for r in kept:
+        for m, run in r["months"].items():
+            reachable |= {f"{t}/{run}/{FACT_PARTITION}={m}" for t in ("close_approach", "summary")}
+        for run in r["rejects"]:
+            reachable |= {f"landed/{run}/{x}" for x in store.names(spark, f"{root}/landed/{run}") if x != "route=good"}
+    parents = {p.rsplit("/", 1)[0] for p in reachable}
+    latest = time.time() - grace_seconds
+    for table in ("asteroids", "close_approach", "summary", "landed", "staging"):
+        for run in store.names(spark, f"{root}/{table}"):
+            folder = f"{table}/{run}"
+            if folder in reachable or store.modified(spark, f"{root}/{folder}") > latest:
+                continue
+            parts = [f"{folder}/{x}" for x in store.names(spark, f"{root}/{folder}") if "=" in x] if folder in parents else []
+            for path in [p for p in parts if p not in reachable] if folder in parents else [folder]:
+                store.remove(spark, f"{root}/{path}")
+                removed.append(f"{root}/{path}")
+    return removed

@@ -2,10 +2,12 @@
 
 Two forms:
 
-* ``ingest_stream``: ``foreachBatch`` runs the idempotent upsert of
-  ``perigee.sources.tables`` on every micro-batch.  No streaming state is kept; a
-  replayed batch (after a failure, foreachBatch is at-least-once) changes nothing,
-  and back-filled pages of old days are merged like any other.
+* ``ingest_stream``: ``foreachBatch`` loads every micro-batch.  No streaming state is kept, and back-filled
+  pages of old days are merged like any other.  Strict: the idempotent upsert of
+  ``perigee.sources.tables``; a replayed batch (after a failure, foreachBatch is at-least-once) changes
+  nothing.  Tolerant: ``perigee.sources.ledger`` writes the rows and the dead letters (broken pages,
+  approaches that do not parse) under one record that also holds the epoch, so a replay writes
+  neither twice.
 * ``dedup_stream``: the watermark form; duplicates within ``delay`` of each other
   are dropped by streaming state, and rows later than the watermark are dropped.
 """
@@ -16,17 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from perigee.schemas import FEED_SCHEMA
-from perigee.sources import feed, tables
+from perigee.sources import feed, ledger, tables
 
 
-def flat_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None,
-                strict: bool = True, all_approaches: bool = True) -> DataFrame:
-    reader = spark.readStream.schema(FEED_SCHEMA).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+def page_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None, strict: bool = True) -> DataFrame:
+    """Pages as they land; tolerant reading keeps broken ones as ``feed.read_pages`` does."""
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    pages = reader.json(landing).withColumn("page", F.col("links.self"))
-    objects = feed.explode_objects(feed.explode_days(pages))
+    return feed.pages_of(reader, landing, strict)
+
+
+def flat_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None,
+                strict: bool = True, all_approaches: bool = True) -> DataFrame:
+    objects = feed.explode_objects(feed.explode_days(page_stream(spark, landing, max_files_per_trigger, strict)))
     return feed.flatten_all_approaches(objects, strict) if all_approaches else feed.flatten(objects, strict)
 
 
@@ -41,22 +46,21 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start the ingest; with ``available_now`` it stops once every landed page is loaded.
 
-    ``strict=False`` goes on over broken pages and unreadable fields (list them with
-    ``feed.corrupt_pages`` and ``feed.rejects``).  A batch is parsed once and held while it is merged.
+    ``strict=False`` goes on over broken pages and unreadable fields and keeps them as dead letters
+    (``ledger.read_rejects``, ``ledger.read_ledger``).
     """
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        held = batch.persist()
-        try:
-            tables.upsert(batch.sparkSession, root, held)
-        finally:
-            held.unpersist()
-
-    writer = (
-        flat_stream(spark, landing, max_files_per_trigger, strict)
-        .writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-    )
+        tables.upsert(batch.sparkSession, root, batch)
+
+    def load_pages(batch: DataFrame, epoch_id: int) -> None:
+        ledger.load_pages(batch.sparkSession, root, batch, stream=checkpoint, epoch=epoch_id)
+
+    if strict:
+        writer = flat_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(load)
+    else:
+        writer = page_stream(spark, landing, max_files_per_trigger, strict=False).writeStream.foreachBatch(load_pages)
+    writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 

@@ -4,29 +4,36 @@ The event time is cast to TIMESTAMP (the test tables store ``timestamp_ntz``, wh
 ``withWatermark`` rejects).  Output modes:
 
 * ``update``: each trigger emits the windows whose counts changed; they replace their
-  rows in a table partitioned by window day (only touched days are rewritten).  State
-  older than the watermark is evicted, late rows are dropped, and the table always
-  holds the current count of every window.  The mode for long-running streams.
+  rows in a table of versioned window days: touched days are written anew beside the old
+  ones, and one record with the days' versions and the stream's epoch switches them at once, so a
+  crash before it leaves the old counts and a replayed epoch changes nothing.  State older than the
+  watermark is evicted, late rows are dropped, and the table always holds the current count
+  of every window.  The mode for long-running streams.
 * ``append``: a window is written once the watermark passes its end.
 * ``complete``: every trigger rewrites the whole result and all windows stay in state.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from perigee.sources import store
+
 WINDOW_KEY = ["window_start", "window_end", "event_type"]
 WINDOW_DAY = "window_day"
 
 
 def window_counts(events: DataFrame, window: str = "1 day", watermark: str = "1 day",
                   time_col: str = "ts") -> DataFrame:
-    """Per (window, event_type): number of events, distinct users and the largest value."""
+    """Per (window, event_type): number of events and the largest value."""
     return (
         events.withColumn("_t", F.col(time_col).cast("timestamp"))
         .withWatermark("_t", watermark)
@@ -80,7 +87,7 @@ def run_window_counts(
     elif mode == "update":
 
         def merge(batch: DataFrame, epoch_id: int) -> None:
-            merge_window_counts(batch.sparkSession, out, batch)
+            merge_window_counts(batch.sparkSession, out, batch, stream=checkpoint, epoch=epoch_id)
 
         writer = counts.writeStream.outputMode("update").foreachBatch(merge)
     elif mode == "complete":
@@ -110,32 +117,82 @@ def session_time_zone(spark: SparkSession, tz: str = "UTC"):
         spark.conf.set(key, old)
 
 
-def merge_window_counts(spark: SparkSession, out: str, updates: DataFrame) -> None:
-    """Replace the rows of updated windows (idempotent: a replayed batch changes nothing)."""
-    updates = updates.withColumn(WINDOW_DAY, F.to_date("window_start"))
-    try:
-        current = spark.read.parquet(out)
-    except AnalysisException:
-        current = None
-    if current is not None:
-        # days touched by this batch: bounded by the calendar, broadcast -> partition pruning
-        days = updates.select(WINDOW_DAY).distinct()
-        stored = current.join(F.broadcast(days), WINDOW_DAY, "left_semi")
-        keys = updates.select(*[F.col(k).alias(f"_u_{k}") for k in WINDOW_KEY])
-        match = [stored[k].eqNullSafe(keys[f"_u_{k}"]) for k in WINDOW_KEY]
-        kept = stored.join(keys, match, "left_anti")
-        updates = kept.unionByName(updates.select(*kept.columns)).checkpoint(eager=True)
-    (
-        updates.write.mode("overwrite" if current is not None else "errorifexists")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(WINDOW_DAY)
-        .parquet(out)
-    )
+def _counts_schema(updates: DataFrame) -> T.StructType:
+    return T.StructType([*updates.schema.fields, T.StructField(WINDOW_DAY, T.DateType())])
+
+
+def _days(spark: SparkSession, out: str, schema: T.StructType, days: dict[str, str]) -> DataFrame:
+    paths = [f"{out}/counts/{run}/{WINDOW_DAY}={day}" for day, run in sorted(days.items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{out}/counts").parquet(*paths).select(*schema.names)
+
+
+def merge_window_counts(
+    spark: SparkSession, out: str, updates: DataFrame, stream: str = "", epoch: int | None = None
+) -> int:
+    """Replace the rows of updated windows; returns the number of the record that holds them.
+
+    The updates (a stateful plan) are evaluated once, into a staging folder.  The days they touch are merged
+    with their stored versions and written as new ones; the next record names the version of each day and,
+    with ``epoch``, how far ``stream`` has come.  An epoch that is committed already changes nothing.
+    """
+    before = store.newest(spark, out) or {"run_no": 0, "days": {}, "streams": {}}
+    if epoch is not None and before["streams"].get(stream, -1) >= epoch:
+        return before["run_no"]
+    run_no, schema = before["run_no"] + 1, _counts_schema(updates)
+    run, staging = f"run={run_no:012d}-{uuid.uuid4().hex[:8]}", f"{out}/staging/{uuid.uuid4().hex}"
+    updates.withColumn(WINDOW_DAY, F.to_date("window_start")).write.parquet(staging)
+    staged = spark.read.schema(schema).parquet(staging)
+    touched = {str(r[0]) for r in staged.select(WINDOW_DAY).distinct().collect()}  # one row per calendar day
+    old = _days(spark, out, schema, {d: r for d, r in before["days"].items() if d in touched})
+    keys = staged.select(*[F.col(k).alias(f"_u_{k}") for k in WINDOW_KEY])
+    match = [old[k].eqNullSafe(keys[f"_u_{k}"]) for k in WINDOW_KEY]
+    merged = old.join(keys, match, "left_anti").unionByName(staged)
+    seen = Observation()
+    # a day has few rows: one task writes whole days
+    placed = merged.repartition(WINDOW_DAY).observe(seen, F.count(F.lit(1)).alias("n"))
+    placed.write.partitionBy(WINDOW_DAY).parquet(f"{out}/counts/{run}")
+    n = _days(spark, out, schema, dict.fromkeys(touched, run)).count()
+    if n != seen.get["n"]:
+        raise RuntimeError(f"{run}: {n} windows read back, {seen.get['n']} written; not committed")
+    streams = before["streams"] | ({} if epoch is None else {stream: epoch})
+    record = {"run_no": run_no, "days": before["days"] | dict.fromkeys(touched, run), "streams": streams, "schema": schema.json()}
+    if not store.create_new(spark, store.record_path(out, run_no), record):
+        raise RuntimeError(f"another stream committed {run_no} under {out}")
+    store.remove(spark, staging)
+    return run_no
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
     """The table maintained by ``run_window_counts(mode='update')``."""
-    return spark.read.parquet(out).drop(WINDOW_DAY)
+    record = store.newest(spark, out)
+    if record is None:
+        raise FileNotFoundError(f"nothing committed under {out}")
+    schema = T.StructType.fromJson(json.loads(record["schema"]))
+    return _days(spark, out, schema, record["days"]).drop(WINDOW_DAY)
+
+
+def retain_counts(spark: SparkSession, out: str, grace_seconds: float = 86_400) -> list[str]:
+    """Remove records but the newest, and day versions and staging folders that it does not name and that have
+    not changed for ``grace_seconds``."""
+    numbers = store.record_numbers(spark, out)
+    removed = [store.record_path(out, n) for n in numbers[:-1]]
+    for path in removed:
+        store.remove(spark, path)
+    days = (store.newest(spark, out) or {"days": {}})["days"]
+    reachable = {f"{run}/{WINDOW_DAY}={day}" for day, run in days.items()}
+    old = [f"{out}/staging/{x}" for x in store.names(spark, f"{out}/staging")]
+    for run in store.names(spark, f"{out}/counts"):
+        parts = [x for x in store.names(spark, f"{out}/counts/{run}") if "=" in x]
+        held = [x for x in parts if f"{run}/{x}" in reachable]
+        old += [f"{out}/counts/{run}/{x}" for x in parts if x not in held] if held else [f"{out}/counts/{run}"]
+    latest = time.time() - grace_seconds
+    for path in old:
+        if store.modified(spark, path) <= latest:
+            store.remove(spark, path)
+            removed.append(path)
+    return removed
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:

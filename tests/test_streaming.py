@@ -1,15 +1,18 @@
 import datetime as dt
+import glob
+import json
 import os
 import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from conftest import SF_SMALL
 from fixtures import rows
 from pyspark.sql import functions as F
 from test_feed import PAGE_MULTI, PAGE_NEXT, PAGE_PLAIN, land
 
-from perigee.sources import feed, tables
+from perigee.sources import feed, ledger, store, tables
 from perigee.streaming import ingest, windows
 
 
@@ -193,3 +196,68 @@ def test_update_mode_keeps_current_counts_across_batches(spark, scratch):
     assert q.exception() is None
     got = sorted(rows(windows.read_counts(spark, out).select("window_start", "n_events")))
     assert got == [(t(2024, 1, 1), 3), (t(2024, 1, 2), 1), (t(2024, 1, 5), 3)]
+
+
+def test_dead_letters_of_the_stream_are_written_once(spark, scratch):
+    """A broken page and a bad field end in the rejects once, also after a forced replay of their batch."""
+    from test_feed import obj, page
+
+    landing = land(scratch, "dead", PAGE_PLAIN)
+    with open(os.path.join(landing, "torn.json"), "w") as f:
+        f.write(json.dumps(PAGE_NEXT)[:150] + "\n")
+        f.write(json.dumps(page({"2030-01-01": [obj(77, "bad", "01/01/2030"), obj(78, "good", "2030-01-01")]})) + "\n")
+    root, ckpt = os.path.join(scratch, "deadt"), os.path.join(scratch, "deadc")
+
+    def run():
+        q = ingest.ingest_stream(spark, landing, root, ckpt, max_files_per_trigger=1, strict=False)
+        q.awaitTermination()
+        assert q.exception() is None
+        found = ledger.read_rejects(spark, root)
+        return sorted_rows(found.select("route", "element", "bad_fields")), [sorted_rows(t) for t in tables.read_tables(spark, root)]
+
+    first = run()
+    assert first[0] == [("page", None, []), ("record", 0, ["close_approach_date"])]
+    records = store.record_numbers(spark, root)
+    # the stream forgets that its last batch was committed: it comes again
+    commits = sorted(int(os.path.basename(p)) for p in glob.glob(os.path.join(ckpt, "commits", "[0-9]*")))
+    for name in (str(commits[-1]), f".{commits[-1]}.crc"):
+        os.remove(os.path.join(ckpt, "commits", name))
+    assert run() == first
+    assert store.record_numbers(spark, root) == records
+    counts = ledger.read_ledger(spark, root).agg(F.sum("pages"), F.sum("broken_pages"), F.sum("rejected"), F.sum("new")).first()
+    assert tuple(counts) == (3, 1, 1, first[1][1].__len__())
+
+
+def _updates(spark, *rows_):
+    schema = "window_start timestamp_ntz, window_end timestamp_ntz, event_type string, n_events bigint, max_value double"
+    return spark.createDataFrame([(d, d + dt.timedelta(days=1), e, n, 1.0) for d, e, n in rows_], schema)
+
+
+def test_window_counts_are_switched_at_once(spark, scratch, monkeypatch):
+    t, out = dt.datetime, os.path.join(scratch, "wcounts")
+    count = lambda: sorted(rows(windows.read_counts(spark, out).select("window_start", "event_type", "n_events")), key=repr)
+    windows.merge_window_counts(spark, out, _updates(spark, (t(2024, 1, 1), "a", 1), (t(2024, 1, 2), "a", 2)), "s", 0)
+    want = count()
+    # the new days are written, then the record fails: the old counts are read
+    real = store.create_new
+
+    def crash(*_args):
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(store, "create_new", crash)
+    second = _updates(spark, (t(2024, 1, 2), "a", 5), (t(2024, 1, 2), "b", 1), (t(2024, 1, 3), None, 7))
+    with pytest.raises(RuntimeError, match="crash"):
+        windows.merge_window_counts(spark, out, second, "s", 1)
+    monkeypatch.setattr(store, "create_new", real)
+    assert len(os.listdir(os.path.join(out, "counts"))) == 2 and count() == want
+    # the epoch comes again, and once more: it counts once
+    for _ in range(2):
+        assert windows.merge_window_counts(spark, out, second, "s", 1) == 2
+    assert windows.merge_window_counts(spark, out, _updates(spark, (t(2024, 1, 1), "a", 99)), "s", 0) == 2
+    key = lambda r: repr(r)
+    assert sorted(count(), key=key) == sorted(
+        [(t(2024, 1, 1), "a", 1), (t(2024, 1, 2), "a", 5), (t(2024, 1, 2), "b", 1), (t(2024, 1, 3), None, 7)], key=key
+    )
+    removed = windows.retain_counts(spark, out, grace_seconds=-5)
+    assert removed and len(count()) == 4
+    assert windows.retain_counts(spark, out, grace_seconds=-5) == []

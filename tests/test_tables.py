@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pytest
 from fixtures import APPROACHES, ASTEROIDS, frames, rows
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from test_plans import plan_text
 
 from perigee.operators.dedup import APPROACH_ORDER, dedup_by_key
 from perigee.schemas import APPROACH_COLUMNS, CLOSE_APPROACH_SCHEMA
-from perigee.sources import tables
+from perigee.sources import store, tables
 
 D = dt.date
 
@@ -98,16 +99,9 @@ def test_a_crash_before_the_switch_changes_nothing(spark, scratch, monkeypatch):
     early = flat.where(F.col("close_approach_date") < F.lit(D(2030, 3, 1)))
     tables.upsert(spark, root, early)
     want = [sorted_rows(t) for t in tables.read_tables(spark, root)]
-    real = tables.MANIFEST_SCHEMA
-    monkeypatch.setattr(tables, "MANIFEST_SCHEMA", "run_no bigint, broken array<int>")
-    monkeypatch.setattr(tables, "_manifest", lambda *_a, _m=tables._manifest: _with(real, _m, *_a))
-    try:
+    monkeypatch.setattr(store, "create_new", _raise)
+    with pytest.raises(RuntimeError, match="no record"):
         tables.upsert(spark, root, flat)
-        raise AssertionError("the broken record must not be written")
-    except AssertionError:
-        raise
-    except Exception:
-        pass
     monkeypatch.undo()
     assert len(os.listdir(os.path.join(root, "close_approach"))) == 2  # the new versions are there, unseen
     assert [sorted_rows(t) for t in tables.read_tables(spark, root)] == want
@@ -115,12 +109,8 @@ def test_a_crash_before_the_switch_changes_nothing(spark, scratch, monkeypatch):
     assert sorted_rows(tables.read_tables(spark, root)[1]) == sorted_rows(tables.load_close_approach(flat))
 
 
-def _with(schema, manifest, *args):
-    broken, tables.MANIFEST_SCHEMA = tables.MANIFEST_SCHEMA, schema
-    try:
-        return manifest(*args)
-    finally:
-        tables.MANIFEST_SCHEMA = broken
+def _raise(*_args):
+    raise RuntimeError("no record")
 
 
 def test_publish_is_all_or_nothing_and_latest_wins(spark, scratch):
@@ -162,3 +152,130 @@ def test_dimension_duplicate_id_keeps_one_deterministic_row(spark):
     assert one == many and len(one) == len(ASTEROIDS)
     # order: name, magnitude, ... ascending -> "6 Alpha" with magnitude 17.5
     assert [r for r in one if r[0] == 1] == [(1, "6 Alpha", 17.5, 0.10, 0.25, True)]
+
+
+def test_null_ids_are_inserted_once(spark, scratch):
+    from perigee.schemas import ASTEROIDS_SCHEMA
+
+    names = tables.create_tables(spark, "perigee_n", os.path.join(scratch, "ndb"))
+    a = spark.createDataFrame([(None, "x", 1.0, None, None, None), (None, "y", 1.0, None, None, None), (1, "z", 1.0, None, None, True)], ASTEROIDS_SCHEMA)
+    c = spark.createDataFrame([(None, D(2030, 1, 1), 1.0, None, None, None, None), (1, None, 2.0, None, None, None, None)], CLOSE_APPROACH_SCHEMA)
+    for _ in range(2):
+        tables.insert_tables(spark, names, a, c)
+    assert sorted_rows(spark.table(names[0])) == sorted_rows(a)
+    assert sorted_rows(spark.table(names[1]).select(*APPROACH_COLUMNS)) == sorted_rows(c)
+
+
+def _meanwhile(monkeypatch, others):
+    """The first record to be created waits until ``others`` (functions) have committed theirs."""
+    real, todo = store.create_new, list(others)
+
+    def create(*args):
+        while todo:
+            todo.pop(0)()
+        return real(*args)
+
+    monkeypatch.setattr(store, "create_new", create)
+
+
+def test_two_interleaved_upserts_both_end_in_the_tables(spark, scratch, monkeypatch):
+    flat = flat_rows(spark)
+    parts = [flat.where(f"pmod(xxhash64(id, close_approach_date), 3) = {i}") for i in range(3)]
+    root = os.path.join(scratch, "two")
+    tables.upsert(spark, root, parts[0])
+    _meanwhile(monkeypatch, [lambda: tables.upsert(spark, root, parts[1])])
+    assert tables.upsert(spark, root, parts[2]) == 3
+    monkeypatch.undo()
+    a, c = tables.read_tables(spark, root)
+    assert sorted_rows(c) == sorted_rows(tables.load_close_approach(flat))
+    assert sorted_rows(a) == sorted_rows(tables.load_asteroids(flat))
+    record = tables._manifest(spark, root)
+    assert record["approach_rows"] == c.count() and record["ledger"]["new"] + record["ledger"]["duplicates"] == parts[2].where(tables.has_approach()).count()
+
+
+def test_an_upsert_over_other_months_keeps_its_versions(spark, scratch, monkeypatch):
+    """A commit in between that touches other months costs no second merge of this batch's months."""
+    flat = flat_rows(spark).where("close_approach_date IS NOT NULL")
+    month = F.trunc("close_approach_date", "MM")
+    jan, feb = (flat.where(month == F.lit(D(2030, m, 1))) for m in (1, 2))
+    root = os.path.join(scratch, "apart")
+    _meanwhile(monkeypatch, [lambda: tables.upsert(spark, root, jan)])
+    merges = []
+    real = tables._write_months
+    monkeypatch.setattr(tables, "_write_months", lambda *a: merges.append(a[3]) or real(*a))
+    tables.upsert(spark, root, feb)
+    monkeypatch.undo()
+    assert len(merges) == 2  # one for each batch
+    _, c = tables.read_tables(spark, root)
+    assert sorted_rows(c) == sorted_rows(tables.load_close_approach(jan.unionByName(feb)))
+
+
+def test_publish_beside_an_upsert_is_the_later_record(spark, scratch, monkeypatch):
+    a, ca = frames(spark)
+    root = os.path.join(scratch, "beside")
+    _meanwhile(monkeypatch, [lambda: tables.upsert(spark, root, flat_rows(spark).where("id = 1"))])
+    assert tables.publish(spark, root, a, ca) == 2
+    monkeypatch.undo()
+    assert tables.read_published(spark, root)[1].count() == ca.count()
+
+
+def test_a_record_is_created_once(spark, scratch):
+    path = store.record_path(os.path.join(scratch, "once"), 1)
+    assert store.create_new(spark, path, {"run_no": 1, "by": "a"}) and not store.create_new(spark, path, {"run_no": 1, "by": "b"})
+    assert store.newest(spark, os.path.join(scratch, "once")) == {"run_no": 1, "by": "a"}
+    assert len(os.listdir(os.path.dirname(path))) <= 2  # the record and its checksum; nothing left beside
+
+
+def test_retention_removes_what_no_kept_record_names(spark, scratch):
+    flat = flat_rows(spark)
+    root = os.path.join(scratch, "kept")
+    for i in range(4):
+        tables.upsert(spark, root, flat.where(f"pmod(xxhash64(id, close_approach_date), 4) = {i}"))
+    before = [sorted_rows(t) for t in tables.read_tables(spark, root)]
+    older = [sorted_rows(t) for t in tables.read_tables(spark, root, run_no=3)]
+    assert tables.retain(spark, root, keep=4, grace_seconds=3600) == []  # a writer may still need new folders
+    removed = tables.retain(spark, root, keep=2, grace_seconds=-5)
+    assert removed and store.record_numbers(spark, root) == [3, 4]
+    assert [sorted_rows(t) for t in tables.read_tables(spark, root)] == before
+    assert [sorted_rows(t) for t in tables.read_tables(spark, root, run_no=3)] == older
+    assert len(os.listdir(os.path.join(root, "asteroids"))) == 2
+    tables.retain(spark, root, keep=1, grace_seconds=-5)
+    months = [os.path.join(r, m) for r in os.listdir(os.path.join(root, "close_approach"))
+              for m in os.listdir(os.path.join(root, "close_approach", r)) if "=" in m]
+    assert len(months) == len(tables._manifest(spark, root)["months"])
+    assert [sorted_rows(t) for t in tables.read_tables(spark, root)] == before
+    assert tables.retain(spark, root, keep=1, grace_seconds=-5) == []
+    assert tables.upsert(spark, root, flat) == 5
+
+
+def test_compaction_keeps_rows_and_makes_files_fewer(spark, scratch, monkeypatch):
+    flat = flat_rows(spark)
+    root = os.path.join(scratch, "small")
+    monkeypatch.setattr(tables, "MAX_RECORDS_PER_FILE", 1)
+    tables.upsert(spark, root, flat)
+    monkeypatch.undo()
+    record = tables._manifest(spark, root)
+    files = lambda r: {m: store.n_files(spark, f"{root}/close_approach/{run}/approach_month={m}") for m, run in r["months"].items()}
+    many = [m for m, n in files(record).items() if n > 2]
+    assert many
+    want = [sorted_rows(t) for t in tables.read_tables(spark, root)]
+    assert tables.compact(spark, root, max_files=2) == 2
+    after = tables._manifest(spark, root)
+    assert {m for m in after["months"] if after["months"][m] != record["months"][m]} == set(many)
+    assert max(files(after).values()) <= 2
+    assert [sorted_rows(t) for t in tables.read_tables(spark, root)] == want
+    assert tables.compact(spark, root, max_files=2) is None
+
+
+def test_summaries_follow_the_months(spark, scratch):
+    from perigee.operators import catalogue as cat
+
+    flat = flat_rows(spark)
+    root = os.path.join(scratch, "sums")
+    for i in (0, 1, 2, 1):
+        tables.upsert(spark, root, flat.where(f"pmod(xxhash64(id), 3) = {i}"))
+        a, c = tables.read_tables(spark, root)
+        summary = tables.read_summary(spark, root)
+        assert rows(cat.monthly_of_summary(summary)) == rows(cat.q11_monthly_counts(a, c))
+        assert rows(cat.bodies_of_summary(summary)) == rows(cat.orbiting_bodies(a, c))
+        assert summary.agg(F.sum("n_rows")).first()[0] == c.count()
