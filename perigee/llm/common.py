@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.session import new_run_dir
+from perigee.sources import store
 
 SPACE = r"[\x20\x09-\x0D]+"
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20  # of Parquet: some five times as much in memory
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,19 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at replicated files."""
+def written_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back, with the folder: lineage ends at replicated files."""
     spark = df.sparkSession
     path = new_run_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    return written_at(df, purpose)[0]
+
+
+def drop_written(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of ``written_at`` that nothing reads any more."""
+    for path in paths:
+        store.remove(spark, path)
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """``df`` (narrow rows), written, with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows;
+    """``df``, written, with a broadcast hint if its files have at most ``BROADCAST_BYTES``;
     beyond that the join with it is shuffled."""
-    df = written(df, "side")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    df, path = written_at(df, "side")
+    return F.broadcast(df) if store.n_bytes(df.sparkSession, path) <= BROADCAST_BYTES else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,7 +2,7 @@
 
 Each step is a partial-aggregated minimum per vertex and an equi-join, so a vertex with a third
 of all edges is pre-aggregated and never gathered.  Lineage is cut by writing each round to the
-shared folder; the loop ends when a round changes nothing (number and checksum of the edges).
+shared folder, which then replaces the one before; the loop ends when a round changes nothing (number and checksum of the edges).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import written
+from perigee.llm.common import drop_written, written_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every vertex of ``edges`` (u, v); component_id is the least vertex."""
     spark = edges.sparkSession
-    current = written(
+    current, path = written_at(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "cc"
     )
     mark = lambda df: df.select(
@@ -38,8 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     ).first()
     before = mark(current)
     while before[0]:
-        current = written(_star(_star(current, True), False), "cc")
+        current, new_path = written_at(_star(_star(current, True), False), "cc")
         after = mark(current)
+        drop_written(spark, path)
+        path = new_path
         if after == before:
             break
         before = after

@@ -31,12 +31,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import ascii_lower, let, shingles, text_or_empty, window_hashes, words, written
+from perigee.llm.common import (
+    ascii_lower, drop_written, let, shingles, small_side, text_or_empty, window_hashes, words, written, written_at,
+)
 
 WIDTH = 5
 RADIUS = 20
 SIMILARITY_PCT = 80
 BROADCAST_ROWS = 200_000
+STARTS = 512  # windows taken from a text at a time
 
 
 def simhash(hashes: Column) -> Column:
@@ -105,8 +108,10 @@ def contaminated(
     """(doc_id, text_key, item_id, start, similarity): the best window per document and item."""
     items = written(item_table(benchmark, width), "decontam-items")
     places = items.select("size", F.least("size", F.lit(width)).alias("w"), F.posexplode("sh").alias("place", "h")).distinct()
-    if places.count() <= broadcast_rows:
-        places = F.broadcast(places)
+    places = written(places, "decontam-places")
+    asked = places.select("size", "w", "h").distinct()
+    if asked.count() <= broadcast_rows:
+        asked = F.broadcast(asked)
     low = words(ascii_lower(text_or_empty(F.col("text"))))
     docs = docs.select("doc_id", "text")
     # sizes of items that are one shingle of their own width: under ``width`` numbers
@@ -117,91 +122,111 @@ def contaminated(
         found = found.select("doc_id", "text_key", "w", F.size("sh").alias("total"), F.posexplode("sh").alias("pos", "h"))
         rows = found if rows is None else rows.unionByName(found)
     hits = (
-        rows.join(places, ["w", "h"])
+        rows.join(asked, ["w", "h"])
         .groupBy("doc_id", "text_key", "size")
-        .agg(
-            F.max("total").alias("total"),
-            F.array_sort(F.collect_set("pos")).alias("hits"),
-            F.collect_set(F.col("pos") - F.col("place")).alias("lines"),
-        )
+        .agg(F.max("total").alias("total"), F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("hits"))
         .withColumn("k", F.greatest(F.col("size") - (width - 1), F.lit(1)))
         .withColumn("m", F.least("k", "total"))  # shingles of a window: the whole text if it is shorter
         .withColumn("need", F.ceil(similarity_pct * (F.col("m") + F.col("k")) / (100 + similarity_pct)).cast("int"))
         .where(F.size("hits") >= F.col("need"))
     )
+    hits = written(hits, "decontam-hits")
 
     def held(j: Column) -> Column:
         """Starts of the windows that hold the ``need`` hits up to number ``j``."""
-        first = F.greatest(F.lit(0), F.get("hits", j) - F.col("m") + 1)
-        last = F.least(F.get("hits", j - F.col("need") + 1), F.col("total") - F.col("m"))
+        first = F.greatest(F.lit(0), F.get("hits.pos", j) - F.col("m") + 1)
+        last = F.least(F.get("hits.pos", j - F.col("need") + 1), F.col("total") - F.col("m"))
         return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     reached = F.array_distinct(F.flatten(F.transform(F.sequence(F.col("need") - 1, F.size("hits") - 1), held)))
-    fitted = F.transform("lines", lambda x: F.greatest(F.lit(0), F.least(x, F.col("total") - F.col("m"))))
+    # some starts at a time: the windows of one row stay few
+    part = F.sequence(F.lit(0), F.floor((F.size("reached") - 1) / STARTS).cast("int"))
+    parts = F.transform(part, lambda i: F.slice("reached", i * STARTS + 1, F.lit(STARTS)))
     starts = (
-        hits.withColumn("fitted", F.array_distinct(fitted))
-        .select("doc_id", "text_key", "size", "fitted", F.explode(reached).alias("start"))
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-        .agg(F.collect_list(F.struct("start", "size", F.array_contains("fitted", F.col("start")).alias("lined"))).alias("starts"))
-    )
-    spotted = docs.withColumn("text_key", F.xxhash64("text")).join(
-        starts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key"))
+        hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "size", reached.alias("reached"))
+        .where(F.size("reached") > 0)
+        .select("id", "key", "size", F.explode(parts).alias("starts"))
     )
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    spotted = keyed.join(small_side(starts), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     windows = spotted.select(
         "doc_id",
         "text_key",
+        "size",
         F.explode(
             let(
-                F.struct(window_hashes(low, width).alias("sh"), low.alias("w"), F.col("starts").alias("starts")),
+                F.struct(window_hashes(low, width).alias("sh"), low.alias("w"), F.col("starts"), F.col("size")),
                 lambda x: F.transform(
-                    x.getField("starts"),
+                    x["starts"],
                     lambda s: F.struct(
-                        s.getField("start").alias("start"),
-                        s.getField("size").alias("size"),
-                        s.getField("lined").alias("lined"),
-                        F.when(
-                            s.getField("size") < width,
-                            F.array(F.xxhash64(F.slice(x.getField("w"), s.getField("start") + 1, s.getField("size")))),
-                        )
-                        .otherwise(F.slice(x.getField("sh"), s.getField("start") + 1, s.getField("size") - (width - 1)))
+                        s.alias("start"),
+                        F.when(x["size"] < width, F.array(F.xxhash64(F.slice(x["w"], s + 1, x["size"]))))
+                        .otherwise(F.slice(x["sh"], s + 1, x["size"] - (width - 1)))
                         .alias("sh"),
                     ),
                 ),
             )
         ).alias("win"),
-    ).select("doc_id", "text_key", "win.*")
+    ).select("doc_id", "text_key", "size", "win.*")
+    windows, windows_path = written_at(windows.withColumn("win_key", F.xxhash64("sh")), "decontam-windows")
     # one fingerprint for each distinct window content, however many documents hold it
     contents = (
-        windows.select("size", "sh", F.xxhash64("sh").alias("win_key"))
-        .groupBy("size", "win_key")
-        .agg(F.first("sh").alias("sh"))
-        .withColumn("fp", simhash(F.col("sh")))
+        windows.groupBy("size", "win_key").agg(F.first("sh").alias("sh")).withColumn("fp", simhash(F.col("sh")))
     )
-    probes = contents.select("size", "win_key", "sh", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    index = items.select(
-        "item_id", F.col("size"), F.col("sh").alias("item_sh"), F.col("fp").alias("item_fp"),
-        F.explode(blocks(F.col("fp"), radius)).alias("ib"),
-    )
+    contents, contents_path = written_at(contents, "decontam-contents")
+    # only keys and fingerprints meet in the blocks; the shingles come back to the pairs within the radius
+    probes = contents.select("size", "win_key", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
+    index = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("ib"))
     near = (
-        probes.select("*", "b.no", "b.bits").drop("b")
-        .join(index.select("*", "ib.no", "ib.bits").drop("ib"), ["size", "no", "bits"])
+        probes.select("size", "win_key", "fp", "b.no", "b.bits")
+        .join(index.select("item_id", "size", "item_fp", "ib.no", "ib.bits"), ["size", "no", "bits"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .groupBy("size", "win_key", "item_id")
-        .agg(F.first("sh").alias("sh"), F.first("item_sh").alias("item_sh"))
-    )
+        .select("size", "win_key", "item_id")
+        .distinct()
+    )
     both = F.size("sh") + F.size("item_sh")
     verified = (
-        near.withColumn("shared", common_weight(F.col("sh"), F.col("item_sh")))
+        near.join(contents.select("size", "win_key", "sh"), ["size", "win_key"])
+        .join(items.select("item_id", "size", F.col("sh").alias("item_sh")), ["item_id", "size"])
+        .withColumn("shared", common_weight(F.col("sh"), F.col("item_sh")))
         .where(100 * F.col("shared") >= similarity_pct * (both - F.col("shared")))
-        .select("size", "win_key", "item_id", (F.col("shared") / (both - F.col("shared"))).alias("similarity"))
+        .groupBy("size", "win_key", "item_id")  # an id may be held by several items
+        .agg(F.max(F.col("shared") / (both - F.col("shared"))).alias("similarity"))
     )
-    return (
-        windows.withColumn("win_key", F.xxhash64("sh"))
-        .join(verified, ["size", "win_key"])
+    verified, verified_path = written_at(
+        windows.select("doc_id", "text_key", "size", "start", "win_key").join(verified, ["size", "win_key"]).drop("win_key"),
+        "decontam-verified",
+    )
+    # for the ties: starts that line up a shingle with its place in some item of the size
+    fitted = (
+        hits.join(verified.select("doc_id", "text_key", "size").distinct().withColumnsRenamed(_IDS), _same_text() & (F.col("size") == F.col("size2")), "left_semi")
+        .select("doc_id", "text_key", "size", "total", "m", F.explode("hits").alias("hit"))
+        .join(places.select(F.col("size").alias("size2"), "place", "h"), (F.col("size") == F.col("size2")) & (F.col("hit.h") == F.col("h")))
+        .groupBy("doc_id", "text_key", "size")
+        .agg(
+            F.collect_set(
+                F.greatest(F.lit(0), F.least(F.col("hit.pos") - F.col("place"), F.col("total") - F.col("m")))
+            ).alias("fitted")
+        )
+        .withColumnsRenamed(_IDS)
+    )
+    lined = F.coalesce(F.array_contains("fitted", F.col("start")), F.lit(False))
+    best = (
+        verified.join(fitted, _same_text() & (F.col("size") == F.col("size2")), "left")
         .groupBy("doc_id", "text_key", "item_id")
-        .agg(F.max(F.struct("similarity", "lined", (-F.col("start")).alias("s"))).alias("best"))
+        .agg(F.max(F.struct("similarity", lined.alias("lined"), (-F.col("start")).alias("s"))).alias("best"))
         .select("doc_id", "text_key", "item_id", (-F.col("best.s")).cast("bigint").alias("start"), "best.similarity")
     )
+    out = written(best, "decontam-found")
+    drop_written(docs.sparkSession, windows_path, contents_path, verified_path)
+    return out
+
+
+_IDS = {"doc_id": "id", "text_key": "key", "size": "size2"}
+
+
+def _same_text() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -211,8 +236,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark item, all columns unchanged."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    kept = docs.withColumn("__own", F.xxhash64("text")).join(
-        bad, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__key")), "left_anti"
-    )
-    return kept.select(*docs.columns)
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    # the whole row in one column: no name of the user's can clash with those used here
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    own = F.col("row")["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row")["text"]) == F.col("key"))
+    return packed.join(bad, own, "left_anti").select("row.*")

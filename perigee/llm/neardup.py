@@ -16,21 +16,27 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
      that share members meet as one where the union is not over ``BLOCK`` either, so that a set
      travels once and not with each list;
    * longer lists (a passage that many texts share, or thousands of near copies) are never paired:
-     their members are listed again under pairs of long-list values.  Texts that share only a passage
-     fall apart; near copies stay together.  Lists still long, of any size, are joined into
-     families; a link never has to share more than two.  A family falls into half blocks by hash.
+     their members are listed again under pairs of long-list values.  Members of pair lists that are still
+     long look at their whole sketch: a value that at most ``BLOCK`` of these members hold is rare.  Linked
+     sketches differ in few values, so the shares of rare ones differ little.  Members with a share of at
+     least ``RARE_LOW`` percent are listed under their ``RARE`` least rare values, which texts that only have a
+     passage in common do not share; members under ``RARE_HIGH`` percent, near copies of each other above all,
+     are joined into families with all they share a long list with (between the two, both).  A family
+     falls into half blocks by hash.
      First each of them meets the family's pivots, the half block of number 0; what these links
      connect needs no comparison any more.  Then the members are dealt anew, those of one large
      component together, and two half blocks meet unless both hold the same component.
 4. Filter: the union sketch of a candidate (K least values of both sketches) estimates the
-   similarity; pairs far below the threshold go, the others meet like lists of two.
+   similarity; pairs far below the threshold go, the others meet like lists of two.  Where lists meet,
+   sketches come first, too: only members with a likely partner in the list bring their full sets.
 5. Verification: wherever classes meet, their full sets decide exactly.
 6. Components of the verified links; ``component_id`` is the least doc_id reachable.
 
 Nothing is capped: every list is paired, met in blocks or split further.  A link with similarity
 s >= 0.85 can be missed only by chance of the hash: if the two share fewer than two of 8 least values
 (under 1e-5 at s = 0.85, or at s = 0.8 with 10 values; falling fast with s), or if the estimate (K = 64, deviation 0.045) errs by
-more than ``MARGIN_PCT`` = 25 points (5 deviations).
+more than ``MARGIN_PCT`` = 25 points (5 deviations); in families also if the rare shares of the two sketches differ by
+40 points (at s = 0.8 some 9 +- 3 of 64 values differ) or if they share fewer than two of 16 rare values.
 
 A null doc_id joins the class of its text: its component_id is null only where no equal text has
 an id, and it is kept only then.  Repeated rows are returned each (``drop_near_duplicates`` keeps
@@ -44,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import ascii_lower, let, shingles, small_side, text_or_empty, words, written
+from perigee.llm.common import ascii_lower, drop_written, let, shingles, small_side, text_or_empty, words, written, written_at
 from perigee.llm.components import components
 
 WIDTH = 5
@@ -53,6 +59,8 @@ PROBES = 8
 SMALL = 16
 BLOCK = 512
 MARGIN_PCT = 25
+RARE = 16
+RARE_LOW, RARE_HIGH = 30, 70
 
 
 def shingle_set(text: Column, width: int = WIDTH) -> Column:
@@ -101,12 +109,25 @@ def _pairs(listed: DataFrame, threshold_pct: int) -> DataFrame:
     return a.join(b, "key").where(fits).select("c1", "c2")
 
 
-def block_links(threshold_pct: int, columns: int = 1 << 14):
-    """For a group (cls, sh) of at most ``BLOCK`` members: verified links that connect all that link.
+def _shared(row: np.ndarray, values: np.ndarray, n: int, columns: int = 1 << 14) -> np.ndarray:
+    """(n x n) numbers of values that two members share: products of the incidence matrix, some columns at a time."""
+    _, col, many = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.cumsum(many > 1) - 1
+    kept = many[col] > 1
+    row, col = row[kept], rank[col[kept]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        lo, hi = np.searchsorted(col, [a, a + columns])
+        part = np.zeros((n, columns), np.float32)
+        part[row[lo:hi], col[lo:hi] - a] = 1
+        out += part @ part.T
+    return out
 
-    Intersection sizes are products of the incidence matrix of the shingles that two members share,
-    some columns at a time.
-    """
+
+def block_links(threshold_pct: int):
+    """For a group (cls, sh) of at most ``BLOCK`` members: verified links that connect all that link."""
 
     def run(group: pa.Table) -> pa.Table:
         cls = group["cls"].to_numpy()
@@ -114,19 +135,7 @@ def block_links(threshold_pct: int, columns: int = 1 << 14):
         ends = sets.offsets.to_numpy()
         values = sets.values.to_numpy()[ends[0] : ends[-1]]
         sizes = np.diff(ends)
-        row = np.repeat(np.arange(len(cls)), sizes)
-        uniq, col, many = np.unique(values, return_inverse=True, return_counts=True)
-        rank = np.cumsum(many > 1) - 1
-        shared = many[col] > 1
-        row, col = row[shared], rank[col[shared]]
-        inter = np.zeros((len(cls), len(cls)), np.float32)
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        for a in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
-            lo, hi = np.searchsorted(col, [a, a + columns])
-            part = np.zeros((len(cls), columns), np.float32)
-            part[row[lo:hi], col[lo:hi] - a] = 1
-            inter += part @ part.T
+        inter = _shared(np.repeat(np.arange(len(cls)), sizes), values, len(cls))
         union = sizes[:, None] + sizes[None, :] - inter
         linked = (100 * inter >= threshold_pct * union) & (cls[:, None] != cls[None, :])
         left = np.ones(len(cls), bool)
@@ -148,6 +157,21 @@ def block_links(threshold_pct: int, columns: int = 1 << 14):
     return run
 
 
+def block_likely(least_pct: int):
+    """For a group (key, cls, sketch) of at most ``BLOCK`` members: those whose sketch shares at least ``least_pct``
+    percent of its values with another's, which any pair with such a union-sketch estimate does."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sketches = group["sketch"].combine_chunks()
+        sizes = sketches.value_lengths().to_numpy()
+        common = _shared(np.repeat(np.arange(len(sizes)), sizes), sketches.flatten().to_numpy(), len(sizes))
+        np.fill_diagonal(common, 0)
+        likely = (100 * common >= least_pct * np.maximum(sizes[:, None], sizes[None, :])) & (common > 0)
+        return group.select(["key", "cls"]).filter(pa.array(likely.any(axis=1)))
+
+    return run
+
+
 def links(
     classes: DataFrame, docs_sets, threshold_pct: int, probes: int, small: int, block: int, margin_pct: int
 ) -> DataFrame:
@@ -177,7 +201,12 @@ def links(
             )
             long_values = members.select("cls")
         else:
-            families = _families(over.select("key", "cls"), block)
+            over = written(over.select("key", "cls"), "neardup-over")
+            rare, rest = _by_rare_values(over.select("cls").distinct(), classes, block)
+            pairs.append(_pairs(rare.where(F.col("many") <= small), threshold_pct).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("lists")))
+            meets.append(rare.where(F.col("many") > small).select("key", "cls"))
+            families = _families(over.join(rest, "cls"), block)
+            families = None if families.isEmpty() else families
     candidates = pairs[0]
     if long_values is not None:
         flagged = long_values.withColumnRenamed("cls", "c1").withColumn("more", F.lit(1))
@@ -201,18 +230,46 @@ def links(
         meet = meet.unionByName(m)
     meet = _joined(meet, block)
     meet = written(meet if families is None else meet.unionByName(_with_pivots(families, block)), "neardup-meets")
-    found = _met(meet, docs_sets, threshold_pct)
+    sketches = classes.select("cls", "sketch")
+    found = _met(meet, sketches, docs_sets, threshold_pct, margin_pct)
     if families is None:
         return found
     meet = written(_unlinked(families, components(found.select(F.col("c1").alias("u"), F.col("c2").alias("v"))), block), "neardup-meets")
-    return found if meet.isEmpty() else found.unionByName(_met(meet, docs_sets, threshold_pct))
-
-
-def _met(meet: DataFrame, docs_sets, threshold_pct: int) -> DataFrame:
-    """Verified links among the members of each list of ``meet`` (key, cls)."""
-    sets = docs_sets(meet.select("cls").distinct())
-    groups = sets.join(small_side(meet), "cls").select("key", "cls", "sh").groupBy("key")
-    return written(groups.applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint").distinct(), "neardup-links")
+    return found if meet.isEmpty() else found.unionByName(_met(meet, sketches, docs_sets, threshold_pct, margin_pct))
+
+
+def _met(meet: DataFrame, sketches: DataFrame, docs_sets, threshold_pct: int, margin_pct: int) -> DataFrame:
+    """Verified links among the members of each list of ``meet`` (key, cls): sketches tell who may have a
+    partner there, the full sets of these decide."""
+    known = sketches.join(small_side(meet.select("cls").distinct()), "cls", "left_semi")
+    near = known.join(meet, "cls").select("key", "cls", "sketch").groupBy("key")
+    likely, path = written_at(near.applyInArrow(block_likely(threshold_pct - margin_pct), "key bigint, cls bigint"), "neardup-likely")
+    sets = docs_sets(likely.select("cls").distinct())
+    groups = sets.join(small_side(likely), "cls").select("key", "cls", "sh").groupBy("key")
+    out = written(groups.applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint").distinct(), "neardup-links")
+    drop_written(meet.sparkSession, path)
+    return out
+
+
+def _by_rare_values(over: DataFrame, classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """For the members (cls) of lists that are too long: (key, cls, n, many), the lists of their rare values, and (cls),
+    those that have few rare values."""
+    values = classes.join(small_side(over), "cls", "left_semi").select("cls", "n", F.explode("sketch").alias("val"))
+    many = values.groupBy("val").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") <= block)
+    rare = F.struct("val", "many")
+    held = values.join(many, "val", "left").groupBy("cls", "n").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.count("many").alias("rare"),
+        # at most K values
+        F.array_sort(F.collect_list(F.when(F.col("many") > 1, rare))).alias("vals"),
+    )
+    held = written(held, "neardup-rare")
+    share = 100 * F.col("rare")
+    listed = held.where(share >= RARE_LOW * F.col("size")).select("cls", "n", F.explode(F.slice("vals", 1, RARE)).alias("v"))
+    lists = listed.select(F.xxhash64(F.lit("rare"), "v.val").alias("key"), "cls", "n")
+    # members that list a value: fewer than hold it
+    there = lists.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    return written(lists.join(there, "key"), "neardup-lists"), held.where(share < RARE_HIGH * F.col("size")).select("cls")
 
 
 def _to_least(lists: DataFrame) -> DataFrame:
@@ -330,9 +387,12 @@ def near_components(docs: DataFrame, threshold_pct: int = 85, **how: int) -> Dat
 def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80, probes: int = 10) -> DataFrame:
     """The document with the least doc_id of each component, all columns unchanged."""
     kept = near_rows(docs, threshold_pct, probes=probes).where("kept")
-    kept = kept.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
-    own = F.xxhash64(docs["text"]) == F.col("__key")
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & own, "inner")
-    once = stay.where((F.col("__rows") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
-    again = stay.where((F.col("__rows") > 1) & F.col("doc_id").isNotNull()).select(*docs.columns)
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    kept = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.count(F.lit(1)).alias("many"))
+    # the whole row in one column: no name of the user's can clash with those used here
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    own = F.xxhash64(F.col("row")["text"]) == F.col("key")
+    stay = packed.join(kept, F.col("row")["doc_id"].eqNullSafe(F.col("id")) & own, "inner")
+    once = stay.where((F.col("many") == 1) | F.col("id").isNull()).select("row.*")
+    again = stay.where((F.col("many") > 1) & F.col("id").isNotNull())
+    again = again.groupBy("id", F.col("row")["text"].alias("text")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(again.select("row.*"))
