@@ -29,6 +29,12 @@ def n_files(spark: SparkSession, folder: str) -> int:
     return sum(not n.startswith(("_", ".")) for n in names(spark, folder))
 
 
+def n_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files in and below a folder."""
+    fs, path = _fs(spark, folder)
+    return fs.getContentSummary(path).getLength()
+
+
 def modified(spark: SparkSession, path: str) -> float:
     """Time of the last change, in seconds since 1970."""
     fs, jpath = _fs(spark, path)
