@@ -513,6 +513,20 @@ def bodies_of_summary(summary: DataFrame) -> DataFrame:
     return summary.where(F.col("orbiting_body").isNotNull()).select("orbiting_body").distinct().orderBy("orbiting_body")
 
 
+# --------------------------------------------------------------------------- names under a collation
+def fold_names(a: DataFrame, collation: str = "UTF8_LCASE") -> DataFrame:
+    """Objects with names that a collation holds for equal written alike (the least spelling by code points),
+    so that every catalogue query groups them as one, as a database with such a collation does.
+
+    ``UTF8_LCASE`` ignores case; ``UNICODE_CI_AI`` ignores accents, too.  Without this step names are compared
+    as they are and predicates on them reach the scan.
+    """
+    key = F.collate(F.col("name"), collation)
+    spelled = a.groupBy(key.alias("_key")).agg(F.min(F.collate(F.col("name"), "UTF8_BINARY")).alias("_name"))
+    folded = a.join(spelled, key.eqNullSafe(F.col("_key")), "left")
+    return folded.select(*[F.col("_name").alias("name") if c == "name" else a[c] for c in a.columns])
+
+
 # Which tables each query reads.  A filter side applies only to queries reading it;
 # this is structural here (each function filters exactly the tables it reads).
 CATALOGUE = {

@@ -12,6 +12,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perigee.operators import catalogue as cat
 from perigee.operators.filters import FilterSpec
@@ -105,6 +106,45 @@ def catalogue_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
+# Keys beside the catalogue's own: objects without a row on the right side of q01's outer join (most objects pass
+# in no one month), and names grouped under a collation.
+MONTH = (dt.date(1998, 1, 1), dt.date(1998, 1, 31))
+
+
+def _in_month(count_approaches: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, ca = bind(spark, sf_dir)
+        return cat.q01_approach_count(a, ca.where(F.col("close_approach_date").between(*MONTH)), count_approaches=count_approaches)
+
+    return run
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, ca = bind(spark, sf_dir)
+    return cat.q01_approach_count(cat.fold_names(a), ca)
+
+
+EXTRA_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "q01_in_month": _in_month(False),
+    "q01b_in_month": _in_month(True),
+    "q01_folded_names": _folded,
+}
+_MONTH_JOIN = (
+    "FROM asteroids a LEFT JOIN (SELECT * FROM close_approach WHERE close_approach_date "
+    f"BETWEEN DATE '{MONTH[0]}' AND DATE '{MONTH[1]}') c ON a.id = c.neo_reference_id GROUP BY a.name"
+)
+EXTRA_ORACLES: dict[str, str] = {
+    "q01_in_month": oracle.with_binding(f"SELECT a.name AS asteroid_name, COUNT(a.id) AS number_of_approaches {_MONTH_JOIN}"),
+    "q01b_in_month": oracle.with_binding(
+        f"SELECT a.name AS asteroid_name, COUNT(c.neo_reference_id) AS number_of_approaches {_MONTH_JOIN}"
+    ),
+    "q01_folded_names": oracle.with_binding(
+        "SELECT MIN(a.name) AS asteroid_name, COUNT(a.id) AS number_of_approaches "
+        "FROM asteroids a LEFT JOIN close_approach c ON a.id = c.neo_reference_id GROUP BY lower(a.name)"
+    ),
+}
+
+
 def catalogue_oracles() -> dict[str, str]:
     out = dict(oracle.catalogue_sql(None, year=QUERY_YEAR))
     for key, spec in SINGLE_FILTERS.items():
@@ -119,8 +159,8 @@ def catalogue_oracles() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**catalogue_queries(), **INGEST_KEYS}
+    return {**catalogue_queries(), **INGEST_KEYS, **EXTRA_KEYS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalogue_oracles(), **INGEST_ORACLES}
+    return {**catalogue_oracles(), **INGEST_ORACLES, **EXTRA_ORACLES}

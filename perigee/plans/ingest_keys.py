@@ -91,6 +91,20 @@ def k_ingest_audit(spark, sf_dir):
     return feed.audit(flat_feed(spark, sf_dir))
 
 
+def k_ingest_audit_sketches(spark, sf_dir):
+    """The audit from stored page sketches; the estimated objects are held against the exact ones."""
+    pages = feed.read_pages(spark, landed_pages(spark, sf_dir))
+    flat = feed.flatten_all_approaches(feed.explode_objects(feed.explode_days(pages)), keep_page=True)
+    path = new_run_dir(spark, "audit-sketches")
+    feed.audit_sketches(flat).write.parquet(path)
+    exact = feed.audit(flat.drop("page")).select(F.col("window_start").alias("w"), F.col("n_objects").alias("exact"))
+    merged = feed.merged_audit(spark.read.parquet(path))
+    near = (F.abs(F.col("n_objects") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within_3_pct")
+    return merged.join(exact, F.col("window_start").eqNullSafe(F.col("w"))).select(
+        "window_start", "n_records", "n_days", "null_velocity", "null_au", "null_body", near
+    )
+
+
 def k_load_asteroids(spark, sf_dir):
     return tables.load_asteroids(flat_feed(spark, sf_dir))
 
@@ -280,6 +294,7 @@ INGEST_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_audit_pages": k_ingest_audit_pages,
     "stream_ingest": k_stream_ingest,
     "stream_window_counts": k_stream_window_counts,
+    "ingest_audit_sketches": k_ingest_audit_sketches,
     "feed_chain": k_feed_chain,
     "feed_missing": k_feed_missing,
     "feed_rejects": k_feed_rejects,
@@ -428,6 +443,13 @@ INGEST_ORACLES: dict[str, str] = {
         "COUNT(*) FILTER (WHERE c.orbiting_body IS NULL) AS null_body "
         f"FROM {JOIN} GROUP BY 1"
     ),
+    "ingest_audit_sketches": with_binding(
+        f"SELECT {_window_sql('c.close_approach_date')} AS window_start, COUNT(*) AS n_records, "
+        "COUNT(DISTINCT c.close_approach_date) AS n_days, "
+        "COUNT(*) FILTER (WHERE c.relative_velocity_kmph IS NULL) AS null_velocity, "
+        "COUNT(*) FILTER (WHERE c.astronomical IS NULL) AS null_au, "
+        f"COUNT(*) FILTER (WHERE c.orbiting_body IS NULL) AS null_body, TRUE AS within_3_pct FROM {JOIN} GROUP BY 1"
+    ),
     "load_asteroids": ASTEROIDS_SQL,
     "upsert_load_asteroids": ASTEROIDS_SQL,
     "atomic_publish_asteroids": ASTEROIDS_SQL,

@@ -201,24 +201,50 @@ def read_flat(spark: SparkSession, path: str, strict: bool = True, all_approache
 FEED_ORDER = ["close_approach_date"] + [c for c in FLAT_COLUMNS if c != "close_approach_date"]
 
 
-def limit_rows(flat: DataFrame, target: int) -> DataFrame:
-    """The first ``target`` records in feed order (day, then every other column; NULLs last).
+LIMIT_RANGES = 4096
+
+
+def limit_candidates(flat: DataFrame, target: int) -> DataFrame:
+    """The rows that can be among the first ``target`` in feed order: the days before the one in which the target
+    is reached, and of that day the ids up to the range in which it is reached.
 
-    Only the days needed to reach ``target`` are kept before the top-n, found from a
-    running count over one row per calendar day, so the final merge sees about
-    ``target`` plus one day of rows instead of ``target`` rows from every task.
+    Both cuts come from counts: per calendar day, then per range of ids inside the boundary day (its ids' span in
+    ``LIMIT_RANGES`` equal parts, NULL ids last), so a day with a third of all rows is cut as well.  Rows of one range
+    of that day are not told apart: an object with more rows on one day than the target all stay.
     """
-    day = F.col("close_approach_date")
-    per_day = flat.groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
+    day, number = F.col("close_approach_date"), F.col("id")
+    per_day = flat.groupBy(day).agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
     # One row per calendar day (bounded by the calendar): a single-partition window is fine.
     running = Window.orderBy(F.asc_nulls_last("close_approach_date")).rowsBetween(Window.unboundedPreceding, 0)
     needed = (
-        per_day.withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
-        .where(F.col("_before") < target)
-        .select(day.alias("_day"))
+        per_day.withColumn("_upto", F.sum("_n").over(running))
+        .where(F.col("_upto") - F.col("_n") < target)
+        .select(
+            day.alias("_day"), "_lo", "_hi", (F.col("_upto") >= target).alias("_last"),
+            (F.lit(target) - F.col("_upto") + F.col("_n")).alias("_left"),
+        )
+    )
+    rows = flat.join(F.broadcast(needed), day.eqNullSafe(F.col("_day")))
+    part = F.coalesce(
+        F.width_bucket(number.cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double") + 1, F.lit(LIMIT_RANGES)),
+        F.lit(LIMIT_RANGES + 1).cast("bigint"),
     )
-    candidates = flat.join(F.broadcast(needed), day.eqNullSafe(F.col("_day")), "left_semi")
-    return candidates.orderBy(*[F.asc_nulls_last(c) for c in FEED_ORDER]).limit(target).select(*FLAT_COLUMNS)
+    rows = rows.withColumn("_part", F.when(F.col("_last"), part))
+    per_part = rows.where("_last").groupBy("_part", "_left").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = per_part.withColumn("_before", F.sum("_n").over(running) - F.col("_n")).where("_before < _left")
+    wanted = wanted.select(F.col("_part").alias("_wanted"))  # at most LIMIT_RANGES + 1 rows
+    kept = rows.join(F.broadcast(wanted), F.col("_part") == F.col("_wanted"), "left")
+    return kept.where(~F.col("_last") | F.col("_wanted").isNotNull()).select(*FLAT_COLUMNS)
+
+
+def limit_rows(flat: DataFrame, target: int) -> DataFrame:
+    """The first ``target`` records in feed order (day, then every other column; NULLs last).
+
+    The top-n runs on ``limit_candidates`` only: the target plus, at most, the rest of one range of ids.
+    """
+    order = [F.asc_nulls_last(c) for c in FEED_ORDER]
+    return limit_candidates(flat, target).orderBy(*order).limit(target).select(*FLAT_COLUMNS)
 
 
 def audit(flat: DataFrame) -> DataFrame:
@@ -255,3 +281,34 @@ def audit_pages(objects: DataFrame) -> DataFrame:
         F.count_if(F.col("astronomical").isNull()).alias("null_au"),
     )
     return per_page.join(bad, "page", "left").fillna(0, subset=["rejected"])
+
+
+# --------------------------------------------------------------------------- mergeable audit (I14)
+SKETCH_LG_K = 14  # 16,384 registers: a standard error of 0.65 %
+
+
+def audit_sketches(flat: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Per page and request window: counts that add up, the days as bits, and a sketch of the distinct objects.
+
+    ``flat`` has its ``page`` (``keep_page=True``).  The rows can be stored with the pages and merged later, over any
+    set of pages, without reading these again (``merged_audit``).
+    """
+    placed = flat.withColumn("window_start", window_start(F.col("close_approach_date")))
+    bit = F.call_function("shiftleft", F.lit(1), F.datediff("close_approach_date", "window_start"))
+    nulls = {"null_velocity": "relative_velocity_kmph", "null_au": "astronomical", "null_body": "orbiting_body"}
+    return placed.groupBy("page", "window_start").agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.coalesce(F.bit_or(bit), F.lit(0)).alias("days"),
+        F.hll_sketch_agg("id", lg_k).alias("objects"),
+        *[F.count_if(F.col(c).isNull()).alias(k) for k, c in nulls.items()],
+    )
+
+
+def merged_audit(sketches: DataFrame) -> DataFrame:
+    """``audit`` of a window from stored ``audit_sketches``; ``n_objects`` is an estimate."""
+    return sketches.groupBy("window_start").agg(
+        F.sum("n_records").alias("n_records"),
+        F.hll_sketch_estimate(F.hll_union_agg("objects")).alias("n_objects"),
+        F.bit_count(F.bit_or("days")).cast("bigint").alias("n_days"),
+        *[F.sum(k).alias(k) for k in ("null_velocity", "null_au", "null_body")],
+    )

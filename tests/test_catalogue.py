@@ -260,3 +260,17 @@ def test_getting_nearer_equals_brute_force_pairs(spark):
     ca = spark.createDataFrame(fact, CLOSE_APPROACH_SCHEMA)
     got = {r[0] for r in cat.getting_nearer_ids(ca).collect()}
     assert got == expected and 0 < len(expected) < 300
+
+
+def test_names_under_a_collation(spark):
+    """Names that differ in case group as one, whatever the query; accents only under a collation that ignores them."""
+    a, ca = frames(spark)
+    folded = cat.fold_names(a)
+    assert folded.columns == a.columns and folded.count() == a.count()
+    assert {r["id"]: r["name"] for r in folded.collect()}[4] == {r["id"]: r["name"] for r in folded.collect()}[5] == "GAMMA_X"
+    plain = {r["asteroid_name"]: r["number_of_approaches"] for r in cat.q01_approach_count(a, ca).collect()}
+    got = {r["asteroid_name"]: r["number_of_approaches"] for r in cat.q01_approach_count(folded, ca).collect()}
+    assert got["GAMMA_X"] == plain["GAMMA_X"] + plain["gamma_x"] and "gamma_x" not in got and got[None] == plain[None]
+    accents = spark.createDataFrame([(1, "\u00c9ros"), (2, "eros"), (3, "Eros")], "id bigint, name string")
+    names = lambda c: sorted(r["name"] for r in cat.fold_names(accents, c).collect())
+    assert names("UTF8_LCASE") == ["Eros", "Eros", "\u00c9ros"] and names("UNICODE_CI_AI") == ["Eros"] * 3

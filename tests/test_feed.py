@@ -309,3 +309,38 @@ def test_files_added_to_a_table_are_seen(spark, scratch):
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(70).write.mode("append").parquet(f"{scratch}/lineitem.parquet")
     assert binding.bind(spark, scratch)[1].count() == before + 70
     assert landed_pages(spark, scratch) != first
+
+
+def _flat_frame(spark, rows_):
+    """Flat rows from (id, day, velocity)."""
+    df = spark.createDataFrame(rows_, "id bigint, close_approach_date date, relative_velocity_kmph double")
+    types = dict(zip(FLAT_COLUMNS, ["bigint", "bigint", "string", "double", "double", "double", "boolean", "date", *["double"] * 4, "string"]))
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in FLAT_COLUMNS])
+
+
+@pytest.mark.parametrize("target", [1, 7, 300, 2000, 4990, 5000, 9000])
+def test_limit_cuts_inside_a_hot_day(spark, target):
+    """Half of all rows on one day: the merge sees the target and little more, and the rows are the first ones."""
+    rows_ = [(i * 17 % 5003, D(2030, 1, 5), float(i)) for i in range(3000)]
+    rows_ += [(i, D(2030, 1, 1 + i % 4), 1.0) for i in range(400)] + [(i, D(2030, 2, 1 + i % 20), 2.0) for i in range(1500)]
+    rows_ += [(None, D(2030, 1, 5), 5.0)] * 40 + [(3, None, 1.0)] * 50 + [(7, D(2030, 1, 5), float(i)) for i in range(10)]
+    flat = _flat_frame(spark, rows_).repartition(6)
+    got = [(r["id"], r["close_approach_date"], r["relative_velocity_kmph"]) for r in feed.limit_rows(flat, target).collect()]
+    key = lambda r: (r[1] is None, r[1] or D(1, 1, 1), r[0] is None, r[0] or 0, r[2])
+    assert sorted(got, key=key) == sorted(rows_, key=key)[:target]
+    assert feed.limit_candidates(flat, target).count() <= min(len(rows_), target + 60)
+
+
+def test_merged_audit_is_near_the_exact_one(spark):
+    rows_ = [(i % 4000, D(2030, 1, 1 + (i * 7) % 28), None if i % 9 == 0 else 1.0) for i in range(20_000)]
+    flat = _flat_frame(spark, rows_)
+    paged = flat.withColumn("page", F.concat(F.lit("p"), F.pmod(F.xxhash64("id", "close_approach_date"), F.lit(13))))
+    sketches = feed.audit_sketches(paged)
+    exact = {r["window_start"]: r for r in feed.audit(flat).collect()}
+    merged = {r["window_start"]: r for r in feed.merged_audit(sketches).collect()}
+    assert merged.keys() == exact.keys()
+    for w, e in exact.items():
+        m = merged[w]
+        assert abs(m["n_objects"] - e["n_objects"]) <= 0.03 * e["n_objects"]
+        assert all(m[c] == e[c] for c in ("n_records", "n_days", "null_velocity", "null_au", "null_body"))
+    assert feed.merged_audit(feed.audit_sketches(paged.limit(0))).count() == 0
