@@ -41,6 +41,11 @@ def drop_written(spark: SparkSession, *paths: str) -> None:
         store.remove(spark, path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The whole rows in one column ``row``: no name of the user's can clash with those of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df``, written, with a broadcast hint if its files have at most ``BROADCAST_BYTES``;
     beyond that the join with it is shuffled."""

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm.common import (
-    ascii_lower, drop_written, let, shingles, small_side, text_or_empty, window_hashes, words, written, written_at,
+    ascii_lower, drop_written, let, packed, shingles, small_side, text_or_empty, window_hashes, words, written, written_at,
 )
 
 WIDTH = 5
@@ -237,7 +237,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark item, all columns unchanged."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
-    # the whole row in one column: no name of the user's can clash with those used here
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     own = F.col("row")["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row")["text"]) == F.col("key"))
-    return packed.join(bad, own, "left_anti").select("row.*")
+    return packed(docs).join(bad, own, "left_anti").select("row.*")

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import ascii_lower, drop_written, let, shingles, small_side, text_or_empty, words, written, written_at
+from perigee.llm.common import ascii_lower, drop_written, let, packed, shingles, small_side, text_or_empty, words, written, written_at
 from perigee.llm.components import components
 
 WIDTH = 5
@@ -388,10 +388,8 @@ def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80, probes: int =
     """The document with the least doc_id of each component, all columns unchanged."""
     kept = near_rows(docs, threshold_pct, probes=probes).where("kept")
     kept = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.count(F.lit(1)).alias("many"))
-    # the whole row in one column: no name of the user's can clash with those used here
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     own = F.xxhash64(F.col("row")["text"]) == F.col("key")
-    stay = packed.join(kept, F.col("row")["doc_id"].eqNullSafe(F.col("id")) & own, "inner")
+    stay = packed(docs).join(kept, F.col("row")["doc_id"].eqNullSafe(F.col("id")) & own, "inner")
     once = stay.where((F.col("many") == 1) | F.col("id").isNull()).select("row.*")
     again = stay.where((F.col("many") > 1) & F.col("id").isNotNull())
     again = again.groupBy("id", F.col("row")["text"].alias("text")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))

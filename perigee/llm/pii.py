@@ -8,16 +8,19 @@
    its top domain, and one domain always becomes the same domain; an address stays a valid
    address; a phone keeps its country code; a card keeps its first digit and its Luhn validity;
    a person keeps the titles, and the name keeps gender and script.  The gender is that of the
-   titles or else of a known given name, or neutral; an IPv6 address keeps its zero groups.
+   titles or else of a known given name, or neutral; an IPv6 address keeps its zero groups.  Family names
+   have surrogates of their own, so "Mr Smith", "Dr. Smith" and "Mr John Smith" stay of one name.
 3. Collision check over all distinct entities: a surrogate must differ from those of all other
    entities and from every entity that occurs in the corpus.  Losers (all but the least canonical
    form) try again with the next attempt; after ``ATTEMPTS`` tries an entity takes a tag with its
    digest.  So distinct entities stay distinct, and mentions of one entity (also in another
    case, or with other separators) stay one.
+   A later attempt has more to choose from (another syllable, another given name behind a hyphen).
 4. Texts are put together again from the pieces between matches and the surrogates.
 
 Entities are made distinct before the shuffle, so a frequent entity is one row; texts without
-entities are never shuffled.  Null and empty texts stay as they are; null doc_ids and repeated
+entities are never shuffled.  Repeats in the patterns are bounded: of a mail domain of over 65 parts the first 65 are
+the address, of more than five titles in a row the last five belong to the person.  Null and empty texts stay as they are; null doc_ids and repeated
 rows are each rewritten; an empty table gives an empty result; other columns pass untouched
 (``surrogate_pii``; ``n_chars``, where present, follows the new text).
 """
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.common import ascii_lower, let, written
+from perigee.llm.common import ascii_lower, let, packed, written
 
 ATTEMPTS = 8
 KEY = "surrogate-key"
@@ -67,13 +70,14 @@ ALPHABETS = [
 ]
 
 ONE_TITLE = "(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\.?"
-TITLE = f"{ONE_TITLE}(?: {ONE_TITLE})*"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+# bounded repeats: the regex engine recurses through unbounded groups and would overflow its stack
+TITLE = f"{ONE_TITLE}(?: {ONE_TITLE}){{0,4}}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,63}\.\p{L}{2,}"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\p{N}|\.\d)"
 GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
 IPV6 = (
     r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
-    r"|(?=[0-9A-Fa-f:]*(?:\d|[A-Fa-f]:[A-Fa-f]))" + GROUPS + "::" + GROUPS + r")(?![\p{L}\p{N}:]|\.\d)"  # a::b alone is a name
+    r"|(?=[0-9A-Fa-f:]{0,80}(?:\d|[A-Fa-f]:[A-Fa-f]))" + GROUPS + "::" + GROUPS + r")(?![\p{L}\p{N}:]|\.\d)"  # a::b alone is a name
 )
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
 PHONE = (
@@ -87,7 +91,8 @@ SECRET = (
     r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![\p{L}\p{N}])"
     r"""|(?<=\b(?i:token|secret|password|passwd|api[_-]?key)["']?\s{0,2}[:=]\s{0,2}["']?)[A-Za-z0-9+/_-]{8,}"""
 )
-PERSON = r"(?<!\p{L})" + TITLE + r" \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
+NO_TITLE = "(?!(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")(?!\p{L}))"  # a title is no name
+PERSON = r"(?<!\p{L})" + TITLE + " " + NO_TITLE + r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 ENTITY = "|".join([EMAIL, SECRET, IPV4, IPV6, SSN, PHONE, IBAN, CARD, PERSON])
 HINT = r"[@0-9]|::|(?i:token|secret|passw|api[_-]?key)|(?<!\p{L})" + TITLE + " "
 
@@ -175,8 +180,8 @@ def luhn_sum(number: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
-    """Canonical form of the surrogate of an entity."""
+def surrogate(kind: Column, canon: Column, attempt: int, key: str, family: Column) -> Column:
+    """Canonical form of the surrogate of an entity; ``family`` is the surrogate of a person's family name."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt)))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
@@ -241,13 +246,14 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     )
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), swapped(F.substr(canon, F.lit(3)), seed))
     name = F.substr(canon, F.lit(3))
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    script = lambda s: F.when(s.rlike(r"\p{IsCyrillic}"), "cyrillic").when(s.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given_of = F.create_map(*[x for k, v in GIVEN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     parts_of = F.create_map(*[x for k, v in SYLLABLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     pick = lambda a, i: F.get(a, (keyed(seed, F.lit(i)) % F.size(a)).cast("int"))
-    syllables = parts_of[script]
-    family = F.initcap(F.concat(*[pick(syllables, i) for i in range(4)]))
-    given = pick(given_of[F.concat(script, F.lit("_"), F.substr(canon, F.lit(1), F.lit(1)))], 9)
+    # a later attempt has more to choose from: one more syllable, one more given name behind a hyphen
+    new_family = F.initcap(F.concat(*[pick(parts_of[script(canon)], i) for i in range(4 + attempt)]))
+    names = given_of[F.concat(script(name), F.lit("_"), F.substr(canon, F.lit(1), F.lit(1)))]
+    given = F.concat_ws("-", *[pick(names, 9 + i) for i in range(1 + attempt)])
     person = F.concat(
         F.substr(canon, F.lit(1), F.lit(2)), F.when(name.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
     )
@@ -261,6 +267,7 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
         .when(kind == "card", card)
         .when(kind == "iban", iban)
         .when(kind == "person", person)
+        .when(kind == "family", new_family)
         .otherwise(swapped(canon, seed))
     )
 
@@ -314,55 +321,71 @@ def rendered(kind: Column, raw: Column, new: Column) -> Column:
 
 
 def assigned(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:
-    """(kind, canon, new) for distinct ``entities`` (kind, canon): the collision check."""
+    """(kind, canon, new) for distinct ``entities`` (kind, canon).
+
+    Family names get their surrogates first and each person then takes that of their family, so mentions of
+    one family under several titles or given names keep one name."""
+    person = F.col("kind") == "person"
+    named = entities.withColumn("own", F.when(person, F.substring_index(F.substr("canon", F.lit(3)), " ", -1)))
+    named = written(named, "pii-entities")
+    families = named.where(person).select(F.lit("family").alias("kind"), F.col("own").alias("canon")).distinct()
+    families = _distinct_surrogates(families.withColumn("family", F.lit(None).cast("string")), key, attempts)
+    families = families.select(F.col("canon").alias("own"), F.col("new").alias("family"))
+    return _distinct_surrogates(named.join(families, "own", "left").select("kind", "canon", "family"), key, attempts)
+
+
+def _distinct_surrogates(entities: DataFrame, key: str, attempts: int) -> DataFrame:
+    """(kind, canon, new) of ``entities`` (kind, canon, family): the collision check."""
     entities = written(entities, "pii-entities")
     todo, done = entities, None
     for attempt in range(attempts):
-        tried = todo.withColumn("new", surrogate(F.col("kind"), F.col("canon"), attempt, key))
+        tried = todo.withColumn("new", surrogate(F.col("kind"), F.col("canon"), attempt, key, F.col("family")))
         used = entities.select("kind", F.col("canon").alias("new"))
         if done is not None:
             used = used.unionByName(done.select("kind", "new"))
         used = used.distinct().withColumn("used", F.lit(True))
         tried = tried.withColumn("place", F.expr("row_number() OVER (PARTITION BY kind, new ORDER BY canon)"))
         tried = tried.join(used, ["kind", "new"], "left").select(
-            "kind", "canon", "new", (F.col("used").isNull() & (F.col("place") == 1)).alias("free")
+            "kind", "canon", "family", "new", (F.col("used").isNull() & (F.col("place") == 1)).alias("free")
         )
         tried = written(tried, "pii-surrogates")
-        good = tried.where("free").drop("free")
+        good = tried.where("free").select("kind", "canon", "new")
         done = good if done is None else done.unionByName(good)
-        todo = tried.where(~F.col("free")).select("kind", "canon")
+        todo = tried.where(~F.col("free")).select("kind", "canon", "family")
         if todo.isEmpty():
             return done
     tag = F.concat(F.lit("<"), F.col("kind"), F.lit("-"), F.md5(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("canon"))), F.lit(">"))
-    return done.unionByName(todo.withColumn("new", tag))
+    return done.unionByName(todo.select("kind", "canon", tag.alias("new")))
 
 
 def rewritten(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``__kinds`` (kind of each entity replaced; empty if none)."""
-    text = F.col("text")
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(
-        F.array().cast("array<string>")
+    """(row, kinds): the rows of ``docs`` with ``text`` rewritten, and the kind of each entity replaced (empty if
+    none).  Texts are searched once and written with what was found."""
+    text = F.col("row")["text"]
+    none = F.array().cast("array<string>")
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
+    spotted = written(packed(docs).select("row", F.coalesce(found, none).alias("found")), "pii-found")
+    plain = spotted.where(F.size("found") == 0).select("row", none.alias("kinds"))
+    private = spotted.where(F.size("found") > 0).select(
+        "row", "found", F.col("row")["doc_id"].alias("id"), F.md5(text).alias("text_key")
     )
-    found = F.coalesce(found, F.array().cast("array<string>"))
-    spotted = docs.withColumn("__found", found)
-    plain = spotted.where(F.size("__found") == 0).withColumn("__kinds", F.array().cast("array<string>")).drop("__found")
-    private = spotted.where(F.size("__found") > 0).withColumn("__key", F.md5(text))
     mentions = (
-        private.select("doc_id", "__key", F.posexplode("__found").alias("pos", "raw"))
+        private.select("id", "text_key", F.posexplode("found").alias("pos", "raw"))
         .withColumn("kind", kind_of(F.col("raw")))
         .withColumn("canon", canonical(F.col("kind"), F.col("raw")))
     )
+    mentions = written(mentions, "pii-mentions")
     mapping = assigned(mentions.select("kind", "canon").distinct(), key)
     news = (
         mentions.join(mapping, ["kind", "canon"])
         .withColumn("out", rendered(F.col("kind"), F.col("raw"), F.col("new")))
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("__key").alias("__key2"))
-        .agg(F.array_sort(F.collect_set(F.struct("pos", "out", "kind"))).alias("__news"))
+        .groupBy(F.col("id").alias("id2"), F.col("text_key").alias("key2"))
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "out", "kind"))).alias("news"))
     )
     pieces = F.split(text, ENTITY)
-    joined = private.join(news, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__key2")))
+    joined = private.join(news, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text_key") == F.col("key2")))
     new_text = let(
-        F.struct(pieces.alias("p"), F.col("__news").alias("n")),
+        F.struct(pieces.alias("p"), F.col("news").alias("n")),
         lambda x: F.array_join(
             F.transform(
                 x.getField("p"),
@@ -371,25 +394,23 @@ def rewritten(docs: DataFrame, key: str = KEY) -> DataFrame:
             "",
         ),
     )
-    changed = joined.withColumn("text", new_text).withColumn("__kinds", F.col("__news.kind"))
-    return plain.unionByName(changed.select(*plain.columns))
+    return plain.unionByName(joined.select(F.col("row").withField("text", new_text).alias("row"), F.col("news.kind").alias("kinds")))
 
 
 def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text (rewritten), n_entities, kinds (sorted, distinct)."""
     return rewritten(docs.select("doc_id", "text"), key).select(
-        "doc_id",
-        "text",
-        F.size("__kinds").cast("bigint").alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct("__kinds")), ",").alias("kinds"),
+        "row.doc_id",
+        "row.text",
+        F.size("kinds").cast("bigint").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"),
     )
 
 
 def surrogate_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``n_chars`` follows, other columns stay."""
-    out = rewritten(docs, key)
+    out, row = rewritten(docs, key), F.col("row")
     if "n_chars" in docs.columns:
-        out = out.withColumn(
-            "n_chars", F.when(F.size("__kinds") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-        )
-    return out.select(*docs.columns)
+        length = F.length(row["text"]).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("row", row.withField("n_chars", F.when(F.size("kinds") > 0, length).otherwise(row["n_chars"])))
+    return out.select("row.*")
