@@ -157,16 +157,18 @@ def block_links(threshold_pct: int):
     return run
 
 
-def block_likely(least_pct: int):
-    """For a group (key, cls, sketch) of at most ``BLOCK`` members: those whose sketch shares at least ``least_pct``
-    percent of its values with another's, which any pair with such a union-sketch estimate does."""
+def block_likely(threshold_pct: int, margin_pct: int):
+    """For a group (key, cls, sketch) of at most ``BLOCK`` members: those whose sketch shares so many of its values with
+    another's as a linked pair's does, but for ``margin_pct`` points or, if that is more, five deviations of the estimate."""
 
     def run(group: pa.Table) -> pa.Table:
         sketches = group["sketch"].combine_chunks()
         sizes = sketches.value_lengths().to_numpy()
         common = _shared(np.repeat(np.arange(len(sizes)), sizes), sketches.flatten().to_numpy(), len(sizes))
         np.fill_diagonal(common, 0)
-        likely = (100 * common >= least_pct * np.maximum(sizes[:, None], sizes[None, :])) & (common > 0)
+        larger = np.maximum(sizes[:, None], sizes[None, :])
+        margin = np.maximum(margin_pct, 5 * np.sqrt(threshold_pct * (100 - threshold_pct) / np.maximum(larger, 1)))
+        likely = (100 * common >= (threshold_pct - margin) * larger) & (common > 0)
         return group.select(["key", "cls"]).filter(pa.array(likely.any(axis=1)))
 
     return run
@@ -202,7 +204,7 @@ def links(
             long_values = members.select("cls")
         else:
             over = written(over.select("key", "cls"), "neardup-over")
-            rare, rest = _by_rare_values(over.select("cls").distinct(), classes, block)
+            rare, rest = _by_rare_values(over.select("cls").distinct(), classes, probes, block)
             pairs.append(_pairs(rare.where(F.col("many") <= small), threshold_pct).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("lists")))
             meets.append(rare.where(F.col("many") > small).select("key", "cls"))
             families = _families(over.join(rest, "cls"), block)
@@ -243,7 +245,7 @@ def _met(meet: DataFrame, sketches: DataFrame, docs_sets, threshold_pct: int, ma
     partner there, the full sets of these decide."""
     known = sketches.join(small_side(meet.select("cls").distinct()), "cls", "left_semi")
     near = known.join(meet, "cls").select("key", "cls", "sketch").groupBy("key")
-    likely, path = written_at(near.applyInArrow(block_likely(threshold_pct - margin_pct), "key bigint, cls bigint"), "neardup-likely")
+    likely, path = written_at(near.applyInArrow(block_likely(threshold_pct, margin_pct), "key bigint, cls bigint"), "neardup-likely")
     sets = docs_sets(likely.select("cls").distinct())
     groups = sets.join(small_side(likely), "cls").select("key", "cls", "sh").groupBy("key")
     out = written(groups.applyInArrow(block_links(threshold_pct), "c1 bigint, c2 bigint").distinct(), "neardup-links")
@@ -251,9 +253,10 @@ def _met(meet: DataFrame, sketches: DataFrame, docs_sets, threshold_pct: int, ma
     return out
 
 
-def _by_rare_values(over: DataFrame, classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _by_rare_values(over: DataFrame, classes: DataFrame, probes: int, block: int) -> tuple[DataFrame, DataFrame]:
     """For the members (cls) of lists that are too long: (key, cls, n, many), the lists of their rare values, and (cls),
-    those that have few rare values."""
+    those that have few rare values.  A sketch that is neither the whole set nor deeper than the probes says nothing
+    about rare values: its member stays with the families."""
     values = classes.join(small_side(over), "cls", "left_semi").select("cls", "n", F.explode("sketch").alias("val"))
     many = values.groupBy("val").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") <= block)
     rare = F.struct("val", "many")
@@ -265,11 +268,12 @@ def _by_rare_values(over: DataFrame, classes: DataFrame, block: int) -> tuple[Da
     )
     held = written(held, "neardup-rare")
     share = 100 * F.col("rare")
-    listed = held.where(share >= RARE_LOW * F.col("size")).select("cls", "n", F.explode(F.slice("vals", 1, RARE)).alias("v"))
+    known = (F.col("size") > probes) | (F.col("size") == F.col("n"))
+    listed = held.where(known & (share >= RARE_LOW * F.col("size"))).select("cls", "n", F.explode(F.slice("vals", 1, RARE)).alias("v"))
     lists = listed.select(F.xxhash64(F.lit("rare"), "v.val").alias("key"), "cls", "n")
     # members that list a value: fewer than hold it
     there = lists.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    return written(lists.join(there, "key"), "neardup-lists"), held.where(share < RARE_HIGH * F.col("size")).select("cls")
+    return written(lists.join(there, "key"), "neardup-lists"), held.where(~known | (share < RARE_HIGH * F.col("size"))).select("cls")
 
 
 def _to_least(lists: DataFrame) -> DataFrame:
