@@ -1,10 +1,11 @@
 """Operator 7, toxicity: a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, other).  Three small
-transducers rewrite the symbol string of a clause: negation marks insults and threats in its
+Words become symbols (insult, threat, target, negation, reported speech, quotation mark, comma, other).
+Small transducers rewrite the symbol string of a clause: negation marks insults and threats in its
 scope, reported speech marks those it quotes, and the target transducer finds an insult beside a
 person addressed and a threat against one.  They are composed into one machine, so a clause costs
-one table step per word.  The outputs of a clause say which patterns it matched; a document's
+one table step per word; clauses with a word of reporting are first read backwards by one more machine,
+for speech that stands before it ("...", she said).  The outputs of a clause say which patterns it matched; a document's
 features are the numbers of its clauses by pattern, and a logistic weight per pattern, learned
 from the training rows, gives the score.
 
@@ -14,9 +15,9 @@ Learning uses only rows with crc32(doc_id as text) mod 5 <> 0:
   of texts) as in the others (below ``STRONG_LIFT`` they are slights, with a weight of their
   own); near copies, which share the least 3-word hash, count as one text;
   fitted on at most ``SAMPLE`` rows of each label;
-* weights: all training rows are counted by (features, label) in Spark; feature counts stop at
-  ``TOP``, so the collected table has at most (TOP + 1) ** 7 * 2 rows, and Newton's method
-  fits it exactly.
+* weights: all training rows are counted by (features, label) in Spark; a feature is the binary logarithm
+  of 1 + its count, rounded down, so many matches weigh more than few and the collected table grows with the
+  logarithm of the longest text, not with the rows; Newton's method fits it exactly.
 The score sees nothing but the text.
 
 Null and empty texts have no clause and get the score of a text without matches; null doc_ids
@@ -52,15 +53,16 @@ behauptete dit disait écrit déclaré dijo dice escribió""".split()
 
 FEATURES = ("insult", "slight", "aimed", "negated", "reported", "threat", "loose")
 SCOPE = 3  # words that a negation or an address reaches
-TOP = 3
 MIN_SHARE = 0.006
 MIN_TEXTS = 5
 MIN_LIFT = 20
 STRONG_LIFT = 400
 SAMPLE = 5000
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"'“”„«»,]")
+MARKS = dict.fromkeys("\"'“”„«»", "Q") | {",": "C"}
+# a clause ends at a stop, but not at one right before a closing quotation mark; a colon does not end it
+CLAUSE = re.compile(r"(?:[.!?;]+(?![\"'”».!?;])|\n)+")
 
 
 class Transducer:
@@ -105,8 +107,35 @@ def negation() -> Transducer:
 
 
 def reported_speech() -> Transducer:
-    """I, J, T anywhere after R in the clause become r (reported)."""
-    return Transducer(False, lambda on, s: (True, "W") if s == "R" else (on, "r" if on and s in "IJT" else s))
+    """I, J, T after R become r (reported): to the end of the quotation that follows R, or of the clause."""
+
+    def step(state, s):
+        if s == "R":
+            return (state if state == "quoted" else "named"), "W"
+        if s == "Q":
+            return {"named": "quoted", "quoted": "off"}.get(state, "off"), s
+        return state, "r" if state != "off" and s in "IJT" else s
+
+    return Transducer("off", step)
+
+
+def reported_before() -> Transducer:
+    """As ``reported_speech`` for speech that stands before its R; reads a clause backwards.  R must follow a
+    quotation mark or a comma within ``SCOPE`` words; a quotation ends at its other mark."""
+
+    def step(state, s):
+        where, left = state
+        if s == "R" and where == "off":
+            return ("near", SCOPE), "W"
+        if where == "near":
+            if s in "QC":
+                return ("quoted" if s == "Q" else "open", 0), s
+            return (("near", left - 1) if left else ("off", 0)), s
+        if s == "Q" and where == "quoted":
+            return ("off", 0), s
+        return state, "r" if where != "off" and s in "IJT" else s
+
+    return Transducer(("off", 0), step)
 
 
 def target() -> Transducer:
@@ -125,7 +154,9 @@ def target() -> Transducer:
     return Transducer((0, 0, 0), step)
 
 
-MACHINE = negation().then(reported_speech()).then(target()).table("IJTYNRW")
+SYMBOLS = "IJTYNRWQC"
+BACKWARDS = reported_before().table(SYMBOLS)
+MACHINE = negation().then(reported_speech()).then(target()).table(SYMBOLS + "r")
 OUTPUT = {"I": 0, "J": 1, "A": 2, "n": 3, "r": 4, "K": 5, "T": 6}
 
 
@@ -133,7 +164,7 @@ def symbols_of(learned: dict[str, bool]) -> dict[str, str]:
     """Symbol of each word; learned: word -> whether it is a strong insult."""
     classes = [("J", learned), ("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS), ("I", INSULTS)]
     out = {w: s for s, ws in classes for w in ws}
-    return out | {w: "I" for w, strong in learned.items() if strong}
+    return out | {w: "I" for w, strong in learned.items() if strong} | MARKS
 
 
 def clause_counts(text: str, symbols: dict[str, str], trigger: re.Pattern) -> list[int]:
@@ -145,9 +176,16 @@ def clause_counts(text: str, symbols: dict[str, str], trigger: re.Pattern) -> li
     for clause in CLAUSE.split(low):
         if not trigger.search(clause):
             continue
+        string = [symbols.get(w, "W") for w in WORD.findall(clause)]
+        if "R" in string:
+            state = 0
+            for i in range(len(string) - 1, -1, -1):
+                state, out = BACKWARDS[state, string[i]]
+                # R stays for the forward machine
+                string[i] = "R" if string[i] == "R" else out
         state, seen = 0, set()
-        for w in WORD.findall(clause):
-            state, out = MACHINE[state, symbols.get(w, "W")]
+        for s in string:
+            state, out = MACHINE[state, s]
             if out in OUTPUT:
                 seen.add(out)
         if "A" in seen:
@@ -239,14 +277,15 @@ def fit(rows: list[tuple[list[int], int, int]], ridge: float = 1.0, rounds: int
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the clause counts of every document."""
     found = written(features(docs, learned_insults(docs, labels)), "toxicity")  # read by the fit and by the scores
-    capped = [F.least(F.col(f), F.lit(TOP)).alias(f) for f in FEATURES]
+    # the number of binary digits of 1 + count, less one: exact for every count
+    binned = [(F.length(F.bin(F.col(f) + 1)) - 1).alias(f) for f in FEATURES]
     train = labels.where(remainder() != 0).where("toxic IN (0, 1)").select("doc_id", "toxic")
-    table = found.join(train, "doc_id").select(*capped, "toxic").groupBy(*FEATURES, "toxic").count().collect()
+    table = found.join(train, "doc_id").select(*binned, "toxic").groupBy(*FEATURES, "toxic").count().collect()
     rows = [([r[f] for f in FEATURES], r["toxic"], r["count"]) for r in table]
     if {r[1] for r in rows} == {0, 1}:
         w = fit(rows)
         z = F.lit(float(w[0]))
-        for f, v in zip(capped, w[1:]):
+        for f, v in zip(binned, w[1:]):
             z = z + f * F.lit(float(v))
         score = 1 / (1 + F.exp(-z))
     else:

@@ -471,9 +471,48 @@ def test_op7_grammar():
     assert nonzero("He said it was stupid") == {"reported": 1}
     assert nonzero("I will kill you") == {"threat": 1}
     assert nonzero("They kill time") == {"loose": 1}
+    # reported speech before and after its word, over a colon and in quotation marks
+    assert nonzero("he said: you are an idiot") == {"reported": 1}
+    assert nonzero("'you are an idiot', she said") == {"reported": 1}
+    assert nonzero('"You are an idiot!" she said.') == {"reported": 1}
+    assert nonzero("you are an idiot, she wrote") == {"reported": 1}
+    assert nonzero('he told me "you idiot" but you are scum') == {"reported": 1, "aimed": 1}
+    assert nonzero("You idiot. She said nothing") == {"aimed": 1}
+    assert nonzero("She said so. You moron") == {"aimed": 1}
     assert nonzero("A fine day") == {}
 
 
+def test_op7_many_matches_weigh_more(spark):
+    """No count is cut off: a score keeps rising with the number of matches (of a feature that learned a weight)."""
+    from perigee.llm import toxicity as tox
+
+    rows = [(i, "You are an idiot. " * (1 + i % 3) if i % 2 else "A fine day.") for i in range(200)]
+    rows += [(1000 + k, "You are an idiot. " * (2 ** (k + 1) - 1)) for k in range(10)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in tox.toxicity_scores(d, labels).collect()}
+    scores = [got[1000 + k] for k in range(10)]
+    assert all(a < b for a, b in zip(scores, scores[1:]))
+
+
+def test_op7_against_a_plain_reading(spark):
+    """Scores of a table recomputed from the clause counts by the logistic function alone."""
+    from perigee.llm import toxicity as tox
+
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    learned = tox.learned_insults(docs, labels)
+    symbols = tox.symbols_of(learned)
+    trigger = re.compile("|".join(re.escape(w) for w, s in symbols.items() if s in "IJT"))
+    counts = {d: tox.clause_counts(t or "", symbols, trigger) for d, t, *_ in _table(SF_MID, "documents")}
+    train = [(counts[d], t) for d, _, t in _table(SF_MID, "labels") if zlib.crc32(str(d).encode()) % 5 and d in counts]
+    grouped = Counter((tuple(int(math.log2(1 + c)) for c in cs), t) for cs, t in train)
+    w = tox.fit([(list(f), t, n) for (f, t), n in grouped.items()])
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op7_toxicity"](spark, SF_MID).collect()}
+    for d, cs in counts.items():
+        z = w[0] + sum(int(math.log2(1 + c)) * v for c, v in zip(cs, w[1:]))
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
 # -- 8 ---------------------------------------------------------------------------------------
 
 
