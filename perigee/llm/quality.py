@@ -247,5 +247,5 @@ def keep_clean(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     carried = docs.select(
         F.struct(*own).alias("__row"), *[F.col(c) for c in ("text", "lang", "source")]
     )
-    counts = base_counts(carried, ["__row", "lang", "source"])
+    counts = written(base_counts(carried, ["__row", "lang", "source"]), "quality")  # read twice, texts are counted once
     return judge(counts, min_group).where("kept").select("__row.*")
