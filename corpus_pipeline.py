@@ -21,22 +21,31 @@ NEAR_PCT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents inside the limits of their (lang, source) group; null, empty and blank texts fail, repeated
+    rows are judged each, an empty table stays empty, other columns pass untouched."""
     return quality.keep_clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near copies, one row of equal id and text; a row without
+    an id stays only where no equal text has one; texts without words are linked with nothing and stay."""
     return neardup.drop_near_duplicates(docs, NEAR_PCT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window like a benchmark item; texts and items without words match nothing, an empty
+    benchmark drops nothing, repeated rows are judged each."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, entities in their texts replaced; ``n_chars`` follows the new text; null and empty texts stay
+    as they are, repeated rows become equal rows."""
     return pii.surrogate_pii(docs)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and sampled piece ids of every row; null and empty texts have no pieces, repeated rows get equal ones."""
     return pieces.sampled_encoding(docs, pieces.Vocabulary.load())
 
 
