@@ -19,8 +19,8 @@ no words: empty, linked with nothing), held as 64-bit hashes of one function.
      their members are listed again under pairs of long-list values.  Members of pair lists that are still
      long look at their whole sketch: a value that at most ``BLOCK`` of these members hold is rare.  Linked
      sketches differ in few values, so the shares of rare ones differ little.  Members with a share of at
-     least ``RARE_LOW`` percent are listed under their ``RARE`` least rare values, which texts that only have a
-     passage in common do not share; members under ``RARE_HIGH`` percent, near copies of each other above all,
+     least ``RARE_LOW`` percent are listed under as many of their least rare values as in the first lists, which
+     texts that only have a passage in common do not share; members under ``RARE_HIGH`` percent, near copies of each other above all,
      are joined into families with all they share a long list with (between the two, both).  A family
      falls into half blocks by hash.
      First each of them meets the family's pivots, the half block of number 0; what these links
@@ -36,7 +36,7 @@ Nothing is capped: every list is paired, met in blocks or split further.  A link
 s >= 0.85 can be missed only by chance of the hash: if the two share fewer than two of 8 least values
 (under 1e-5 at s = 0.85, or at s = 0.8 with 10 values; falling fast with s), or if the estimate (K = 64, deviation 0.045) errs by
 more than ``MARGIN_PCT`` = 25 points (5 deviations); in families also if the rare shares of the two sketches differ by
-40 points (at s = 0.8 some 9 +- 3 of 64 values differ) or if they share fewer than two of 16 rare values.
+40 points (at s = 0.8 some 9 +- 3 of 64 values differ) or if they share fewer than two of their listed rare values.
 
 A null doc_id joins the class of its text: its component_id is null only where no equal text has
 an id, and it is kept only then.  Repeated rows are returned each (``drop_near_duplicates`` keeps
@@ -59,7 +59,6 @@ PROBES = 8
 SMALL = 16
 BLOCK = 512
 MARGIN_PCT = 25
-RARE = 16
 RARE_LOW, RARE_HIGH = 30, 70
 
 
@@ -269,7 +268,7 @@ def _by_rare_values(over: DataFrame, classes: DataFrame, probes: int, block: int
     held = written(held, "neardup-rare")
     share = 100 * F.col("rare")
     known = (F.col("size") > probes) | (F.col("size") == F.col("n"))
-    listed = held.where(known & (share >= RARE_LOW * F.col("size"))).select("cls", "n", F.explode(F.slice("vals", 1, RARE)).alias("v"))
+    listed = held.where(known & (share >= RARE_LOW * F.col("size"))).select("cls", "n", F.explode(F.slice("vals", 1, probes)).alias("v"))
     lists = listed.select(F.xxhash64(F.lit("rare"), "v.val").alias("key"), "cls", "n")
     # members that list a value: fewer than hold it
     there = lists.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
