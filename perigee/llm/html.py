@@ -11,7 +11,9 @@
    it are template text and go, the others stay, whether or not the page marks an article.  Lines
    that an element marks as content stay even if shared (two articles may quote the same passage),
    lines marked otherwise go even if not shared.  A class, id or role of an article or main element
-   itself (``main.has-sidebar``) says nothing about its lines.
+   itself (``main.has-sidebar``) says nothing about its lines.  Below an article or main, a ``header`` and a
+   class that is no furniture throughout (``social-history``, ``legal``) are in doubt: their lines go only
+   where they are shared, as the unmarked do.
    Where everything unmarked and everything marked as content is shared (a copy of the page),
    differencing says nothing and the unmarked lines stay.
 
@@ -54,6 +56,9 @@ NAMES = re.compile(
     r"nav|navigation|navbar|menu|breadcrumbs?|sidebar|widget|related|share|sharing|social|comments?|respond|reply|replies|"
     r"disqus|footer|header|masthead|toolbar|pagination|pager|search|login|signup|skip|legal|copyright)(?![a-z])"
 )
+# Words that only say how a piece of furniture is laid out, and names that an article's own parts bear too.
+LAYOUT = frozenset("area bar block body box button buttons container content form group icons inner item items link links list module panel post posts section slot top bottom left right unit wrap wrapper".split())
+DOUBTFUL = frozenset("header notice menu social search skip legal copyright banner login signup reply replies toolbar".split())
 TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|"
@@ -61,16 +66,28 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+BARE_SLASH = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash ends an unquoted value, not the tag
 WHITE = re.compile(r"\s+")
 
 CONTENT_LINE, OPEN_LINE, FURNITURE_LINE = 2, 1, 0
 
 
+def surely_furniture(marks: str) -> bool:
+    """Whether one of the names is furniture throughout (``ad-slot``, ``comments``), not in part or in doubt."""
+    for name in marks.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        named = [x for x in parts if NAMES.fullmatch(x)]
+        if set(named) - DOUBTFUL and all(x in LAYOUT or x in named for x in parts):
+            return True
+    return False
+
+
 def lines_of(html: str) -> list[tuple[str, int]]:
     """(text, place) of the blocks of a page in order; the place is one of the three constants."""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []  # element, place inside it
+    articles = 0  # open elements that mark content
     place = OPEN_LINE
 
     def flush() -> None:
@@ -103,6 +120,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                     outside = stack[k - 1][1] if k else OPEN_LINE
                     if outside != place:
                         flush()
+                    articles -= sum(e in CONTENT for e, _ in stack[k:])
                     del stack[k:]
                     place = outside
                     break
@@ -113,7 +131,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             if stack and stack[-1][0] == other:
                 stack.pop()
                 place = stack[-1][1] if stack else OPEN_LINE
-        if name in VOID or rest.endswith("/"):
+        if name in VOID or (rest.endswith("/") and not BARE_SLASH.search(rest)):
             continue
         if name in SKIP:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -121,13 +139,17 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             continue
         marks = " ".join(v for a in ATTRIBUTE.finditer(rest) for v in a.groups()[1:] if v).lower()
         named = marks and name not in ROOTS and name not in CONTENT and NAMES.search(marks)
-        if place == FURNITURE_LINE or name in FURNITURE or named or HIDDEN.search(rest):
+        element = name in FURNITURE and not (articles and name == "header")
+        if place == FURNITURE_LINE or element or HIDDEN.search(rest) or (named and (not articles or surely_furniture(marks))):
             inside = FURNITURE_LINE
+        elif named or name == "header":
+            inside = OPEN_LINE
         else:
             inside = CONTENT_LINE if name in CONTENT else place
         if inside != place:
             flush()
         stack.append((name, inside))
+        articles += name in CONTENT
         place = inside
     flush()
     return out

@@ -243,6 +243,57 @@ def test_op4_roles():
     assert text('<body class="nav-open"><p title="a>b">t</p><a href="x>u</a>v') == ["t", "uv"]
 
 
+def test_op4_parts_of_an_article_in_doubt(spark):
+    page = lambda k, own: (
+        f"<header><h1>Site</h1></header><article data-u=/a/{k}/><header class='post-header'><h1>{own} headline</h1><p>Shared strap</p></header>"
+        f"<div class='social-history'>{own} social history</div><p class=legal>{own} on the law</p><p class='legal'>All rights</p>"
+        f"<div class='ad-slot'>{own} advert</div><div id='comments-list'>{own} comment</div><nav>{own} links</nav><p>{own} body</p></article><br/>"
+    )
+    rows = [(1, "http://h.x/a/1", page(1, "First")), (2, "http://h.x/a/2", page(2, "Second"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = ["{} headline", "{} social history", "{} on the law", "{} body"]
+    assert got == {k: "\n\n".join(w.format(own) for w in want) for k, own in ((1, "First"), (2, "Second"))}
+    # after the article's end such names are furniture again, whatever was left open in it
+    ls = html.lines_of("<article><div><section><p>text</article><p class='legal'>all rights</p><header>site</header>")
+    assert [p for _, p in ls] == [html.CONTENT_LINE, html.FURNITURE_LINE, html.FURNITURE_LINE]
+
+
+def _longest_common(a, b):
+    """Length of a longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_op4_whole_table_without_marks(spark):
+    """No element says what it is: differencing alone, against whole tables of common lines and pairs by sorted URLs."""
+    strip = lambda h: re.sub(r"</?(?:article|main|head|header|footer|nav|aside|form)\b[^>]*>", "<div>", re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", "", h or ""))
+    pages = [(p, u, strip(h)) for p, u, h, *_ in _table(SF, "pages")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    keys = {r["page_id"]: r["page_key"] for r in html._keyed(df).collect()}
+    near = {r["page_key"]: r["near_key"] for r in html.nearest_pages(html._keyed(df)).collect()}
+    lines = {p: [t for t, _ in html.lines_of(h)] for p, _, h in pages}
+    by_key = {keys[p]: lines[p] for p in lines}
+    gone = 0
+    for p, own in lines.items():
+        left = got[p].split("\n\n") if got[p] else []
+        other = by_key.get(near.get(keys[p]))
+        common = _longest_common(own, other) if other else 0
+        if other and common == len(own):
+            assert left == own  # a copy tells nothing
+            continue
+        assert len(left) == len(own) - common
+        at = iter(own)
+        assert all(x in at for x in left)  # in page order
+        gone += common
+    assert gone > 0
+
+
 def test_op4_nearest_pages(spark):
     urls = ["http://h.x/a/1", "http://h.x/a/12", "http://h.x/b/1", "https://g.x/a/1", "http://h.x/a/1?q=2"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_key bigint, url string")
