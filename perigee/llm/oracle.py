@@ -78,7 +78,7 @@ u AS (SELECT *, SUM(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bu
       SUM(n) OVER (PARTITION BY level, lang, source, ratio) AS docs FROM g),
 q AS (SELECT level, lang, source, ratio, any_value(margin) AS margin, any_value(docs) AS docs,
       MIN(bucket) FILTER (WHERE 4 * upto >= docs) AS q25, MIN(bucket) FILTER (WHERE 4 * upto >= 3 * docs) AS q75 FROM u GROUP BY 1, 2, 3, 4),
-m AS (SELECT *, greatest({quality.REACH} * (q75 - q25), margin) AS span FROM q WHERE level = 2 OR docs >= {quality.MIN_GROUP}),
+m AS (SELECT *, greatest({quality.REACH} * (q75 - q25), q75 >> 3, margin) AS span FROM q WHERE level = 2 OR docs >= {quality.MIN_GROUP}),
 j AS (SELECT r.doc_id, bool_and(r.v BETWEEN x.q25 - x.span AND x.q75 + x.span) AS inside
       FROM (SELECT r.*, coalesce(m0.level, m1.level, 2) AS level FROM r
             LEFT JOIN m m0 ON m0.level = 0 AND m0.lang = r.lang AND m0.source = r.source AND m0.ratio = r.ratio

@@ -10,9 +10,11 @@ result, are pre-aggregated before the shuffle and have at most some hundred rows
 group with a third of all rows costs no more than any other.  A quantile is the lower end of the
 bucket in which the running count reaches its rank.
 
-Limits: upper = Q75 + max(reach * (Q75 - Q25), margin), lower likewise.  ``margin`` (a parameter
-for each ratio) is the least distance from the quartile at which a document counts as an outlier;
-it keeps groups whose clean documents are all alike from rejecting their next neighbour.
+Limits: upper = Q75 + max(reach * (Q75 - Q25), Q75 / 8, margin), lower likewise.  The spread of the group
+decides for ratios that documents have as a rule (capitals, word length); an eighth of the quartile, two
+buckets, is what a sketch can tell, and keeps groups whose documents are all alike from rejecting their
+next neighbour.  Of symbols, repeated lines and repeated words most documents have none, both quartiles are
+0 and no spread tells where an outlier begins: there ``margin`` (a parameter for each ratio) does.
 A group with fewer than ``min_group`` documents takes the limits of its language, then of all.
 Documents that fail the base rule (under 50 words, or more than half of the words inside
 repeated 3-word windows) don't enter the sketches.
@@ -30,16 +32,15 @@ from pyspark.sql import functions as F
 
 from perigee.llm.common import UPPER, let, small_side, text_or_empty, window_hashes, words, written
 
-# Least distance of a limit from the quartile, in parts per million
-# (word_length: in millionths of a character).
+# Least distance of a limit from the quartile, in parts per million; 0 where the spread decides.
 MARGINS = {
     "symbols": 200_000,
     "dup_lines": 400_000,
     "repeats": 350_000,
-    "capitals": 200_000,
-    "word_length": 1_500_000,
+    "capitals": 0,
+    "word_length": 0,
 }
-REACH = 3
+REACH = 5
 MIN_GROUP = 100
 SYMBOLS = "#*$%&|<>"
 
@@ -186,7 +187,7 @@ def limits(sketch: DataFrame, margins: dict[str, int] = MARGINS, reach: int = RE
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("docs"), F.col("bucket"))).alias("q75"),
     )
     margin = F.create_map(*[F.lit(x) for k, v in margins.items() for x in (k, v)])[F.col("ratio")]
-    span = F.greatest(reach * (F.col("q75") - F.col("q25")), margin)
+    span = F.greatest(reach * (F.col("q75") - F.col("q25")), F.shiftright("q75", 3), margin)
     return (
         quart.withColumn("low", F.col("q25") - span)
         .withColumn("high", F.col("q75") + span)

@@ -592,6 +592,34 @@ def test_op8_keeps_good_and_drops_junk(spark):
     assert sum(junk) <= 0.5 * len(junk)
 
 
+def test_op8_limits_follow_the_group(spark):
+    """The same document is an outlier where its group is narrow and none where it is wide."""
+    from perigee.llm import quality
+
+    word = lambda n, k: "".join(chr(97 + (k * 7 + j * 3 + n) % 26) for j in range(n))
+    text = lambda mean, k, seed: " ".join(word(max(1, mean + (j % 3 - 1) * k), seed * 60 + j) for j in range(60))
+    rows = [(i, "x", "narrow", text(5, 1, i)) for i in range(200)]
+    rows += [(1000 + i, "x", "wide", text(3 + i % 9, 1, i)) for i in range(200)]
+    rows += [(5000, "x", "narrow", text(11, 1, 5000)), (5001, "x", "wide", text(11, 1, 5000))]
+    d = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_report(d).collect()}
+    assert kept.pop(5001) and not kept.pop(5000) and all(kept.values())
+
+
+def test_op8_spread_decides(spark):
+    """Of the ratios that documents have as a rule, the group's own spread sets the limits, not a constant."""
+    from perigee.llm import quality
+
+    d = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    sketch = quality.sketches(quality.base_counts(d, ["doc_id", "lang", "source"]))
+    by = {}
+    for reach in (quality.REACH, 2 * quality.REACH):
+        for r in quality.limits(sketch, reach=reach).where(f"docs >= {quality.MIN_GROUP}").collect():
+            by.setdefault((r["level"], r["lang"], r["source"]), []).append(r)
+    wider = [a[f"{k}_high"] < b[f"{k}_high"] and a[f"{k}_low"] > b[f"{k}_low"] for a, b in by.values() for k in ("capitals", "word_length")]
+    assert wider and sum(wider) >= 0.9 * len(wider)
+
+
 def test_op8_sketches_merge(spark):
     from pyspark.sql import functions as F
 
