@@ -13,8 +13,8 @@ bucket in which the running count reaches its rank.
 Limits: upper = Q75 + max(reach * (Q75 - Q25), Q75 / 8, margin), lower likewise.  The spread of the group
 decides for ratios that documents have as a rule (capitals, word length); an eighth of the quartile, two
 buckets, is what a sketch can tell, and keeps groups whose documents are all alike from rejecting their
-next neighbour.  Of symbols, repeated lines and repeated words most documents have none, both quartiles are
-0 and no spread tells where an outlier begins: there ``margin`` (a parameter for each ratio) does.
+next neighbour.  Of symbols, repeated lines and repeated words most documents have none, both quartiles are 0
+or little more and no spread tells where an outlier begins: there ``margin`` (a parameter for each ratio) does.
 A group with fewer than ``min_group`` documents takes the limits of its language, then of all.
 Documents that fail the base rule (under 50 words, or more than half of the words inside
 repeated 3-word windows) don't enter the sketches.
