@@ -344,3 +344,75 @@ def test_merged_audit_is_near_the_exact_one(spark):
         assert abs(m["n_objects"] - e["n_objects"]) <= 0.03 * e["n_objects"]
         assert all(m[c] == e[c] for c in ("n_records", "n_days", "null_velocity", "null_au", "null_body"))
     assert feed.merged_audit(feed.audit_sketches(paged.limit(0))).count() == 0
+
+
+def _tables_of(scratch, n_objects, n_rows):
+    """A part and a lineitem table of own rows, as files."""
+    import pandas as pd
+
+    part = [(i, f"thing {i}", "PROMO" if i % 2 else "PLAIN", i % 40) for i in range(n_objects)]
+    pd.DataFrame(part, columns=["p_partkey", "p_name", "p_type", "p_size"]).to_parquet(f"{scratch}/part.parquet")
+    line = [
+        (i % n_objects, i % 5, i % 7 + 1, 1.0 + i % 50, 100.0 + i, 0.01 * (i % 11), "ANR"[i % 3], pd.Timestamp(D(2020, 1, 1)) + pd.Timedelta(days=i % 90))
+        for i in range(n_rows)
+    ]
+    columns = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+    pd.DataFrame(line, columns=columns).astype({"l_linenumber": "int32"}).to_parquet(
+        f"{scratch}/lineitem.parquet", coerce_timestamps="us", allow_truncated_timestamps=True
+    )
+    return scratch
+
+
+def test_landing_takes_less_disk_than_its_text(spark, scratch):
+    from perigee.sources import store
+
+    path = landing.landed(spark, _tables_of(scratch, 50, 5000))
+    text = sum(len(r[0]) + 1 for r in spark.read.text(path).collect())
+    assert 5 * store.n_bytes(spark, path) < text
+    assert not [n for n in store.names(spark, path.rsplit("/", 1)[0]) if n.startswith(path.rsplit("/", 1)[1] + ".")]
+
+
+def test_landing_in_slices_is_the_same(spark, scratch, monkeypatch):
+    folder = _tables_of(scratch, 50, 5000)
+    flat = {}
+    for page_size in (7, 8):
+        whole = landing.build_pages(
+            binding.asteroids_from_part(binding.table(spark, folder, "part")),
+            binding.approaches_from_lineitem(binding.table(spark, folder, "lineitem"), keep_part=True),
+            page_size,
+        )
+        monkeypatch.setattr(landing, "SLICE_ROWS", 600 if page_size == 7 else 10**9)
+        assert len(landing._slices(binding.bind(spark, folder)[1])) == (8 if page_size == 7 else 1)
+        pages = feed.read_pages(spark, landing.landed(spark, folder, page_size)).select("links", F.to_json("near_earth_objects").alias("o"))
+        sizes = F.length(F.to_json("near_earth_objects"))
+        assert sorted(pages.select("links.self", F.length("o")).collect()) == sorted(whole.select("links.self", sizes).collect())
+        flat[page_size] = sorted(map(tuple, feed.read_flat(spark, landing.landed(spark, folder, page_size)).collect()), key=str)
+    assert flat[7] == flat[8] and len(flat[7]) == 5000
+
+
+def test_objects_with_one_id_and_rows_without_day_or_object(spark):
+    rows = [(1, "a", 1.0, 0.1, 0.2, True), (1, "a", 1.0, 0.1, 0.2, True), (1, "b", 1.0, 0.1, 0.2, None), (None, "c", 1.0, 0.1, 0.2, True)]
+    asteroids = spark.createDataFrame(rows, "id bigint, name string, absolute_magnitude_h double, estimated_diameter_min_km double, "
+                                      "estimated_diameter_max_km double, is_potentially_hazardous_asteroid boolean")
+    day, rest = D(2020, 1, 1), (1.0, 0.1, 2.0, 3.0, "Earth")
+    approaches = spark.createDataFrame(
+        [(1, day, *rest), (1, day, *rest), (1, None, *rest), (2, day, *rest), (None, day, *rest)],
+        "neo_reference_id bigint, close_approach_date date, relative_velocity_kmph double, astronomical double, "
+        "miss_distance_km double, miss_distance_lunar double, orbiting_body string",
+    )
+    objects = landing.build_pages(asteroids, approaches).select(F.explode("near_earth_objects")).select(F.explode("value").alias("o"))
+    assert sorted((r["o"]["name"], len(r["o"]["close_approach_data"])) for r in objects.collect()) == [("a", 2), ("a", 2), ("b", 2)]
+
+
+def test_shuffle_files_go_with_their_write(spark, scratch):
+    from perigee.session import shuffle_files_removed
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    there = lambda: status.shuffleStatuses().size()
+    n = there()
+    with shuffle_files_removed(spark):
+        spark.range(1000).groupBy(F.col("id") % 7).count().write.parquet(f"{scratch}/out")
+    assert there() == n and spark.conf.get(key) == before
+    assert spark.read.parquet(f"{scratch}/out").count() == 7
