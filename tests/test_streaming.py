@@ -261,3 +261,16 @@ def test_window_counts_are_switched_at_once(spark, scratch, monkeypatch):
     removed = windows.retain_counts(spark, out, grace_seconds=-5)
     assert removed and len(count()) == 4
     assert windows.retain_counts(spark, out, grace_seconds=-5) == []
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_stream_that_keeps_one_version_holds_the_same_rows(spark, scratch, strict):
+    landing = land(scratch, "landing", PAGE_PLAIN, PAGE_NEXT, PAGE_MULTI)
+    left = {}
+    for keep in (None, 1):
+        root = os.path.join(scratch, f"t{keep}")
+        ingest.ingest_stream(spark, landing, root, f"{root}-c", 1, strict=strict, keep=keep).awaitTermination()
+        left[keep] = [sorted_rows(t) for t in tables.read_tables(spark, root)]
+        assert len(store.record_numbers(spark, root)) == (3 if keep is None else 1)
+        assert len(store.names(spark, f"{root}/asteroids")) == (3 if keep is None else 1)
+    assert left[None] == left[1] and left[1][1]
