@@ -202,11 +202,12 @@ def links(
             )
             long_values = members.select("cls")
         else:
-            over = written(over.select("key", "cls"), "neardup-over")
-            rare, rest = _by_rare_values(over.select("cls").distinct(), classes, probes, block)
+            # a member of pair lists stands in up to probes * (probes - 1) / 2 of them: one row holds them all
+            over = written(over.groupBy("cls").agg(F.array_sort(F.collect_set("key")).alias("keys")), "neardup-over")
+            rare, rest = _by_rare_values(over.select("cls"), classes, probes, block)
             pairs.append(_pairs(rare.where(F.col("many") <= small), threshold_pct).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("lists")))
             meets.append(rare.where(F.col("many") > small).select("key", "cls"))
-            families = _families(over.join(rest, "cls"), block)
+            families = _families(_joining(over.join(rest, "cls")), block)
             families = None if families.isEmpty() else families
     candidates = pairs[0]
     if long_values is not None:
@@ -293,10 +294,20 @@ def _joined(lists: DataFrame, block: int) -> DataFrame:
     return known.select(key.alias("key"), "cls").distinct()
 
 
-def _families(over: DataFrame, block: int) -> DataFrame:
-    """(cls, family, parts, own): lists (key, cls) too long for a block, joined where they share members,
-    and dealt by hash into ``parts`` half blocks."""
-    family = components(_to_least(over))
+def _joining(members: DataFrame) -> DataFrame:
+    """(u, v) that join members (cls, keys) where they share a list.
+
+    Members of the very same lists, as thousands of near copies are, point to the least of them; it alone goes
+    through the lists."""
+    same = members.groupBy("keys").agg(F.min("cls").alias("v"))
+    to_same = members.join(same, "keys").select(F.col("cls").alias("u"), "v")
+    return to_same.unionByName(_to_least(same.select(F.explode("keys").alias("key"), F.col("v").alias("cls"))))
+
+
+def _families(edges: DataFrame, block: int) -> DataFrame:
+    """(cls, family, parts, own): what ``edges`` (u, v) of members of lists too long for a block join, dealt by hash
+    into ``parts`` half blocks."""
+    family = components(edges)
     sizes = family.groupBy("component_id").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
     placed = family.join(sizes, "component_id").select(F.col("id").alias("cls"), F.col("component_id").alias("family"), "parts")
     return written(placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "neardup-families")

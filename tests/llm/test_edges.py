@@ -105,3 +105,12 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
             assert out.columns == d.columns
         d = spark.read.parquet(path)
     assert {r["doc_id"] for r in d.collect()} <= {1, 2, 3, 7, None}
+
+
+def test_members_of_the_same_lists_go_through_them_once(spark):
+    copies = [(i, list(range(45))) for i in range(1000)]
+    members = spark.createDataFrame([*copies, (2000, [44, 50]), (3000, [50]), (4000, [60])], "cls bigint, keys array<bigint>")
+    edges = neardup._joining(members)
+    assert edges.count() <= members.count() + 45 + 4
+    families = neardup._families(edges, 512).collect()
+    assert {r["cls"]: r["family"] for r in families} == {i: 0 for i in [*range(1000), 2000, 3000]}
