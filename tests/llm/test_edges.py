@@ -114,3 +114,12 @@ def test_members_of_the_same_lists_go_through_them_once(spark):
     assert edges.count() <= members.count() + 45 + 4
     families = neardup._families(edges, 512).collect()
     assert {r["cls"]: r["family"] for r in families} == {i: 0 for i in [*range(1000), 2000, 3000]}
+
+
+def test_op1_learns_from_long_texts(spark, monkeypatch):
+    seen = []
+    learned = lm._learned_mixer
+    monkeypatch.setattr(lm, "_learned_mixer", lambda *a: seen.append(learned(*a)) or seen[-1])
+    docs = [(i, " ".join(f"w{(k * k + i) % 97}" for k in range(9000))) for i in range(6)]
+    assert lm.lm_scores(spark.createDataFrame(docs, "doc_id bigint, text string")).count() == 6
+    assert not (seen[0].w == lm.SourceMixer().w).all()
