@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from perigee.session import new_run_dir
+from perigee.session import new_run_dir, shuffle_files_removed
 from perigee.sources import store
 from perigee.sources.feed import DATE_FORMAT, WINDOW_DAYS
 
@@ -37,8 +37,9 @@ def link_parts(link: Column) -> Column:
 
 # --------------------------------------------------------------------------- chains
 def _kept(df: DataFrame, open_rows: Observation) -> tuple[DataFrame, str]:
-    path = new_run_dir(df.sparkSession, "chain")
-    df.observe(open_rows, F.count(F.lit(1)).alias("all"), F.count_if(~F.col("done")).alias("open")).write.parquet(path)
+    with shuffle_files_removed(df.sparkSession):
+        path = new_run_dir(df.sparkSession, "chain")
+        df.observe(open_rows, F.count(F.lit(1)).alias("all"), F.count_if(~F.col("done")).alias("open")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -149,3 +149,16 @@ def test_nothing_landed(spark):
         (D(2024, 1, 1), D(2024, 1, 7), 0, "window"),
         (D(2024, 1, 8), D(2024, 1, 10), 0, "window"),
     ]
+
+
+def test_each_round_removes_its_shuffle_files(spark, scratch, monkeypatch):
+    seen, real = [], chain.new_run_dir
+
+    def run_dir(s, purpose):
+        seen.append(s.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        return real(s, purpose)
+
+    monkeypatch.setattr(chain, "new_run_dir", run_dir)
+    pages = spark.range(5).selectExpr("struct(string(id) AS self, string(id + 1) AS next) AS links")
+    assert chain.chains(pages).count() == 5
+    assert len(seen) > 1 and set(seen) == {"true"}
