@@ -688,3 +688,24 @@ def test_op9_blocks_cover_the_radius(spark):
             y ^= 1 << bit
         assert cut(x) & cut(y)
     assert ends[0] == 0 and ends[-1] == 64
+
+
+def test_op1_reads_each_text_once(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "a b a"), (2, None), (3, "c  B"), (3, "c  B")], "doc_id bigint, text string")
+    seen, real = [], lm._learned_mixer
+    monkeypatch.setattr(lm, "_learned_mixer", lambda texts, *more: seen.append(texts.columns) or real(texts, *more))
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in lm.lm_scores(d).collect())
+    assert got == [(1, 4), (2, 1), (3, 3), (3, 3)]
+    assert "text" not in seen[0]  # numbers of words from there on
+
+
+def test_op1_numbers_give_the_words_back():
+    import pyarrow as pa
+
+    texts = ["a b a", None, "", "C  b\u00e9"]
+    block = pa.table({"block": [7] * 4, "doc_id": [1, 2, 3, 4], "held_out": [False] * 4, "learn": [True, True, False, False], "text": texts})
+    out = lm._block_words(block).to_pylist()
+    words = {r["i"]: r["word"] for r in out if r["word"] is not None}
+    back = [[words[i] for i in np.frombuffer(r["ids"], np.int32)] for r in out if r["word"] is None]
+    assert back == [[*lm.tokens(t), lm.END] for t in texts]
+    assert {r["word"]: r["n"] for r in out if r["word"] is not None} == {b"a": 2, b"b": 1, lm.END: 2, b"c": 0, "b\u00e9".encode(): 0}
