@@ -279,3 +279,26 @@ def test_summaries_follow_the_months(spark, scratch):
         assert rows(cat.monthly_of_summary(summary)) == rows(cat.q11_monthly_counts(a, c))
         assert rows(cat.bodies_of_summary(summary)) == rows(cat.orbiting_bodies(a, c))
         assert summary.agg(F.sum("n_rows")).first()[0] == c.count()
+
+
+def test_a_load_merges_its_months_and_objects_in_parts(spark, scratch, monkeypatch):
+    flat = flat_rows(spark)
+    flat = flat.unionByName(flat.where("id = 5").withColumn("id", F.lit(None).cast("bigint")))
+    whole, parts = os.path.join(scratch, "whole"), os.path.join(scratch, "parts")
+    later = flat.where(F.col("close_approach_date") >= F.lit(D(2030, 2, 1)))
+    for batch in (flat, later):
+        tables.upsert(spark, whole, batch)
+    monkeypatch.setattr(tables, "GROUP_ROWS", 4)
+    merged = []
+    real = tables.merged_months
+    monkeypatch.setattr(tables, "merged_months", lambda stored, batch, count=None: (merged.append(batch.count()), real(stored, batch, count))[1])
+    for batch in (flat, later):
+        tables.upsert(spark, parts, batch)
+    assert len(merged) > 4 and max(merged) < flat.count() / 2
+    record = tables._manifest(spark, parts)
+    assert len(set(record["months"].values())) > 2 and tables.NO_MONTH in record["months"]
+    for a, b in zip(tables.read_tables(spark, whole), tables.read_tables(spark, parts), strict=True):
+        assert sorted_rows(a) == sorted_rows(b)
+    assert sorted_rows(tables.read_summary(spark, whole)) == sorted_rows(tables.read_summary(spark, parts))
+    same = ("asteroid_rows", "month_rows", "approach_rows", "approaches_without_object", "ledger")
+    assert {k: record[k] for k in same} == {k: tables._manifest(spark, whole)[k] for k in same}
