@@ -120,3 +120,14 @@ def test_an_empty_landing(spark, scratch):
     assert [t.count() for t in tables.read_tables(spark, root)] == [0, 0]
     assert rows(ledger.read_ledger(spark, root).select("pages", "good", "new"))[0] == (0, 0, 0)
     assert ledger.route(feed.read_pages(spark, path, strict=False)).select(F.count("page")).first()[0] == 0
+
+
+def test_rows_that_parse_are_staged_without_their_place(spark, scratch, monkeypatch):
+    path, root = landing(scratch, "narrow", *SOILED), os.path.join(scratch, "t6")
+    monkeypatch.setattr(ledger.store, "remove", lambda *a: True)
+    load(spark, path, root)
+    (run,) = os.listdir(os.path.join(root, "landed"))
+    routed = spark.read.schema(ledger.ROUTED_SCHEMA).parquet(os.path.join(root, "landed", run))
+    staged = routed.where("route IN ('good', 'bare')")
+    assert staged.count() == 5 and staged.where("page IS NOT NULL OR day IS NOT NULL OR element IS NOT NULL").count() == 0
+    assert routed.where("route = 'record' AND (page IS NULL OR day IS NULL OR bad_fields IS NULL OR text IS NULL)").count() == 0
