@@ -416,3 +416,40 @@ def test_shuffle_files_go_with_their_write(spark, scratch):
         spark.range(1000).groupBy(F.col("id") % 7).count().write.parquet(f"{scratch}/out")
     assert there() == n and spark.conf.get(key) == before
     assert spark.read.parquet(f"{scratch}/out").count() == 7
+
+
+def test_slices_are_dealt_once_to_files_of_a_known_number(spark, scratch, monkeypatch):
+    """A slice's files have about the same number of pages, however small its shuffle partitions would be."""
+    from perigee.sources import store
+
+    monkeypatch.setattr(landing, "SLICE_ROWS", 1200)
+    monkeypatch.setattr(landing, "RECORDS_A_FILE", 160)
+    folder = _tables_of(scratch, 50, 5000)
+    scans, real = [], landing.build_pages
+    monkeypatch.setattr(landing, "build_pages", lambda a, rows, *more: scans.append(rows.inputFiles()) or real(a, rows, *more))
+    path = landing.landed(spark, folder, 10)
+    slices = landing._slices(binding.bind(spark, folder)[1])
+    assert len(slices) == len(scans) == 4 and sum(n for _, _, n in slices) == 5000
+    assert not any("lineitem" in f for files in scans for f in files)  # not the whole table for each slice
+    files = [f for f in store.names(spark, path) if f.endswith(".gz")]
+    assert len(files) == sum(map(landing._n_files, (n for _, _, n in slices))) == 34
+    pages = feed.read_pages(spark, path).groupBy(F.col("_metadata.file_name")).count()
+    few, many = pages.agg(F.min("count"), F.max("count")).first()
+    assert pages.count() == 34 and many <= 2 * few
+
+
+def test_unreadable_fields_in_generated_code(spark):
+    """No lambda and no array function takes the parsing of an approach out of the generated code."""
+    from pyspark.sql import Row
+
+    names = {"id": "1", "neo_reference_id": "x", "close_approach_date": "01/02/2030", "kmph": "5 km/h", "au": None, "km": "1e3", "lunar": ""}
+    df = spark.createDataFrame([Row(**names), Row(**{k: None for k in names}), Row(**(names | {"id": "y"}))], "id string, neo_reference_id string, close_approach_date string, kmph string, au string, km string, lunar string")
+    obj = F.struct("id", "neo_reference_id")
+    ap = F.struct(
+        "close_approach_date", F.struct(F.col("kmph").alias("kilometers_per_hour")).alias("relative_velocity"),
+        F.struct(F.col("au").alias("astronomical"), F.col("km").alias("kilometers"), F.col("lunar").alias("lunar")).alias("miss_distance"),
+    )
+    out = df.select(feed.unreadable(obj, ap).alias("bad"))
+    rest = ["neo_reference_id", "close_approach_date", "relative_velocity_kmph", "miss_distance_lunar"]
+    assert [r["bad"] for r in out.collect()] == [rest, [], ["id", *rest]]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
