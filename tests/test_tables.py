@@ -302,3 +302,25 @@ def test_a_load_merges_its_months_and_objects_in_parts(spark, scratch, monkeypat
     assert sorted_rows(tables.read_summary(spark, whole)) == sorted_rows(tables.read_summary(spark, parts))
     same = ("asteroid_rows", "month_rows", "approach_rows", "approaches_without_object", "ledger")
     assert {k: record[k] for k in same} == {k: tables._manifest(spark, whole)[k] for k in same}
+
+
+def test_merged_months_are_placed_and_sorted_once(spark):
+    """One exchange to where the rows are written and one sort; the survivors are those of ``dedup_by_key``."""
+    some = [(i % 7 or None, D(2030, 1 + i % 3, 1 + i % 5) if i % 11 else None, float(i % 4), float(i % 3) or None, None, -0.0 if i % 2 else 0.0, "EMV"[i % 3]) for i in range(400)]
+    df = spark.createDataFrame([*some, *some[:50], (1, D(2030, 1, 1), None, None, None, None, None)], CLOSE_APPROACH_SCHEMA)
+    stored, batch = df.where("miss_distance_lunar IS NULL OR orbiting_body <> 'M'"), df.where("orbiting_body = 'M'")
+    want = dedup_by_key(stored.unionByName(batch).where(tables.has_approach()), list(tables.APPROACH_KEY), APPROACH_ORDER, "_n")
+    got = tables.merged_months(stored, batch, "_n")
+    assert sorted_rows(got.select(*want.columns)) == sorted_rows(want)
+    plan = plan_text(got)
+    assert plan.count("- Exchange (") == plan.count("- Sort (") == 1 and "rangepartitioning(" in plan
+
+
+def test_versions_of_objects_are_found_by_their_hash(spark):
+    """Equal rows of an object become one before its versions are sorted; rows without an id keep each its own day."""
+    flat = flat_rows(spark)
+    flat = flat.unionByName(flat.where("id = 5").withColumn("id", F.lit(None).cast("bigint")))
+    flat = flat.unionByName(flat.where("id = 1").withColumn("name", F.lit("Z")).withColumn("close_approach_date", F.lit(None).cast("date")))
+    rows_ = flat.select(*tables.ASTEROID_COLUMNS, F.unix_date("close_approach_date").cast("int").alias(tables.SEEN))
+    assert sorted_rows(tables.seen_asteroids(flat)) == sorted_rows(dedup_by_key(rows_, ["id"], tables.SEEN_ORDER))
+    assert "HashAggregate" in plan_text(tables.seen_asteroids(flat))
