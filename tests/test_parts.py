@@ -80,3 +80,22 @@ def test_large_landing_has_smaller_slices(spark, scratch, monkeypatch):
 
     _, approaches = binding.bind(spark, _tables_of(scratch, 50, 5000))
     assert len(landing._slices(approaches)) > 8  # as many as its 13 windows allow
+
+
+def test_pages_are_parsed_once(spark, by_days, monkeypatch):
+    """The sets of an audit and the batches of a load are read from staged rows, which go when they are done."""
+    monkeypatch.setattr(ingest_keys, "landed_pages", lambda *_: by_days)
+    from perigee.session import scratch_root
+
+    sources = []
+    for module, name in ((feed, "audit"), (feed, "audit_sketches"), (tables, "upsert"), (tables, "load_asteroids")):
+        real = getattr(module, name)
+        seen = lambda *a, real=real: sources.append(a[-1].inputFiles()) or real(*a)
+        monkeypatch.setattr(module, name, seen)
+    flats = f"{scratch_root(spark)}/flat"
+    before = store.names(spark, flats)
+    for key in ("ingest_audit_sketches", "upsert_load", "upsert_load_asteroids", "summary_bodies", "atomic_publish"):
+        sources.clear()
+        ingest_keys.INGEST_KEYS[key](spark, by_days).collect()
+        assert sources and not any(".json" in f for files in sources for f in files), key
+    assert store.names(spark, flats) == before
