@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -709,3 +710,62 @@ def test_op1_numbers_give_the_words_back():
     back = [[words[i] for i in np.frombuffer(r["ids"], np.int32)] for r in out if r["word"] is None]
     assert back == [[*lm.tokens(t), lm.END] for t in texts]
     assert {r["word"]: r["n"] for r in out if r["word"] is not None} == {b"a": 2, b"b": 1, lm.END: 2, b"c": 0, "b\u00e9".encode(): 0}
+
+
+def test_op1_numbers_the_words_as_the_rule_says():
+    import pyarrow as pa
+
+    odd = ["a  B\tc\x0b\x0cd\r\n", None, "", " x", "É ÀB z \x1c q", "\x00 \x85 w", "\n", "b" * 500 + " b"]
+    ids, lens, words = lm._numbered(pa.array(odd))
+    back = np.array(words.to_pylist(), object)[ids]
+    assert [list(x) for x in np.split(back, np.cumsum(lens)[:-1])] == [[*lm.tokens(t), lm.END] for t in odd]
+
+
+def test_op1_counts_pairs_and_triples_of_the_other_texts(spark, tmp_path, monkeypatch):
+    """Against brute force, in blocks and parts: what follows the words before, without the text's own."""
+    rng = random.Random(5)
+    docs = [(i % 37, " ".join(rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(3, None)]
+    seen, real = [], lm._learned_mixer
+    monkeypatch.setattr(lm, "_learned_mixer", lambda texts, *more: seen.extend(texts.collect()) or real(texts, *more))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    scored = lm.lm_scores(df, block_bytes=300).collect()
+    learned = lambda d: zlib.crc32(str(d).encode()) % 10 != 0
+    toks = [(d, [*lm.tokens(t), lm.END]) for d, t in docs]
+    grams = lambda ws, k: [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+    for k, name in zip(lm.CONTEXT_ORDERS, lm.GRAMS):
+        total = Counter(g for d, ws in toks if learned(d) for g in grams(ws, k))
+        want = []
+        for d, ws in toks:
+            own = Counter(grams(ws, k)) if learned(d) else Counter()
+            want.append((d, [0] * min(k - 1, len(ws)) + [total[g] - own[g] for g in grams(ws, k)]))
+        assert sorted(want) == sorted((r["doc_id"], np.frombuffer(r[name], np.uint32).tolist()) for r in seen)
+    assert len({r["block"] for r in seen}) > 3 and all(r["score"] < 0 for r in scored)
+
+
+def test_op1_tells_a_text_that_occurs_twice(spark):
+    """Known words in an order that the corpus has elsewhere are likelier than the same words once."""
+    rng = random.Random(6)
+    texts = {i: [rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op"]) + rng.choice("xyz") for _ in range(60)] for i in range(60)}
+    docs = [(i, " ".join(t)) for i, t in texts.items()] + [(100 + i, " ".join(texts[i])) for i in range(10)]
+    shuffled = [(1000 + i, " ".join(rng.sample(texts[i], 60))) for i in range(10)]
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in lm.lm_scores(spark.createDataFrame(docs + shuffled, "doc_id bigint, text string")).collect()}
+    # of two copies, the one that is held out does not help the other
+    twice = [bits[i] for i in range(10) if zlib.crc32(str(100 + i).encode()) % 10]
+    assert len(twice) > 5 and max(twice) < 0.75 * min(*(bits[i] for i in range(10, 60)), *(bits[1000 + i] for i in range(10)))
+
+
+def test_op1_contexts_are_a_distribution():
+    """The probabilities of all tokens after the same words sum to one, whatever the weights."""
+    corpus = lm.Corpus(40, 4, (0, 0, 1, 0))
+    count, spelled = np.array([10.0, 15.0, 12.0, 3.0]), np.array([0.2, 0.3, 0.1, 0.4])
+    follow = {1: np.array([1.0, 8.0, 6.0, 0.0]), 2: np.array([0.0, 3.0, 5.0, 0.0])}  # of word 1, of words 2 1
+    single = count.copy()
+    total = 0.0
+    for word in range(4):
+        ids, first = np.array([2, 1, word]), np.array([0])
+        r = lm.repeats(ids, first, np.array([3]))
+        before = np.array([single[2], 15.0, single[word]])
+        grams = [np.array([0.0, 8.0, follow[1][word]]), np.array([0.0, 0.0, follow[2][word]])]
+        new = (count - corpus.discount[3] + (corpus.free + 1) * spelled) / (corpus.n + 1)
+        total += lm.by_contexts(new[ids], before, grams, r, first, lm.SourceMixer())[0][2]
+    assert total == pytest.approx(((count - corpus.discount[3]) / 41).sum() + (corpus.free + 1) / 41, rel=1e-12)
